@@ -127,3 +127,24 @@ def map_block_rows(df: DataFrame, kernel: Callable[[dict], list[tuple]], schema:
                 yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
     return df.mapInArrow(run, out)
+
+
+def map_vectors(df: DataFrame, vec: str, kernel: Callable[[np.ndarray], list[np.ndarray]], schema: str) -> DataFrame:
+    """Append columns computed from the vector column, one Arrow batch at a time.
+
+    ``kernel`` maps an [n, d] matrix to one array per column of ``schema`` (2-D arrays
+    become list columns). Rows stay where they are.
+    """
+    produced = T._parse_datatype_string(schema).fields
+    out = T.StructType(df.schema.fields + produced)
+    position = df.columns.index(vec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = kernel(list_matrix(batch.column(position)))
+            arrays = list(batch.columns) + [matrix_lists(c) if c.ndim == 2 else pa.array(c) for c in cols]
+            yield pa.RecordBatch.from_arrays(arrays, names=out.names)
+
+    return df.mapInArrow(run, out)

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import evaluation, retrieval  # noqa: F401
+from . import descriptors, evaluation, retrieval  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -36,6 +36,32 @@ SQL_TABLES: dict[str, str] = {
           SELECT sp.image_id, sp.seg_id, p.role, p.d, sum(p.v) AS t
           FROM segment_patches sp JOIN patch_long p USING (image_id, patch_id) GROUP BY ALL) x
         GROUP BY ALL""",
+    "segment_edges": """
+        SELECT image_id, seg_a, seg_b, small FROM (
+          SELECT a.image_id, a.seg_id AS seg_a, b.seg_id AS seg_b, false AS small
+          FROM segments a JOIN segments b USING (image_id)
+          WHERE (SELECT count(*) FROM segments n WHERE n.image_id = a.image_id) > 3 AND (a.seg_id = b.seg_id OR EXISTS (
+            SELECT 1 FROM segments c WHERE c.image_id = a.image_id AND c.seg_id NOT IN (a.seg_id, b.seg_id)
+              AND (SELECT count(*) FROM segments p WHERE p.image_id = a.image_id AND p.seg_id NOT IN (a.seg_id, b.seg_id, c.seg_id)
+                AND sign((b.cx - a.cx) * (c.cy - a.cy) - (b.cy - a.cy) * (c.cx - a.cx)) * (
+                  (a.cx - p.cx) * ((b.cy - p.cy) * ((c.cx - p.cx) ** 2 + (c.cy - p.cy) ** 2) - (c.cy - p.cy) * ((b.cx - p.cx) ** 2 + (b.cy - p.cy) ** 2))
+                  - (a.cy - p.cy) * ((b.cx - p.cx) * ((c.cx - p.cx) ** 2 + (c.cy - p.cy) ** 2) - (c.cx - p.cx) * ((b.cx - p.cx) ** 2 + (b.cy - p.cy) ** 2))
+                  + ((a.cx - p.cx) ** 2 + (a.cy - p.cy) ** 2) * ((b.cx - p.cx) * (c.cy - p.cy) - (c.cx - p.cx) * (b.cy - p.cy))) > 0) = 0))
+          UNION ALL
+          SELECT a.image_id, a.seg_id, b.seg_id, true FROM segments a JOIN segments b USING (image_id)
+          WHERE (SELECT count(*) FROM segments n WHERE n.image_id = a.image_id) <= 3
+            AND (SELECT count(*) FROM segments n WHERE n.image_id = a.image_id AND n.seg_id < b.seg_id) < 2) x""",
+    "hops3": """
+        SELECT image_id, seg_a, seg_b, min(hops) AS hops FROM (
+          SELECT image_id, seg_a, seg_b, CASE WHEN seg_a = seg_b THEN 0 ELSE 1 END AS hops FROM segment_edges
+          UNION ALL SELECT a.image_id, a.seg_a, b.seg_b, 2 FROM segment_edges a
+            JOIN segment_edges b ON b.image_id = a.image_id AND b.seg_a = a.seg_b AND NOT b.small
+          UNION ALL SELECT a.image_id, a.seg_a, c.seg_b, 3 FROM segment_edges a
+            JOIN segment_edges b ON b.image_id = a.image_id AND b.seg_a = a.seg_b AND NOT b.small
+            JOIN segment_edges c ON c.image_id = a.image_id AND c.seg_a = b.seg_b) x GROUP BY ALL""",
+    "super_patches": """
+        SELECT DISTINCT h.image_id, h.seg_a AS seg_id, sp.patch_id FROM hops3 h
+        JOIN segment_patches sp ON sp.image_id = h.image_id AND sp.seg_id = h.seg_b""",
     "knn_pairs": """
         SELECT q.image_id AS q_image, q.patch_id AS q_seg, r.image_id AS r_image, r.patch_id AS r_seg,
                list_sum(list_transform(range(1, 65), lambda i: (q.e[i] - r.e[i]) * (q.e[i] - r.e[i]))) AS sq_dist
