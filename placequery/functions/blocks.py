@@ -110,7 +110,7 @@ def map_block_rows(df: DataFrame, kernel: Callable[[dict], list[tuple]], schema:
     The kept columns of the block row are repeated in front of every output row.
     """
     kept = T.StructType([df.schema[c] for c in keep])
-    produced = T._parse_datatype_string(schema)
+    produced = T.StructType.fromDDL(schema)
     out = T.StructType(kept.fields + produced.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +135,7 @@ def map_vectors(df: DataFrame, vec: str, kernel: Callable[[np.ndarray], list[np.
     ``kernel`` maps an [n, d] matrix to one array per column of ``schema`` (2-D arrays
     become list columns). Rows stay where they are.
     """
-    produced = T._parse_datatype_string(schema).fields
+    produced = T.StructType.fromDDL(schema).fields
     out = T.StructType(df.schema.fields + produced)
     position = df.columns.index(vec)
 

@@ -151,9 +151,9 @@ def _dense(t):
     return long_form(aggregate.densify(aggregate.image_vlad_hard(t.patches(), v), ["image_id"], v), "vec")
 
 
-def softmax_sql(factor):
+def softmax_sql(factor, s="s"):
     return f"""SELECT image_id, patch_id, vec_id, cluster, w / sum(w) OVER (PARTITION BY vec_id) AS w FROM (
-        SELECT *, exp({factor} * (s - max(s) OVER (PARTITION BY vec_id))) AS w FROM cosines) x"""
+        SELECT *, exp({factor} * ({s} - max({s}) OVER (PARTITION BY vec_id))) AS w FROM cosines) x"""
 
 
 def soft_sums_sql(weights, residual="p.v - l.c", source="patch_long"):
@@ -162,12 +162,12 @@ def soft_sums_sql(weights, residual="p.v - l.c", source="patch_long"):
         GROUP BY w.image_id, w.cluster, p.d"""
 
 
-@query("image_vlad_soft", OWN, vlad_sql(soft_sums_sql(softmax_sql("4.0"), "p.u - l.c", UNIT_LONG), "image_id"))
+@query("image_vlad_soft", OWN, vlad_sql(soft_sums_sql(softmax_sql("4.0", "s / enorm"), "p.u - l.c", UNIT_LONG), "image_id"))
 def _soft(t):
     return long_form(aggregate.image_vlad_soft(t.patches(), vocab(t), temp=4.0), "residual")
 
 
-@query("image_vlad_soft_literal", OWN, vlad_sql(soft_sums_sql(softmax_sql("4.0"), """
+@query("image_vlad_soft_literal", OWN, vlad_sql(soft_sums_sql(softmax_sql("4.0", "s / enorm"), """
     (SELECT count(*) FROM vocabulary) * p.u - (SELECT sum(l2.c) FROM vocabulary_long l2 WHERE l2.d = p.d)""", UNIT_LONG), "image_id"))
 def _soft_literal(t):
     return long_form(aggregate.image_vlad_soft(t.patches(), vocab(t), temp=4.0, mode="literal"), "residual")

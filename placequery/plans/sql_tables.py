@@ -26,7 +26,7 @@ SQL_TABLES: dict[str, str] = {
         FROM vocabulary_long GROUP BY cluster""",
     "cosines": """
         SELECT p.vec_id, p.image_id, p.patch_id, p.role, v.cluster,
-               list_dot_product(p.e, v.centroid) / v.cnorm AS s
+               list_dot_product(p.e, v.centroid) / v.cnorm AS s, sqrt(list_dot_product(p.e, p.e)) AS enorm
         FROM patches p, vocabulary v""",
     "assigned": """
         SELECT vec_id, image_id, patch_id, role, cluster, s FROM cosines

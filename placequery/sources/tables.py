@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.ordering import dense_position
 
-PATCHES = T.StructType.fromDDL(
+PATCHES = (
     "image_id BIGINT, patch_id INT, py INT, px INT, embedding ARRAY<FLOAT>, dataset STRING, role STRING"
 )
-MASKS = T.StructType.fromDDL(
+MASKS = (
     "image_id BIGINT, seg_id BIGINT, rle ARRAY<INT>, h INT, w INT, area BIGINT, "
     "bbox STRUCT<x: DOUBLE, y: DOUBLE, w: DOUBLE, h: DOUBLE>, predicted_iou DOUBLE, stability_score DOUBLE, "
     "point ARRAY<DOUBLE>, crop_box STRUCT<x: DOUBLE, y: DOUBLE, w: DOUBLE, h: DOUBLE>"
 )
-PLACES = T.StructType.fromDDL(
+PLACES = (
     "place_id BIGINT, city_id STRING, panoid STRING, year BIGINT, month BIGINT, northdeg BIGINT, lat DOUBLE, lon DOUBLE"
 )
 MATCH_COLUMNS = [f"top_{i}_ref_ind" for i in range(1, 6)]
@@ -56,7 +55,7 @@ def count_masks(masks: DataFrame, images: DataFrame) -> DataFrame:
     )
 
 
-def read_place_tables(spark: SparkSession, paths: list[str], schema: T.StructType = PLACES) -> DataFrame:
+def read_place_tables(spark: SparkSession, paths: list[str], schema: str = PLACES) -> DataFrame:
     """Per-city CSV tables under one id space: table i adds ``i * 100000`` to place_id.
 
     All files are one scan; the ordinal comes from the file each row was read from.
