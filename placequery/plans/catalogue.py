@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import descriptors, evaluation, retrieval, storage_queries  # noqa: F401
+from . import analysis_queries, descriptors, evaluation, mask_queries, retrieval, storage_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
