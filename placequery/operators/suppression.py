@@ -64,6 +64,8 @@ def nms_boxes(boxes: DataFrame, iou: float = 0.7, score: str = "predicted_iou")
         beaten = conflicts.select("image_id", F.col("lo").alias("hi")).distinct()
         winners = conflicts.join(beaten, ["image_id", "hi"], "left_anti")
         out = cut_lineage(winners.select("image_id", "lo").distinct())
+        if out.isEmpty():
+            raise ValueError("segment ids must be unique within an image")
         dropped = out if dropped is None else dropped.unionByName(out)
         conflicts = cut_lineage(
             conflicts.join(out, ["image_id", "lo"], "left_anti")

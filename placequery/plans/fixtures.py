@@ -118,7 +118,9 @@ class Fixtures:
         side = F.lit(20.0) + F.col("l_quantity")
         flag = F.col("l_returnflag")
         return li.select(
-            F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").cast("long").alias("seg_id"),
+            # Line numbers repeat within an order; part and supplier make the id unique.
+            F.col("l_orderkey").alias("image_id"),
+            (F.col("l_linenumber").cast("long") * 1000000000000 + F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("seg_id"),
             x0.alias("x0"), y0.alias("y0"), (x0 + side).alias("x1"), (y0 + side).alias("y1"),
             (side * side).alias("area"),
             (F.lit(0.80) + 2 * F.col("l_discount")).alias("predicted_iou"),

@@ -198,17 +198,17 @@ def nms_sql(score, threshold, rounds):
     """Greedy suppression written as a fixed number of rounds of the same recursion."""
     iou = """greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)"""
     ctes = [f"""sb AS (SELECT *, {score} AS sc FROM boxes),
-      e AS (SELECT a.image_id, a.seg_id AS hi, b.seg_id AS lo FROM sb a JOIN sb b ON a.image_id = b.image_id
+      e AS MATERIALIZED (SELECT a.image_id, a.seg_id AS hi, b.seg_id AS lo FROM sb a JOIN sb b ON a.image_id = b.image_id
         AND (a.sc > b.sc OR (a.sc = b.sc AND a.seg_id < b.seg_id))
-        AND {iou} > {threshold} * (a.area + b.area - {iou})), d0 AS (SELECT image_id, lo AS seg FROM e WHERE false)"""]
+        AND {iou} > {threshold} * (a.area + b.area - {iou})), d0 AS MATERIALIZED (SELECT image_id, lo AS seg FROM e WHERE false)"""]
     for i in range(rounds):
         # Decided losers are beaten by a box that no remaining box beats.
-        ctes.append(f"""l{i} AS (SELECT * FROM e WHERE (image_id, lo) NOT IN (SELECT (image_id, seg) FROM d{i})
-            AND (image_id, hi) NOT IN (SELECT (image_id, seg) FROM d{i})),
-          d{i + 1} AS (SELECT * FROM d{i} UNION SELECT image_id, lo FROM l{i}
-            WHERE (image_id, hi) NOT IN (SELECT (image_id, lo) FROM l{i}))""")
+        ctes.append(f"""l{i} AS MATERIALIZED (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM d{i} d WHERE d.image_id = e.image_id AND d.seg = e.lo)
+            AND NOT EXISTS (SELECT 1 FROM d{i} d WHERE d.image_id = e.image_id AND d.seg = e.hi)),
+          d{i + 1} AS MATERIALIZED (SELECT * FROM d{i} UNION SELECT image_id, lo FROM l{i} w
+            WHERE NOT EXISTS (SELECT 1 FROM l{i} x WHERE x.image_id = w.image_id AND x.lo = w.hi))""")
     return f"""WITH {', '.join(ctes)} SELECT image_id, seg_id, x0, y0, x1, y1 FROM sb
-      WHERE (image_id, seg_id) NOT IN (SELECT (image_id, seg) FROM d{rounds})"""
+      WHERE NOT EXISTS (SELECT 1 FROM d{rounds} d WHERE d.image_id = sb.image_id AND d.seg = sb.seg_id)"""
 
 
 @query("nms_boxes", BOX_COLS, nms_sql("predicted_iou", 0.5, 6))

@@ -109,7 +109,7 @@ SQL_TABLES: dict[str, str] = {
                || '/images/img' || image_id || '.jpg' AS path
         FROM patches""",
     "boxes": """
-        SELECT l_orderkey AS image_id, CAST(l_linenumber AS BIGINT) AS seg_id,
+        SELECT l_orderkey AS image_id, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 1000000 + l_suppkey AS seg_id,
                CAST(l_partkey % 40 AS DOUBLE) AS x0, CAST(l_suppkey % 40 AS DOUBLE) AS y0,
                l_partkey % 40 + 20 + l_quantity AS x1, l_suppkey % 40 + 20 + l_quantity AS y1,
                (20 + l_quantity) * (20 + l_quantity) AS area,
