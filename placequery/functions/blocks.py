@@ -73,14 +73,14 @@ def pack_rows(df: DataFrame, ids: list[str], vec: str, tag: str | None = None) -
 
 
 def group_blocks(
-    df: DataFrame, keys: list[str], row_id: str, vec: str, extra: list[str] | None = None, rows: int = BLOCK_ROWS
+    df: DataFrame, keys: list[str], row_id: str, vec: str, extra: list[str] | None = None, rows: int | None = None
 ) -> DataFrame:
     """Blocks per group, split by ``row_id div rows`` so that no block outgrows ``rows``.
 
     ``row_id`` must be unique inside a group. ``extra`` numeric columns come along as
     ``<name>_values`` arrays in the same order.
     """
-    extra = extra or []
+    extra, rows = extra or [], rows or BLOCK_ROWS
     item = F.struct(F.col(row_id).cast("long").alias("id"), F.col(vec).alias("v"), *[F.col(c).cast("double").alias(c) for c in extra])
     packed = df.groupBy(*keys, F.floor(F.col(row_id) / F.lit(rows)).cast("long").alias("chunk")).agg(
         F.array_sort(F.collect_list(item)).alias("_rows")

@@ -105,8 +105,9 @@ def knn(
     n_q, width = queries.agg(F.count(F.lit(1)), F.max(F.size(q_vec))).first()
     if n_q * (width or 0) * 8 <= BROADCAST_BYTES:
         # Small query set, size just measured: references are scanned in place.
-        q_blocks = pack_rows(q, q_ids, "_v").withColumn("_tile", F.lit(0))
-        r_blocks = pack_rows(r, r_ids, "_v").withColumn("_tile", F.lit(0)).withColumnRenamed("flat", "r_flat")
+        # The single tile is a real column of the blocks, so the join stays a hash join.
+        q_blocks = pack_rows(q.withColumn("_tile", F.lit(0)), q_ids, "_v", "_tile")
+        r_blocks = pack_rows(r.withColumn("_tile", F.lit(0)), r_ids, "_v", "_tile").withColumnRenamed("flat", "r_flat")
         pairs = r_blocks.join(F.broadcast(q_blocks), "_tile")
     else:
         a, b = _tiles(n_q, refs.count(), queries.sparkSession.sparkContext.defaultParallelism)
@@ -116,12 +117,15 @@ def knn(
             tagged = df.withColumn("_stripe", F.pmod(F.xxhash64(*ids), F.lit(count)))
             return pack_rows(tagged.repartition(count, "_stripe").sortWithinPartitions("_stripe"), ids, "_v", "_stripe")
 
-        q_blocks = stripes(q, q_ids, a).withColumn("_col", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).withColumnRenamed("_stripe", "_row")
+        def copies(count):
+            return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+
+        q_blocks = stripes(q, q_ids, a).withColumn("_col", copies(b)).withColumnRenamed("_stripe", "_row")
         r_blocks = (
-            stripes(r, r_ids, b).withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(a - 1))).cast("long"))
+            stripes(r, r_ids, b).withColumn("_row", copies(a))
             .withColumnRenamed("_stripe", "_col").withColumnRenamed("flat", "r_flat")
         )
-        pairs = q_blocks.withColumn("_col", F.col("_col").cast("long")).join(r_blocks, ["_row", "_col"])
+        pairs = q_blocks.join(r_blocks, ["_row", "_col"])
 
     columns = [f"{i}_ids" for i in q_ids] + ["flat"] + [f"{i}_ids" for i in r_ids] + ["r_flat"]
     out = T.StructType(
