@@ -5,43 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPLIT_ROWS = 100_000
+from .storage import cut_lineage
+
+# Rows of one key that one task meets from each side.
+SPLIT_ROWS = 20_000
+# Heavy-key lists up to this many rows are broadcast; longer ones are joined by shuffle.
+BROADCAST_KEYS = 100_000
+
+
+def _counts(df: DataFrame, keys: list[str], out: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
 
 
 def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    condition: Column | None = None,
-    how: str = "inner",
-    split_rows: int = SPLIT_ROWS,
+    left: DataFrame, right: DataFrame, keys: list[str], condition: Column | None = None, split_rows: int | None = None
 ) -> DataFrame:
-    """Join on ``keys`` with the right side of heavy keys cut into pieces.
+    """Inner join on ``keys`` with heavy keys cut into pieces on both sides.
 
-    Keys with more than ``split_rows`` right rows are spread over ceil(n/split_rows)
-    salts and the left rows of just those keys are repeated once per salt. Everything
-    else keeps salt 0, so ordinary keys cost nothing extra. Inner joins only.
+    Key sizes are counted first (key columns only, combined map-side). A key whose pair
+    count exceeds split_rows^2 is divided: each side's rows get one of ceil(n / split_rows)
+    salts and are repeated over the other side's salts, so no task meets more than about
+    split_rows rows of a key from either side. Without heavy keys this is a plain join.
     """
-    if how != "inner":
-        raise ValueError("salted_join supports inner joins")
-    heavy = (
-        right.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > split_rows)
-        .select(*keys, F.ceil(F.col("_n") / F.lit(split_rows)).cast("int").alias("_pieces"))
-    )
-    pieces = F.coalesce(F.col("_pieces"), F.lit(1))
-    right_salted = (
-        right.join(heavy, keys, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]), pieces).cast("int"))
-        .drop("_pieces")
+    split = split_rows or SPLIT_ROWS
+    sizes = _counts(left, keys, "_nl").join(_counts(right, keys, "_nr"), keys)
+    heavy = cut_lineage(
+        sizes.where(F.col("_nl") * F.col("_nr") > split * split).select(
+            *keys, F.ceil(F.col("_nl") / F.lit(split)).alias("_pl"), F.ceil(F.col("_nr") / F.lit(split)).alias("_pr")
+        )
     )
-    left_salted = (
-        left.join(heavy, keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1)))
-        .drop("_pieces")
-    )
-    joined = left_salted.join(right_salted, [*keys, "_salt"])
-    if condition is not None:
-        joined = joined.where(condition)
-    return joined.drop("_salt")
+    n_heavy = heavy.limit(BROADCAST_KEYS + 1).count()
+    if n_heavy == 0:
+        joined = left.join(right, keys)
+        return joined if condition is None else joined.where(condition)
+    listed = F.broadcast(heavy) if n_heavy <= BROADCAST_KEYS else heavy
+
+    def salted(df: DataFrame, own: str, other: str, own_salt: str, other_salt: str) -> DataFrame:
+        pieces = [F.coalesce(F.col(c), F.lit(1)) for c in (own, other)]
+        return (
+            df.join(listed, keys, "left")
+            .withColumn(own_salt, F.pmod(F.xxhash64(*df.columns), pieces[0]))
+            .withColumn(other_salt, F.explode(F.sequence(F.lit(0).cast("bigint"), pieces[1] - 1)))
+            .drop("_pl", "_pr")
+        )
+
+    joined = salted(left, "_pl", "_pr", "_sl", "_sr").join(salted(right, "_pr", "_pl", "_sr", "_sl"), [*keys, "_sl", "_sr"])
+    return (joined if condition is None else joined.where(condition)).drop("_sl", "_sr")

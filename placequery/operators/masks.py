@@ -10,23 +10,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import dense_position
+from ..functions.vectors import let
 
 MASK = ["image_id", "seg_id"]
 
 
 # -- run lengths -----------------------------------------------------------
 def rle_from_bits(bits: Column) -> Column:
-    """Run lengths of a column-major array of booleans, off run first."""
-    n = F.size(bits)
-    changes = F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.get(bits, i) != F.get(bits, i - 1))
-    starts = F.when(n > 1, changes).otherwise(F.array().cast("array<int>"))
-    runs = F.zip_with(F.concat(starts, F.array(n)), F.concat(F.array(F.lit(0)), starts), lambda a, b: a - b)
-    return F.when(F.get(bits, F.lit(0)), F.concat(F.array(F.lit(0)), runs)).otherwise(runs)
+    """Run lengths of a column-major array of booleans, off run first.
+
+    Intermediate arrays are bound with ``let``: the optimiser may copy this expression
+    into filters, and unbound arrays would then be rebuilt for every element.
+    """
+
+    def encode(b: Column) -> Column:
+        n = F.size(b)
+        changes = F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.get(b, i) != F.get(b, i - 1))
+        starts = F.when(n > 1, changes).otherwise(F.array().cast("array<int>"))
+        runs = let(starts, lambda s: F.zip_with(F.concat(s, F.array(n)), F.concat(F.array(F.lit(0)), s), lambda a, c: a - c))
+        return F.concat(F.when(F.get(b, F.lit(0)), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), runs)
+
+    return let(bits, encode)
 
 
 def column_major(grid: Column, h: Column, w: Column) -> Column:
     """Row-major grid to column-major order."""
-    return F.transform(F.sequence(F.lit(0), h * w - 1), lambda i: F.get(grid, ((i % h) * w + F.floor(i / h)).cast("int")))
+    return let(grid, lambda g: F.transform(
+        F.sequence(F.lit(0), h * w - 1), lambda i: F.get(g, ((i % h) * w + F.floor(i / h)).cast("int"))
+    ))
 
 
 def rle_area(rle: Column) -> Column:
@@ -63,27 +74,33 @@ def rle_encode(pixels: DataFrame, frame: DataFrame) -> DataFrame:
     )
 
 
-def on_runs(masks: DataFrame) -> DataFrame:
-    """``(…, x, y0, y1)``: vertical on runs, y1 exclusive, cut at column borders."""
+def run_columns(rle: Column, h: Column) -> Column:
+    """Array of vertical on runs ``(x, y0, y1)``, y1 exclusive, cut at column borders."""
     ends = F.aggregate(
-        F.col("rle"),
+        rle,
         F.struct(F.array().cast("array<int>").alias("ends"), F.lit(0).alias("at")),
         lambda s, x: F.struct(F.concat(s["ends"], F.array((s["at"] + x).cast("int"))).alias("ends"), (s["at"] + x).cast("int").alias("at")),
         lambda s: s["ends"],
     )
-    keep = [c for c in masks.columns if c not in ("rle",)]
-    cut = masks.withColumn("_ends", ends)
-    spans = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size("_ends") - 1), lambda i: (i % 2 == 1) & (F.get(F.col("_ends"), i) > F.get(F.col("_ends"), i - 1))),
-        lambda i: F.struct(F.get(F.col("_ends"), i - 1).alias("s"), F.get(F.col("_ends"), i).alias("e")),
-    )
-    runs = cut.select(*keep, F.explode(spans).alias("_r"))
-    columns = runs.withColumn("x", F.explode(F.sequence(F.floor(F.col("_r.s") / F.col("h")).cast("int"), F.floor((F.col("_r.e") - 1) / F.col("h")).cast("int"))))
-    return columns.select(
-        *keep, "x",
-        F.greatest(F.col("_r.s") - F.col("x") * F.col("h"), F.lit(0)).alias("y0"),
-        F.least(F.col("_r.e") - F.col("x") * F.col("h"), F.col("h")).alias("y1"),
-    )
+
+    def cut(e: Column) -> Column:
+        odd = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: (i % 2 == 1) & (F.get(e, i) > F.get(e, i - 1)))
+        spans = F.transform(odd, lambda i: F.struct(F.get(e, i - 1).alias("s"), F.get(e, i).alias("e")))
+        return F.flatten(F.transform(spans, lambda r: F.transform(
+            F.sequence(F.floor(r["s"] / h).cast("int"), F.floor((r["e"] - 1) / h).cast("int")),
+            lambda x: F.struct(
+                x.alias("x"), F.greatest(r["s"] - x * h, F.lit(0)).alias("y0"), F.least(r["e"] - x * h, h).alias("y1")
+            ),
+        )))
+
+    return let(ends, cut)
+
+
+def on_runs(masks: DataFrame) -> DataFrame:
+    """One row per vertical on run: ``(…, x, y0, y1)``."""
+    keep = [c for c in masks.columns if c != "rle"]
+    runs = masks.withColumn("_r", F.explode(run_columns(F.col("rle"), F.col("h"))))
+    return runs.select(*keep, "_r.x", "_r.y0", "_r.y1")
 
 
 def rle_decode(masks: DataFrame) -> DataFrame:
@@ -94,21 +111,30 @@ def rle_decode(masks: DataFrame) -> DataFrame:
 
 # -- geometry from runs ----------------------------------------------------
 def mask_centroid(masks: DataFrame) -> DataFrame:
-    """Mean (x, y) of the on pixels; empty masks give no row."""
-    length = F.col("y1") - F.col("y0")
-    return on_runs(masks).groupBy(*MASK).agg(
-        (F.sum(F.col("x") * length) / F.sum(length)).alias("cx"),
-        (F.sum((F.col("y0") + F.col("y1") - 1) / 2.0 * length) / F.sum(length)).alias("cy"),
+    """Mean (x, y) of the on pixels; empty masks give no row. A projection, no shuffle."""
+    def total(value) -> Column:
+        return F.aggregate(F.transform("_r", value), F.lit(0.0), lambda s, v: s + v)
+
+    # Filtering on the run lengths keeps the optimiser from repeating the geometry.
+    filled = masks.where(rle_area(F.col("rle")) > 0)
+    runs = filled.select(*MASK, run_columns(F.col("rle"), F.col("h")).alias("_r"))
+    sums = runs.select(
+        *MASK,
+        total(lambda r: r["y1"] - r["y0"]).alias("_n"),
+        total(lambda r: r["x"] * (r["y1"] - r["y0"])).alias("_x"),
+        total(lambda r: (r["y0"] + r["y1"] - 1) / 2.0 * (r["y1"] - r["y0"])).alias("_y"),
     )
+    return sums.select(*MASK, (F.col("_x") / F.col("_n")).alias("cx"), (F.col("_y") / F.col("_n")).alias("cy"))
 
 
 def mask_box(masks: DataFrame) -> DataFrame:
-    """Inclusive pixel box; an empty mask is [0, 0, 0, 0]."""
-    boxes = on_runs(masks).groupBy(*MASK).agg(
-        F.min("x").alias("x0"), F.min("y0").alias("y0"), F.max("x").alias("x1"), (F.max("y1") - 1).alias("y1")
-    )
-    joined = masks.select(*MASK).join(boxes, MASK, "left")
-    return joined.select(*MASK, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    """Inclusive pixel box; an empty mask is [0, 0, 0, 0]. A projection, no shuffle."""
+    runs = masks.select(*MASK, run_columns(F.col("rle"), F.col("h")).alias("_r"))
+    sides = {
+        "x0": F.array_min(F.col("_r.x")), "y0": F.array_min(F.col("_r.y0")),
+        "x1": F.array_max(F.col("_r.x")), "y1": F.array_max(F.col("_r.y1")) - 1,
+    }
+    return runs.select(*MASK, *[F.coalesce(c, F.lit(0)).alias(n) for n, c in sides.items()])
 
 
 def area_covered(masks: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import top_per_group
+from ..functions.storage import cut_lineage
 from ..functions.vectors import minmax_between
 
 PAIR = ["q_image", "r_image"]
@@ -40,12 +41,28 @@ def normalised(matches: DataFrame, bounds: tuple | None = None) -> DataFrame:
     return matches.withColumn("nsim", minmax_between(F.col("sim"), lo, hi))
 
 
-def _seen(matches: DataFrame, score: Column) -> DataFrame:
+def _seen(matches: DataFrame, **scores: Column) -> DataFrame:
     return matches.groupBy(*PAIR).agg(
-        score.alias("score"), F.min("rank").alias("best_rank"), F.min("q_seg").alias("first_seg")
+        *[c.alias(n) for n, c in scores.items()], F.min("rank").alias("best_rank"), F.min("q_seg").alias("first_seg")
     )
 
 
+def _pair_similarities(matches: DataFrame, bounds: tuple | None):
+    """Per-pair sums plus the global bounds, from one pass over the matches.
+
+    Normalising is linear, so sums and counts per pair are enough. The pair table is far
+    smaller than the matches; it is written once, so the search behind it runs once.
+    """
+    pairs = _seen(
+        matches, total=F.sum("sim"), votes=F.count(F.lit(1)), lowest=F.min("sim"), highest=F.max("sim")
+    )
+    if bounds is not None:
+        return pairs, F.lit(float(bounds[0])), F.lit(float(bounds[1]))
+    pairs = cut_lineage(pairs)
+    row = pairs.agg(F.struct(F.min("lowest").alias("lo"), F.max("highest").alias("hi"))).scalar()
+    return pairs, row["lo"], row["hi"]
+
+
 def max_sim(matches: DataFrame, n: int = 5, segments: int = 50) -> DataFrame:
     """Images of the most similar query segments, first n distinct."""
     nearest = matches.where("rank = 1")
@@ -74,23 +91,31 @@ def distinct_segments(matches: DataFrame, n: int = 5) -> DataFrame:
 
 
 def borda_images(matches: DataFrame, n: int = 5, k: int | None = None) -> DataFrame:
-    """Borda count per image: a match at rank r adds k - r + 1."""
-    depth = F.lit(k) if k is not None else matches.agg(F.max("rank")).scalar()
-    return _by_score(_seen(matches, F.sum(depth - F.col("rank") + 1)), n)
+    """Borda count per image: a match at rank r adds k - r + 1; k defaults to the deepest rank."""
+    pairs = _seen(matches, votes=F.count(F.lit(1)), ranks=F.sum("rank"), deepest=F.max("rank"))
+    if k is None:
+        pairs = cut_lineage(pairs)
+        depth = pairs.agg(F.max("deepest")).scalar()
+    else:
+        depth = F.lit(k)
+    return _by_score(pairs.withColumn("score", F.col("votes") * (depth + 1) - F.col("ranks")), n)
 
 
 def average_rank_images(matches: DataFrame, n: int = 5) -> DataFrame:
-    scores = _seen(matches, F.avg("rank"))
+    scores = _seen(matches, score=F.avg("rank"))
     return _best(scores, n, F.round("score", 9).asc(), F.col("best_rank"), F.col("first_seg"), F.col("r_image"))
 
 
 def weighted_borda_images(matches: DataFrame, n: int = 5, bounds: tuple | None = None) -> DataFrame:
     """Sum of globally normalised similarities per image: the default vote."""
-    return _by_score(_seen(normalised(matches, bounds), F.sum("nsim")), n)
+    pairs, lo, hi = _pair_similarities(matches, bounds)
+    score = (F.col("total") - F.col("votes") * lo) / F.nullif(hi - lo, F.lit(0.0))
+    return _by_score(pairs.withColumn("score", score), n)
 
 
 def average_similarity_images(matches: DataFrame, n: int = 5, bounds: tuple | None = None) -> DataFrame:
-    return _by_score(_seen(normalised(matches, bounds), F.avg("nsim")), n)
+    pairs, lo, hi = _pair_similarities(matches, bounds)
+    return _by_score(pairs.withColumn("score", minmax_between(F.col("total") / F.col("votes"), lo, hi)), n)
 
 
 METHODS = {

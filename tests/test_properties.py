@@ -57,18 +57,20 @@ def points(spark, xyz, first=0):
 def test_radius_join_equals_brute_force(spark, monkeypatch, hot):
     q, r = RNG.uniform(-20, 20, (40, 3)), RNG.uniform(-20, 20, (150, 3))
     if hot:
-        # A third of all references sit in one cell; pieces of ten rows force salting.
+        # A third of both sides sits in one cell; pieces of ten rows force salting.
+        q[:15] = [1.0, 1.0, 1.0] + RNG.uniform(0, 0.5, (15, 3))
         r[:50] = [1.0, 1.0, 1.0] + RNG.uniform(0, 0.5, (50, 3))
-        monkeypatch.setattr(skew.salted_join, "__defaults__", (None, "inner", 10))
+        monkeypatch.setattr(skew, "SPLIT_ROWS", 10)
     got = {(x.q_image, x.r_image) for x in spatial.radius_join(points(spark, q), points(spark, r), 4.0).collect()}
     d = np.hypot(q[:, None, 0] - r[None, :, 0], q[:, None, 1] - r[None, :, 1])
     assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= 4.0))}
 
 
-def test_salted_join_keeps_every_pair(spark):
+@pytest.mark.parametrize("split", [3, 7, 1000])
+def test_salted_join_keeps_every_pair(spark, split):
     left = spark.range(20).select((F.col("id") % 2).alias("k"), F.col("id").alias("a"))
     right = spark.range(60).select(F.when(F.col("id") < 50, 0).otherwise(1).cast("long").alias("k"), F.col("id").alias("b"))
-    got = skew.salted_join(left, right, ["k"], split_rows=7)
+    got = skew.salted_join(left, right, ["k"], split_rows=split)
     want = left.join(right, "k")
     assert sorted(map(tuple, got.select("k", "a", "b").collect())) == sorted(map(tuple, want.select("k", "a", "b").collect()))
 
