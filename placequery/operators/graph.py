@@ -7,7 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.blocks import group_blocks, map_block_rows, pair_blocks, scalar_matrix
+from ..functions.ordering import dense_position
+from ..functions.storage import cut_lineage
+
 SMALL_IMAGE = 3
+# Images up to this many segments are triangulated in one call, larger ones in strips.
+STRIP_SEGMENTS = 2048
 
 
 def _turn(a: np.ndarray, b: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -85,7 +91,9 @@ def delaunay_edges(centroids: DataFrame) -> DataFrame:
     linked = few.join(targets, "image_id").select(
         "image_id", F.col("seg_id").alias("seg_a"), F.explode("_targets").alias("seg_b"), F.lit(True).alias("small")
     )
-    many = points.join(sizes.where(F.col("_n") > SMALL_IMAGE), "image_id", "left_semi")
+    ordinary = points.join(
+        sizes.where((F.col("_n") > SMALL_IMAGE) & (F.col("_n") <= STRIP_SEGMENTS)), "image_id", "left_semi"
+    )
 
     def edges(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seg_id", kind="stable")
@@ -95,8 +103,90 @@ def delaunay_edges(centroids: DataFrame) -> DataFrame:
         b = [j for _, j in pairs] + [i for i, _ in pairs] + list(range(len(ids)))
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "seg_a": ids[a], "seg_b": ids[b], "small": False})
 
-    triangulated = many.groupBy("image_id").applyInPandas(edges, "image_id LONG, seg_a LONG, seg_b LONG, small BOOLEAN")
-    return triangulated.unionByName(linked)
+    found = ordinary.groupBy("image_id").applyInPandas(edges, "image_id LONG, seg_a LONG, seg_b LONG, small BOOLEAN").unionByName(linked)
+    crowded = sizes.where(F.col("_n") > STRIP_SEGMENTS).select("image_id")
+    if crowded.isEmpty():
+        return found
+    large = points.join(crowded, "image_id", "left_semi")
+    one_way = strip_edges(large)
+    both = one_way.unionByName(one_way.select("image_id", F.col("seg_b").alias("seg_a"), F.col("seg_a").alias("seg_b")))
+    loops = large.select("image_id", F.col("seg_id").alias("seg_a"), F.col("seg_id").alias("seg_b"))
+    return found.unionByName(both.unionByName(loops).withColumn("small", F.lit(False)))
+
+
+def _circle_bounds(a: np.ndarray, b: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Range of circle centres through a and b that keep the points p outside.
+
+    Centres lie on the perpendicular bisector at signed offset t. A point left of a -> b
+    bounds t from above, one to the right from below; a point between a and b leaves none.
+    """
+    mid, along = (a + b) / 2, b - a
+    length = np.linalg.norm(along, axis=1, keepdims=True)
+    along = along / np.where(length > 0, length, 1.0)
+    d = p[None, :, :] - mid[:, None, :]
+    u = d[..., 0] * along[:, None, 0] + d[..., 1] * along[:, None, 1]
+    v = d[..., 1] * along[:, None, 0] - d[..., 0] * along[:, None, 1]
+    s = u * u + v * v - (length / 2) ** 2
+    own = (p[None] == a[:, None]).all(-1) | (p[None] == b[:, None]).all(-1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = s / (2 * v)
+    high = np.where(~own & (v > 0), t, np.inf).min(axis=1)
+    low = np.where(~own & (v < 0), t, -np.inf).max(axis=1)
+    blocked = (~own & (v == 0) & (s < 0)).any(axis=1)
+    return np.where(blocked, np.inf, low), np.where(blocked, -np.inf, high)
+
+
+def strip_edges(points: DataFrame) -> DataFrame:
+    """Delaunay edges (one direction) of images too large for one call.
+
+    Points are cut into strips. Every edge of the whole image is also an edge of the
+    triangulation of any two strips holding its ends, so strip pairs yield all candidates.
+    A candidate is kept if some circle through its ends is empty: each strip reports the
+    range of centres it allows and the ranges are intersected by a grouped min and max.
+    """
+    placed = dense_position(points, [F.col("cx"), F.col("cy"), F.col("seg_id")], "pos", ["image_id"])
+    xy = placed.select("image_id", "pos", F.array("cx", "cy").alias("xy"))
+    strips = cut_lineage(group_blocks(xy, ["image_id"], "pos", "xy", rows=STRIP_SEGMENTS))
+    pairs = pair_blocks(strips, strips, ["image_id"]).where(F.col("chunk") <= F.col("r_chunk"))
+    ends = ["pos_a", "pos_b", "ax", "ay", "bx", "by"]
+
+    def candidates(row):
+        a, b = np.asarray(row["ids"].values), np.asarray(row["r_ids"].values)
+        p, q = scalar_matrix(row["flat"], len(a)), scalar_matrix(row["r_flat"], len(b))
+        if a[0] == b[0]:
+            ids, xy = a, p
+        else:
+            ids, xy = np.r_[a, b], np.vstack([p, q])
+        found = np.array(sorted(triangulate(xy))).reshape(-1, 2)
+        if a[0] != b[0]:
+            # Edges inside one strip come from that strip alone.
+            found = found[(found[:, 0] < len(a)) != (found[:, 1] < len(a))]
+        i, j = found[:, 0], found[:, 1]
+        return [ids[i], ids[j], xy[i, 0], xy[i, 1], xy[j, 0], xy[j, 1]]
+
+    schema = "pos_a BIGINT, pos_b BIGINT, ax DOUBLE, ay DOUBLE, bx DOUBLE, by DOUBLE"
+    proposed = map_block_rows(pairs, candidates, schema, ["image_id"])
+    numbered = dense_position(proposed, [F.col("pos_a"), F.col("pos_b")], "edge", ["image_id"])
+    batches = group_blocks(numbered.withColumn("ends", F.array(*[F.col(c).cast("double") for c in ends])), ["image_id"], "edge", "ends", rows=STRIP_SEGMENTS)
+
+    def allowed(row):
+        e = scalar_matrix(row["flat"], len(row["ids"]))
+        strip = scalar_matrix(row["r_flat"], len(row["r_ids"]))
+        # Slices keep the edge-by-point arrays of a task small.
+        parts = [_circle_bounds(e[i : i + 256, 2:4], e[i : i + 256, 4:6], strip) for i in range(0, len(e), 256)]
+        low, high = (np.concatenate(side) for side in zip(*parts))
+        return [e[:, 0].astype(np.int64), e[:, 1].astype(np.int64), low, high]
+
+    ranges = map_block_rows(
+        pair_blocks(batches, strips, ["image_id"]), allowed, "pos_a BIGINT, pos_b BIGINT, low DOUBLE, high DOUBLE", ["image_id"]
+    )
+    kept = ranges.groupBy("image_id", "pos_a", "pos_b").agg(F.max("low").alias("low"), F.min("high").alias("high")).where("low <= high")
+    names = placed.select("image_id", "pos", "seg_id")
+    return (
+        kept.join(names.select("image_id", F.col("pos").alias("pos_a"), F.col("seg_id").alias("seg_a")), ["image_id", "pos_a"])
+        .join(names.select("image_id", F.col("pos").alias("pos_b"), F.col("seg_id").alias("seg_b")), ["image_id", "pos_b"])
+        .select("image_id", "seg_a", "seg_b")
+    )
 
 
 def expand_hops(edges: DataFrame, order: int, segments: DataFrame | None = None) -> DataFrame:

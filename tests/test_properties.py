@@ -149,6 +149,20 @@ def test_triangulation_of_a_grid_is_planar():
     assert len(graph.triangulate(p)) == 3 * 20 - 3 - 14
 
 
+def test_large_images_in_strips_equal_one_triangulation(spark, monkeypatch):
+    monkeypatch.setattr(graph, "STRIP_SEGMENTS", 25)
+    rows, want = [], set()
+    for image, n in ((0, 120), (1, 60), (2, 10)):
+        p = RNG.uniform(0, 100, (n, 2))
+        rows += [(image, i, float(a), float(b)) for i, (a, b) in enumerate(p)]
+        for i, j in graph.triangulate(p):
+            want |= {(image, i, j), (image, j, i)}
+        want |= {(image, i, i) for i in range(n)}
+    df = spark.createDataFrame(rows, "image_id BIGINT, seg_id BIGINT, cx DOUBLE, cy DOUBLE")
+    got = [(r.image_id, r.seg_a, r.seg_b) for r in graph.delaunay_edges(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_hops_grow_with_order(spark):
     p = RNG.uniform(0, 100, (30, 2))
     df = spark.createDataFrame([(0, i, float(a), float(b)) for i, (a, b) in enumerate(p)], "image_id BIGINT, seg_id BIGINT, cx DOUBLE, cy DOUBLE")
