@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .masks import mask_box
 from .suppression import nms_boxes
@@ -80,17 +83,22 @@ def clean_masks(masks: DataFrame, min_area: float) -> DataFrame:
     A mask is one row of run lengths bounded by its frame, so this is map-only.
     """
 
-    @F.pandas_udf("rle array<int>, unchanged boolean")
-    def clean(rle: pd.Series, h: pd.Series, w: pd.Series) -> pd.DataFrame:
-        out = []
-        for r, height, width in zip(rle, h, w):
-            r, filled = clean_one(np.asarray(r, dtype=np.int64), int(height), int(width), min_area, "holes")
-            r, cut = clean_one(r, int(height), int(width), min_area, "islands")
-            out.append((r.astype(np.int32), not (filled or cut)))
-        return pd.DataFrame(out, columns=["rle", "unchanged"])
-
-    done = masks.withColumn("_c", clean("rle", "h", "w"))
-    return done.withColumn("rle", F.col("_c.rle")).withColumn("unchanged", F.col("_c.unchanged")).drop("_c")
+    fields = [f for f in masks.schema.fields if f.name not in ("rle", "unchanged")]
+    out = T.StructType(fields + [T.StructField("rle", T.ArrayType(T.IntegerType())), T.StructField("unchanged", T.BooleanType())])
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            runs, unchanged = [], []
+            for r, h, w in zip(column["rle"], column["h"].to_pylist(), column["w"].to_pylist()):
+                r, filled = clean_one(np.asarray(r.values, dtype=np.int64), h, w, min_area, "holes")
+                r, cut = clean_one(r, h, w, min_area, "islands")
+                runs.append(r.astype(np.int32))
+                unchanged.append(not (filled or cut))
+            arrays = [column[f.name] for f in fields] + [pa.array(runs, pa.list_(pa.int32())), pa.array(unchanged, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, names=out.names)
+
+    return masks.mapInArrow(clean, out)
 
 
 def clean_small_regions(masks: DataFrame, min_area: float, iou: float = 0.7) -> DataFrame:
