@@ -18,7 +18,8 @@ def _counts(df: DataFrame, keys: list[str], out: str) -> DataFrame:
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, keys: list[str], condition: Column | None = None, split_rows: int | None = None
+    left: DataFrame, right: DataFrame, keys: list[str], condition: Column | None = None,
+    split_rows: int | None = None, self_join: bool = False,
 ) -> DataFrame:
     """Inner join on ``keys`` with heavy keys cut into pieces on both sides.
 
@@ -26,8 +27,20 @@ def salted_join(
     count exceeds split_rows^2 is divided: each side's rows get one of ceil(n / split_rows)
     salts and are repeated over the other side's salts, so no task meets more than about
     split_rows rows of a key from either side. Without heavy keys this is a plain join.
+    ``self_join`` says that both sides hold the same rows, which then are counted once.
     """
     split = split_rows or SPLIT_ROWS
+
+    def plain() -> DataFrame:
+        joined = left.join(right, keys)
+        return joined if condition is None else joined.where(condition)
+
+    def largest(df: DataFrame) -> int:
+        return _counts(df, keys, "_n").agg(F.max("_n")).first()[0] or 0
+
+    peak = largest(right)
+    if peak * (peak if self_join else largest(left)) <= split * split:
+        return plain()
     sizes = _counts(left, keys, "_nl").join(_counts(right, keys, "_nr"), keys)
     heavy = cut_lineage(
         sizes.where(F.col("_nl") * F.col("_nr") > split * split).select(
@@ -36,8 +49,7 @@ def salted_join(
     )
     n_heavy = heavy.limit(BROADCAST_KEYS + 1).count()
     if n_heavy == 0:
-        joined = left.join(right, keys)
-        return joined if condition is None else joined.where(condition)
+        return plain()
     listed = F.broadcast(heavy) if n_heavy <= BROADCAST_KEYS else heavy
 
     def salted(df: DataFrame, own: str, other: str, own_salt: str, other_salt: str) -> DataFrame:

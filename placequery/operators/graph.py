@@ -79,34 +79,34 @@ def delaunay_edges(centroids: DataFrame) -> DataFrame:
     """``(image_id, seg_a, seg_b, small)`` from ``(image_id, seg_id, cx, cy)``.
 
     Both directions and self-loops. Images with three segments or fewer link every
-    segment to the first two instead (T10); that part is a plain join.
+    segment to the first two instead (T10). Segment counts are taken first: only images
+    within ``STRIP_SEGMENTS`` are handled in one call each.
     """
-    sizes = centroids.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"))
     points = centroids.select(
         F.col("image_id").cast("long").alias("image_id"), F.col("seg_id").cast("long").alias("seg_id"),
         F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy"),
     )
-    few = points.join(sizes.where(F.col("_n") <= SMALL_IMAGE), "image_id", "left_semi").select("image_id", "seg_id")
-    targets = few.groupBy("image_id").agg(F.slice(F.array_sort(F.collect_list("seg_id")), 1, 2).alias("_targets"))
-    linked = few.join(targets, "image_id").select(
-        "image_id", F.col("seg_id").alias("seg_a"), F.explode("_targets").alias("seg_b"), F.lit(True).alias("small")
-    )
-    ordinary = points.join(
-        sizes.where((F.col("_n") > SMALL_IMAGE) & (F.col("_n") <= STRIP_SEGMENTS)), "image_id", "left_semi"
-    )
+    sizes = points.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"))
+    crowded = cut_lineage(sizes.where(F.col("_n") > STRIP_SEGMENTS).select("image_id"))
 
     def edges(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seg_id", kind="stable")
         ids = pdf["seg_id"].to_numpy()
-        pairs = triangulate(pdf[["cx", "cy"]].to_numpy(dtype=float))
-        a = [i for i, _ in pairs] + [j for _, j in pairs] + list(range(len(ids)))
-        b = [j for _, j in pairs] + [i for i, _ in pairs] + list(range(len(ids)))
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "seg_a": ids[a], "seg_b": ids[b], "small": False})
+        n = len(ids)
+        small = n <= SMALL_IMAGE
+        if small:
+            a = [i for i in range(n) for _ in range(min(n, 2))]
+            b = [j for _ in range(n) for j in range(min(n, 2))]
+        else:
+            pairs = triangulate(pdf[["cx", "cy"]].to_numpy(dtype=float))
+            a = [i for i, _ in pairs] + [j for _, j in pairs] + list(range(n))
+            b = [j for _, j in pairs] + [i for i, _ in pairs] + list(range(n))
+        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "seg_a": ids[a], "seg_b": ids[b], "small": small})
 
-    found = ordinary.groupBy("image_id").applyInPandas(edges, "image_id LONG, seg_a LONG, seg_b LONG, small BOOLEAN").unionByName(linked)
-    crowded = sizes.where(F.col("_n") > STRIP_SEGMENTS).select("image_id")
+    schema = "image_id LONG, seg_a LONG, seg_b LONG, small BOOLEAN"
     if crowded.isEmpty():
-        return found
+        return points.groupBy("image_id").applyInPandas(edges, schema)
+    found = points.join(crowded, "image_id", "left_anti").groupBy("image_id").applyInPandas(edges, schema)
     large = points.join(crowded, "image_id", "left_semi")
     one_way = strip_edges(large)
     both = one_way.unionByName(one_way.select("image_id", F.col("seg_b").alias("seg_a"), F.col("seg_a").alias("seg_b")))
@@ -200,6 +200,9 @@ def expand_hops(edges: DataFrame, order: int, segments: DataFrame | None = None)
         if segments is None:
             raise ValueError("order 0 needs the segment list")
         return segments.select("image_id", F.col("seg_id").alias("seg_a"), F.col("seg_id").alias("seg_b"), F.lit(0).alias("hops")).distinct()
+    if order > 1:
+        # Every step joins the same edges; the id table is small next to what built it.
+        edges = cut_lineage(edges)
     step = F.when(F.col("seg_a") == F.col("seg_b"), 0).otherwise(1)
     reach = edges.select("image_id", "seg_a", "seg_b", "small", step.alias("hops")).distinct()
     moves = edges.where(~F.col("small")).select(

@@ -40,7 +40,7 @@ def iou_pairs(boxes: DataFrame, threshold: float, cell: float = 64.0) -> DataFra
         wins & (F.floor(left / cell) == F.col("_cx")) & (F.floor(top / cell) == F.col("_cy"))
         & (overlap > F.lit(threshold) * (area("a") + area("b") - overlap))
     )
-    return salted_join(a, b, ["image_id", "_cx", "_cy"], condition).select(
+    return salted_join(a, b, ["image_id", "_cx", "_cy"], condition, self_join=True).select(
         "image_id", F.col("a_seg_id").alias("hi"), F.col("b_seg_id").alias("lo")
     )
 
@@ -57,7 +57,7 @@ def nms_boxes(boxes: DataFrame, iou: float = 0.7, score: str = "predicted_iou")
     flat = (F.col("x1") <= F.col("x0")) | (F.col("y1") <= F.col("y0"))
     same = ["image_id", *BOX]
     best = top_per_group(scored.where(~flat), same, [F.col("score").desc(), F.col("seg_id")], 1, "_copy").drop("_copy")
-    unique = best.unionByName(scored.where(flat))
+    unique = cut_lineage(best.unionByName(scored.where(flat)))
     conflicts = cut_lineage(iou_pairs(unique, iou))
     dropped = None
     while not conflicts.isEmpty():

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut_lineage
 from ..functions.vectors import long_form
 from ..operators import aggregate, margins, metrics, mining, reduce, search, spatial, vote
 from .descriptors import UNIT_SUMS, vlad_sql, vocab
@@ -21,8 +22,9 @@ def wide_gt(t):
     return spatial.radius_join(*poses(t), 20.0)
 
 
-def triplets(t):
-    return metrics.build_triplets(vote.max_seg(matches(t)), wide_gt(t), query_images(t))
+def triplets(t, found=None):
+    found = matches(t) if found is None else found
+    return metrics.build_triplets(vote.max_seg(found), wide_gt(t), query_images(t))
 
 
 @query("segment_margins", "q_image:l margin_mean:d margin_sum:d margin_count:l", f"""
@@ -37,7 +39,8 @@ def _segment_margins(t):
     p = t.patches()
     q = p.select(F.col("image_id").alias("q_image"), F.col("patch_id").alias("q_seg"), F.col("embedding").alias("vec"))
     r = p.select(F.col("vec_id").alias("r_seg"), F.col("embedding").alias("vec"))
-    return margins.segment_margins(triplets(t), vote.match_info(matches(t)), q, r)
+    found = cut_lineage(matches(t))
+    return margins.segment_margins(triplets(t, found), vote.match_info(found), q, r)
 
 
 @query("image_margins", "q_image:l margin:d", f"""
@@ -57,9 +60,10 @@ MARGINS = """SELECT *, row_number() OVER (PARTITION BY q_image ORDER BY round(ma
            list_distance(q, n) - list_distance(q, p) AS margin FROM cl) x"""
 
 
-def clusters(t, vlad=None):
-    vlad = aggregate.image_vlad_hard(t.patches(), vocab(t)) if vlad is None else vlad
-    return margins.triplet_clusters(triplets(t), vlad, vlad)
+def clusters(t, vlad=None, chosen=None):
+    """Each vector table serves three roles, so it is stored once."""
+    vlad = cut_lineage(aggregate.image_vlad_hard(t.patches(), vocab(t)) if vlad is None else vlad)
+    return cut_lineage(margins.triplet_clusters(triplets(t) if chosen is None else chosen, vlad, vlad))
 
 
 @query("cluster_margins", "q_image:l cluster:l dist_pos:d dist_neg:d margin:d margin_rank:l", f"WITH {CLUSTERS} {MARGINS}")
@@ -82,7 +86,10 @@ OTHER = """ol AS (SELECT image_id, label AS cluster, list(m ORDER BY d) AS r FRO
 def _rank_shift(t):
     from ..functions.vectors import mean_vectors
     means = t.patches().groupBy("image_id", F.col("label").alias("cluster")).agg(mean_vectors(F.col("embedding")).alias("residual"))
-    return margins.cluster_rank_shift(margins.cluster_margins(clusters(t)), margins.cluster_margins(clusters(t, means)))
+    chosen = cut_lineage(triplets(t))
+    return margins.cluster_rank_shift(
+        margins.cluster_margins(clusters(t, chosen=chosen)), margins.cluster_margins(clusters(t, means, chosen))
+    )
 
 
 @query("cluster_distance_histogram", "q_image:l side:s bin:l n:l", f"""
@@ -213,7 +220,6 @@ def _segment_retrieval(t):
     v = vocab(t)
     wide = graph.super_segment_patches(graph.expand_hops(graph.delaunay_edges(t.segments()), 3), t.segment_patches())
     dense = aggregate.densify(aggregate.segment_vlad(t.patches(), wide, v), ["image_id", "seg_id"], v)
-    from ..functions.storage import cut_lineage
     dense = cut_lineage(dense)
     model = reduce.fit_pca(dense.where("image_id % 5 <> 0"), 32)
     low = cut_lineage(reduce.apply_pca(dense, model, normalize=True).select("image_id", "seg_id", F.col("reduced").alias("vec")))
