@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,11 +45,20 @@ def dense_position(
     )
     if not keys:
         return placed.withColumn(out, F.col("_dense") + F.lit(start)).drop(_SLOT, "_part", "_before", "_dense")
-    first = placed.groupBy(*keys).agg(F.min("_dense").alias("_first"))
+    # First position of every group, looked up per (partition, group): a large group is
+    # spread over its sort partitions here too. Null keys form a group of their own.
+    spans = placed.groupBy("_part", *keys).agg(F.min("_dense").alias("_lo"))
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    first = spans.groupBy(*keys).agg(F.min("_lo").alias("_first")).select(*named, "_first")
+
+    def same_group() -> Column:
+        return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+
+    starts = spans.join(first, same_group()).select(F.col("_part").alias("_p"), *named, "_first")
     return (
-        placed.join(first, keys)
+        placed.join(starts, (F.col("_part") == F.col("_p")) & same_group())
         .withColumn(out, F.col("_dense") - F.col("_first") + F.lit(start))
-        .drop(_SLOT, "_part", "_before", "_dense", "_first")
+        .select(*[c for c in df.columns if c != out], out)
     )
 
 

@@ -103,15 +103,20 @@ def image_vlad_soft(
     return normalise_vlad(_soft_sums(patches, vocabulary, weights, value, []), ["image_id"], intra_norm)
 
 
-def fit_alpha(patches: DataFrame, vocabulary: Vocabulary, vec: str = "embedding") -> float:
-    """``-ln(0.01) / mean(best - second best similarity)``; one number for the model."""
+def alpha_table(patches: DataFrame, vocabulary: Vocabulary, vec: str = "embedding") -> DataFrame:
+    """``-ln(0.01) / mean(best - second best similarity)`` as one row."""
 
     def kernel(x):
         top = np.sort(x @ vocabulary.unit.T, axis=1)
         return [top[:, -1] - top[:, -2]]
 
-    gap = map_vectors(patches.select(vec), vec, kernel, "gap DOUBLE").agg(F.avg("gap")).first()[0]
-    return float(-np.log(0.01) / gap)
+    gaps = map_vectors(patches.select(vec), vec, kernel, "gap DOUBLE")
+    return gaps.agg((F.lit(-float(np.log(0.01))) / F.avg("gap")).alias("alpha"))
+
+
+def fit_alpha(patches: DataFrame, vocabulary: Vocabulary, vec: str = "embedding") -> float:
+    """The same as a number for the model."""
+    return float(alpha_table(patches, vocabulary, vec).first()[0])
 
 
 def soft_assignment(patches: DataFrame, vocabulary: Vocabulary, alpha: float, vec: str = "embedding") -> DataFrame:

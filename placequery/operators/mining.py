@@ -44,7 +44,7 @@ def mine_pairs(samples: DataFrame, positive: float = 0.7, negative: float = 0.3)
 
 
 def _extremes(samples: DataFrame) -> DataFrame:
-    """Per anchor: least similar positive and most similar negative.
+    """Per anchor: range of the similarities of its positives and of its negatives.
 
     Blocks report one number per anchor; the grouped minimum and maximum merge them.
     """
@@ -57,10 +57,12 @@ def _extremes(samples: DataFrame) -> DataFrame:
         sim = scalar_matrix(row["flat"], len(a)) @ scalar_matrix(row["r_flat"], len(b)).T
         same = np.asarray(row["label_values"].values)[:, None] == np.asarray(row["r_label_values"].values)[None, :]
         positive = same & (a[:, None] != b[None, :])
-        return [a, np.where(positive, sim, np.inf).min(1), np.where(positive, sim, -np.inf).max(1), np.where(same, -np.inf, sim).max(1)]
+        return [a, np.where(positive, sim, np.inf).min(1), np.where(positive, sim, -np.inf).max(1), np.where(same, np.inf, sim).min(1), np.where(same, -np.inf, sim).max(1)]
 
-    parts = map_block_rows(pairs, kernel, "id BIGINT, pmin DOUBLE, pmax DOUBLE, nmax DOUBLE", KEYS)
-    return parts.groupBy("batch", "id").agg(F.min("pmin").alias("pmin"), F.max("pmax").alias("pmax"), F.max("nmax").alias("nmax"))
+    parts = map_block_rows(pairs, kernel, "id BIGINT, pmin DOUBLE, pmax DOUBLE, nmin DOUBLE, nmax DOUBLE", KEYS)
+    return parts.groupBy("batch", "id").agg(
+        F.min("pmin").alias("pmin"), F.max("pmax").alias("pmax"), F.min("nmin").alias("nmin"), F.max("nmax").alias("nmax")
+    )
 
 
 def mine_multi_similarity(samples: DataFrame, eps: float = 0.1) -> DataFrame:
@@ -74,18 +76,22 @@ def mine_multi_similarity(samples: DataFrame, eps: float = 0.1) -> DataFrame:
 def mine_triplets(samples: DataFrame, margin: float = 0.1) -> DataFrame:
     """Semi-hard triplets: 0 < d(a, n) - d(a, p) <= margin, Euclidean on unit vectors.
 
-    Negatives outside the reach of every positive of their anchor are never produced.
+    Positives and negatives out of each other's reach are never produced.
     """
     def distance(s):
         return np.sqrt(np.maximum(2.0 - 2.0 * s, 0.0))
 
     bounded = samples.join(_extremes(samples), ["batch", "id"])
-    # d(a, n) must lie in (min d(a, p), max d(a, p) + margin].
-    close = _pairs(
-        bounded,
-        lambda s, same, own: same | ((distance(s) > distance(own["pmax"]) - 1e-9) & (distance(s) <= distance(own["pmin"]) + margin + 1e-9)),
-        ["pmin", "pmax"],
-    ).withColumn("d", F.sqrt(F.greatest(F.lit(2.0) - 2 * F.col("sim"), F.lit(0.0))))
+
+    def reachable(s, same, own):
+        # d(a, n) must lie in (min d(a, p), max d(a, p) + margin], and the other way round.
+        d, slack = distance(s), 1e-9
+        negative = (d > distance(own["pmax"]) - slack) & (d <= distance(own["pmin"]) + margin + slack)
+        positive = (d < distance(own["nmin"]) + slack) & (d >= distance(own["nmax"]) - margin - slack)
+        return np.where(same, positive, negative)
+
+    close = _pairs(bounded, reachable, ["pmin", "pmax", "nmin", "nmax"])
+    close = close.withColumn("d", F.sqrt(F.greatest(F.lit(2.0) - 2 * F.col("sim"), F.lit(0.0))))
     p = close.where("same").select("batch", "anchor", F.col("other").alias("positive"), F.col("d").alias("d_pos"))
     n = close.where("not same").select("batch", "anchor", F.col("other").alias("negative"), F.col("d").alias("d_neg"))
     gap = F.col("d_neg") - F.col("d_pos")

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, l2_normalize, long_form
+from ..functions.vectors import l2_normalize, long_form
 from ..operators import aggregate, burst, graph, pooling, transport, vocabulary
 from .registry import query
 
@@ -179,8 +179,7 @@ ALPHA = """(SELECT -ln(0.01) / avg(gap) FROM (SELECT vec_id, max(s) - max(s) FIL
 
 @query("netvlad_alpha", "alpha:d", f"SELECT {ALPHA} AS alpha")
 def _alpha(t):
-    a = aggregate.fit_alpha(t.patches(), vocab(t))
-    return t.patch_list().limit(1).select(F.lit(a).alias("alpha"))
+    return aggregate.alpha_table(t.patches(), vocab(t))
 
 
 @query("netvlad", OWN, vlad_sql(soft_sums_sql(softmax_sql(ALPHA)), "image_id"))

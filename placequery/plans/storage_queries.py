@@ -36,6 +36,34 @@ def _skip_rows(t):
     return tables.read_patches(t.spark, path, rmin=14)
 
 
+@query("read_masks", "image_id:l seg_id:l area:l x:d y:d w:d h:d runs:l", """
+    SELECT image_id, seg_id, count_if(v > 0) AS area, min(x) FILTER (WHERE v > 0) AS x, min(y) FILTER (WHERE v > 0) AS y,
+           max(x) FILTER (WHERE v > 0) - min(x) FILTER (WHERE v > 0) AS w, max(y) FILTER (WHERE v > 0) - min(y) FILTER (WHERE v > 0) AS h,
+           any_value(flips) AS runs FROM pixels JOIN (
+      SELECT image_id, seg_id, count_if(bit <> coalesce(prev, 0)) + 1 AS flips FROM (
+        SELECT image_id, seg_id, v > 0 AS b, CASE WHEN v > 0 THEN 1 ELSE 0 END AS bit,
+               lag(CASE WHEN v > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id, seg_id ORDER BY x * 8 + y) AS prev
+        FROM pixels) s GROUP BY ALL) f USING (image_id, seg_id) GROUP BY image_id, seg_id""")
+def _read_masks(t):
+    """Mask records with run lengths and box, written and read with the declared schema."""
+    from ..operators import masks as geometry
+    from .mask_queries import rle_masks
+
+    m = rle_masks(t)
+    boxed = geometry.mask_box(m).join(m, ["image_id", "seg_id"])
+    number = F.lit(None).cast("double")
+    path = scratch_path(t.spark, "masks")
+    boxed.select(
+        "image_id", F.col("seg_id").cast("long").alias("seg_id"), "rle", F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"),
+        geometry.rle_area(F.col("rle")).alias("area"),
+        F.struct(*[v.cast("double").alias(n) for n, v in (
+            ("x", F.col("x0")), ("y", F.col("y0")), ("w", F.col("x1") - F.col("x0")), ("h", F.col("y1") - F.col("y0")))]).alias("bbox"),
+        number.alias("predicted_iou"), number.alias("stability_score"),
+    ).write.parquet(path)
+    back = tables.read_masks(t.spark, path)
+    return back.select("image_id", "seg_id", "area", "bbox.x", "bbox.y", "bbox.w", "bbox.h", F.size("rle").alias("runs"))
+
+
 @query("count_masks", "image_id:l n_masks:l", """
     SELECT i.image_id, count(b.seg_id) AS n_masks FROM (SELECT o_orderkey AS image_id FROM orders) i
     LEFT JOIN boxes b ON b.image_id = i.image_id AND b.predicted_iou > 0.88 GROUP BY ALL""")
@@ -122,12 +150,16 @@ def _write_match_info(t):
     return results.read_match_info(t.spark, path)
 
 
-@query("match_records", "q_image:l gt:s img_id_r:s", """
+@query("match_records", "q_image:l kind:s part:l payload:s", """
     WITH votes AS (SELECT q_image, r_image, count(*) AS n FROM matches WHERE rank = 1 GROUP BY ALL),
-    top AS (SELECT *, row_number() OVER (PARTITION BY q_image ORDER BY n DESC, r_image) AS pos FROM votes QUALIFY pos <= 5)
-    SELECT q.q_image, '[' || coalesce((SELECT string_agg(r_image, ',' ORDER BY r_image) FROM gt WHERE gt.q_image = q.q_image), '') || ']' AS gt,
-           '[' || coalesce((SELECT string_agg(r_image, ',' ORDER BY pos) FROM top WHERE top.q_image = q.q_image), '') || ']' AS img_id_r
-    FROM query_images q""")
+    top AS (SELECT *, row_number() OVER (PARTITION BY q_image ORDER BY n DESC, r_image) AS pos FROM votes QUALIFY pos <= 5),
+    seg AS (SELECT m.q_image, m.q_seg, m.r_seg, m.r_image FROM matches m JOIN top USING (q_image, r_image) WHERE m.rank = 1)
+    SELECT q.q_image, 'gt' AS kind, 0 AS part,
+           '[' || coalesce((SELECT string_agg(r_image, ',' ORDER BY r_image) FROM gt WHERE gt.q_image = q.q_image), '') || ']' AS payload
+    FROM query_images q
+    UNION ALL SELECT q_image, 'img_id_r', 0, '[' || string_agg(r_image, ',' ORDER BY pos) || ']' FROM top GROUP BY q_image
+    UNION ALL SELECT q_image, 'segments', 0, '[' || string_agg('{"seg_id_q":' || q_seg || ',"seg_id_r":' || r_seg || ',"img_id_r":' || r_image || '}',
+      ',' ORDER BY q_seg, r_seg) || ']' FROM seg GROUP BY q_image""")
 def _match_records(t):
     return results.match_records(vote.match_info(matches(t)), gt(t), query_images(t))
 

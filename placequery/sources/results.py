@@ -24,34 +24,45 @@ def read_results(spark: SparkSession, path: str, experiment: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("experiment") == experiment)
 
 
+# Entries one stored record holds; longer lists continue in the next part.
+PART_ENTRIES = 10_000
+
+
 def match_records(info: DataFrame, gt: DataFrame, queries: DataFrame) -> DataFrame:
-    """Per query: ground truth, predicted images and voting segments as JSON strings.
+    """``(q_image, kind, part, payload)``: JSON lists per query.
 
-    Export form; ``info`` is the long form of ``vote.match_info``.
+    Kinds are ``gt`` (true references), ``img_id_r`` (predicted images by rank) and
+    ``segments`` (what each voting segment matched). A list is cut into parts by id, so
+    that no query gathers an unbounded list in one place. ``info`` is the long form of
+    ``vote.match_info``.
     """
-    truth = gt.groupBy("q_image").agg(F.to_json(F.array_sort(F.collect_set("r_image"))).alias("gt"))
-    predicted = info.select("q_image", "r_rank", "r_image").distinct().groupBy("q_image").agg(
-        F.array_sort(F.collect_list(F.struct("r_rank", "r_image"))).alias("_p")
-    ).select("q_image", F.to_json(F.col("_p.r_image")).alias("img_id_r"))
-    local = info.groupBy("q_image").agg(
-        F.array_sort(F.collect_list(F.struct(
-            F.col("q_seg").alias("seg_id_q"), F.col("r_seg").alias("seg_id_r"), F.col("r_image").alias("img_id_r")
-        ))).alias("_s")
-    ).select("q_image", F.to_json("_s").alias("segments"))
-    return (
-        queries.join(truth, "q_image", "left").join(predicted, "q_image", "left").join(local, "q_image", "left")
-        .select("q_image", *[F.coalesce(c, F.lit("[]")).alias(c) for c in ("gt", "img_id_r", "segments")])
+
+    def parts(df: DataFrame, kind: str, by: str, entry) -> DataFrame:
+        listed = df.groupBy("q_image", F.floor(F.col(by) / PART_ENTRIES).cast("long").alias("part")).agg(
+            F.array_sort(F.collect_set(entry)).alias("_e")
+        )
+        payload = F.to_json("_e" if kind != "img_id_r" else F.col("_e.r_image"))
+        return listed.select("q_image", F.lit(kind).alias("kind"), "part", payload.alias("payload"))
+
+    truth = parts(gt, "gt", "r_image", F.col("r_image"))
+    without = queries.join(gt.select("q_image"), "q_image", "left_anti").select(
+        "q_image", F.lit("gt").alias("kind"), F.lit(0).cast("long").alias("part"), F.lit("[]").alias("payload")
     )
+    predicted = parts(info, "img_id_r", "r_rank", F.struct("r_rank", "r_image"))
+    local = parts(info, "segments", "q_seg", F.struct(
+        F.col("q_seg").alias("seg_id_q"), F.col("r_seg").alias("seg_id_r"), F.col("r_image").alias("img_id_r")
+    ))
+    return truth.unionByName(without).unionByName(predicted).unionByName(local)
 
 
 def write_match_info(records: DataFrame, path: str) -> None:
-    records.write.mode("overwrite").parquet(path)
+    records.write.mode("overwrite").partitionBy("kind").parquet(path)
 
 
 def read_match_info(spark: SparkSession, path: str) -> DataFrame:
-    """Back to long form: one row per voting segment."""
-    df = spark.read.parquet(path)
-    return df.select("q_image", F.explode(F.from_json("segments", RECORD_SCHEMA)).alias("_s")).select(
+    """Back to long form: one row per voting segment; other kinds are not read."""
+    df = spark.read.parquet(path).where("kind = 'segments'")
+    return df.select("q_image", F.explode(F.from_json("payload", RECORD_SCHEMA)).alias("_s")).select(
         "q_image", "_s.seg_id_q", "_s.seg_id_r", "_s.img_id_r"
     )
 
