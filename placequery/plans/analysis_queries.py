@@ -198,6 +198,25 @@ def _fit_pca(t):
     return reduce.model_table(t.spark, model).where("component >= 0").select("component", "variance")
 
 
+@query("pca_total_variance", "components:l total:d", """
+    SELECT count(*) AS components, sum(var) AS total FROM (SELECT var_samp(v) AS var FROM patch_long GROUP BY d) x""")
+def _pca_total(t):
+    """All components together carry exactly the variance of the data."""
+    model = reduce.model_table(t.spark, reduce.fit_pca(t.patches(), 64, vec="embedding")).where("component >= 0")
+    return model.agg(F.count(F.lit(1)).alias("components"), F.sum("variance").alias("total"))
+
+
+@query("pca_whitened_moments", "i:l j:l covariance:d", """
+    SELECT a.d - 1 AS i, b.d - 1 AS j, CASE WHEN a.d = b.d THEN 1.0 ELSE 0.0 END AS covariance
+    FROM (SELECT DISTINCT d FROM patch_long WHERE d <= 12) a, (SELECT DISTINCT d FROM patch_long WHERE d <= 12) b""")
+def _pca_moments(t):
+    """Projected data is uncorrelated with unit variance."""
+    p = cut_lineage(t.patches().select("vec_id", "embedding"))
+    z = long_form(reduce.apply_pca(p, reduce.fit_pca(p, 12, vec="embedding"), "embedding").drop("embedding"), "reduced")
+    a, b = z.select("vec_id", F.col("dim").alias("i"), F.col("value").alias("a")), z.select("vec_id", F.col("dim").alias("j"), F.col("value").alias("b"))
+    return a.join(b, "vec_id").groupBy("i", "j").agg(F.covar_samp("a", "b").alias("covariance"))
+
+
 @query("whiten_pca", "vec_id:l dim:l value:d")
 def _whiten(t):
     v = t.patches().select("vec_id", "embedding")
@@ -221,10 +240,12 @@ def _segment_retrieval(t):
     wide = graph.super_segment_patches(graph.expand_hops(graph.delaunay_edges(t.segments()), 3), t.segment_patches())
     dense = aggregate.densify(aggregate.segment_vlad(t.patches(), wide, v), ["image_id", "seg_id"], v)
     dense = cut_lineage(dense)
-    model = reduce.fit_pca(dense.where("image_id % 5 <> 0"), 32)
+    roles = t.images()
+    model = reduce.fit_pca(dense.join(roles.where("role = 'ref'"), "image_id", "left_semi"), 32)
     low = cut_lineage(reduce.apply_pca(dense, model, normalize=True).select("image_id", "seg_id", F.col("reduced").alias("vec")))
-    q = low.where("image_id % 5 = 0").select(F.col("image_id").alias("q_image"), F.col("seg_id").alias("q_seg"), "vec")
-    r = low.where("image_id % 5 <> 0").select(F.col("image_id").alias("r_image"), F.col("seg_id").alias("r_seg"), "vec")
+    low = low.join(roles, "image_id")
+    q = low.where("role = 'query'").select(F.col("image_id").alias("q_image"), F.col("seg_id").alias("q_seg"), "vec")
+    r = low.where("role = 'ref'").select(F.col("image_id").alias("r_image"), F.col("seg_id").alias("r_seg"), "vec")
     found = search.knn_l2(q, r, 50, q_ids=["q_image", "q_seg"], r_ids=["r_image", "r_seg"])
     return vote.get_matches(search.segment_matches(found, 50))
 
@@ -240,8 +261,9 @@ def _global(t):
     """Whole-image VLAD and Euclidean search."""
     v = vocab(t)
     dense = aggregate.densify(aggregate.image_vlad_hard(t.patches(), v), ["image_id"], v)
-    q = dense.where("image_id % 5 = 0").withColumnRenamed("image_id", "q_image")
-    r = dense.where("image_id % 5 <> 0").withColumnRenamed("image_id", "r_image")
+    dense = dense.join(t.images(), "image_id")
+    q = dense.where("role = 'query'").withColumnRenamed("image_id", "q_image")
+    r = dense.where("role = 'ref'").withColumnRenamed("image_id", "r_image")
     return search.knn_image(q, r, 5, q_ids=["q_image"], r_ids=["r_image"])
 
 

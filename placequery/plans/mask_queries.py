@@ -221,6 +221,33 @@ def _nms_crops(t):
     return suppression.nms_across_crops(t.boxes(), 0.6)
 
 
+def _reach(name, source, wanted):
+    """Pixels reachable over 8 neighbours from each wanted pixel."""
+    return f"""{name}(image_id, seg_id, y, x, ry, rx) AS (
+      SELECT image_id, seg_id, y, x, y, x FROM {source} WHERE {wanted} UNION
+      SELECT r.image_id, r.seg_id, r.y, r.x, p.y, p.x FROM {name} r JOIN (SELECT * FROM {source} WHERE {wanted}) p
+        ON p.image_id = r.image_id AND p.seg_id = r.seg_id AND abs(p.y - r.ry) <= 1 AND abs(p.x - r.rx) <= 1)"""
+
+
+CLEAN_SQL = f"""WITH RECURSIVE px AS (SELECT image_id, seg_id, y, x, v > 0 AS bit FROM pixels), {_reach('off_reach', 'px', 'NOT bit')},
+    holes AS (SELECT image_id, seg_id, y, x, count(*) AS size FROM off_reach GROUP BY ALL),
+    filled AS (SELECT px.image_id, px.seg_id, px.y, px.x, bit OR coalesce(size < 4, false) AS bit, coalesce(size < 4, false) AS was_hole
+               FROM px LEFT JOIN holes USING (image_id, seg_id, y, x)),
+    {_reach('on_reach', 'filled', 'bit')},
+    islands AS (SELECT image_id, seg_id, y, x, count(*) AS size, min(ry * 8 + rx) AS label FROM on_reach GROUP BY ALL),
+    largest AS (SELECT image_id, seg_id, max(size) AS top, min(size) AS low, arg_min(label, (-size, label)) AS label FROM islands GROUP BY ALL),
+    kept AS (SELECT i.image_id, i.seg_id, count(*) AS area FROM islands i JOIN largest l USING (image_id, seg_id)
+             WHERE i.size >= 4 OR (l.top < 4 AND i.label = l.label) GROUP BY ALL)
+    SELECT f.image_id, f.seg_id, NOT bool_or(f.was_hole) AND any_value(coalesce(l.low, 4)) >= 4 AS unchanged,
+           any_value(coalesce(k.area, 0)) AS area
+    FROM filled f LEFT JOIN kept k USING (image_id, seg_id) LEFT JOIN largest l USING (image_id, seg_id) GROUP BY f.image_id, f.seg_id"""
+
+
+@query("clean_masks", "image_id:l seg_id:l unchanged:b area:l", CLEAN_SQL)
+def _clean_masks(t):
+    return regions.clean_masks(rle_masks(t), 4).withColumn("area", masks.rle_area(F.col("rle")))
+
+
 @query("clean_small_regions", "image_id:l seg_id:l unchanged:b area:l")
 def _clean(t):
     out = regions.clean_small_regions(rle_masks(t), 4, 0.9)
