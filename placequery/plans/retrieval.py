@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut_lineage
 from ..operators import search, vote
 from .fixtures import Fixtures
 from .registry import query
@@ -91,7 +92,8 @@ def _similarity(t):
 
 @query("minmax_global", "q_image:l q_seg:l rank:l nsim:d", "SELECT * FROM normed_matches")
 def _minmax_global(t):
-    return vote.normalised(matches(t))
+    # Stored once: the bounds and the rows both read it.
+    return vote.normalised(cut_lineage(matches(t)))
 
 
 @query("minmax_per_image", "image_id:l patch_id:l norm:d", """
