@@ -58,7 +58,7 @@ def count_masks(masks: DataFrame, images: DataFrame) -> DataFrame:
 def read_place_tables(spark: SparkSession, paths: list[str], schema: str = PLACES) -> DataFrame:
     """Per-city CSV tables under one id space: table i adds ``i * 100000`` to place_id.
 
-    All files are one scan; the ordinal comes from the file each row was read from.
+    One scan per city file, unioned without a shuffle.
     """
     frames = [
         spark.read.schema(schema).option("header", True).csv(path).withColumn("place_id", F.col("place_id") + F.lit(i * 100000))

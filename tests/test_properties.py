@@ -372,3 +372,20 @@ def test_scans_read_only_needed_columns(spark):
     from placequery.plans.fixtures import Fixtures
     plan = Fixtures(spark, "/root/testdata/sf0.001").segment_patches()._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<vec_id:bigint>" in plan
+
+
+def test_replayed_stream_batches_do_not_repeat_votes(spark, tmp_path):
+    from placequery.streaming import retrieve
+
+    refs = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(RNG.normal(size=(20, 3)))], "r_image BIGINT, r_seg BIGINT, vec ARRAY<DOUBLE>")
+    queries = spark.createDataFrame([(100 + i // 2, i, v.tolist()) for i, v in enumerate(RNG.normal(size=(6, 3)))], retrieve.SEGMENTS)
+    queries.coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = f"{tmp_path}/out"
+    for state in ("first", "again"):
+        # A second run without the first one's progress replays the same batch.
+        stream = retrieve.read_query_segments(spark, f"{tmp_path}/in")
+        retrieve.retrieve_stream(stream, refs, (-10.0, 2.0), out, f"{tmp_path}/{state}", k=5, top=5, n=2).awaitTermination()
+    got = spark.read.parquet(out).select("q_image", "rank", "r_image")
+    want = retrieve.retrieve_batch(queries, refs, (-10.0, 2.0), 5, 5, 2).select("q_image", "rank", "r_image")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.count() == 6
