@@ -6,20 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, prefix_counts
+from . import archives, bpe, main_text, prefix_counts, token_files, url_filters
 from .common import table
 
-ORACLES: dict[str, str] = {}
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.page_verdicts(table(spark, sf_dir, "pages"))
+
+
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.page_texts(table(spark, sf_dir, "pages"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_bpe, op7_token_counts)
+    f.__name__: f for f in (op1_url_filters, op3_main_text, op5_bpe, op6_token_files, op7_token_counts, op9_warc)
+}
+ORACLES: dict[str, str] = {
+    "op1_url_filters": url_filters.VERDICTS_SQL,
+    "op9_warc": archives.ROUND_TRIP_SQL,
 }
