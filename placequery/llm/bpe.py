@@ -29,6 +29,9 @@ _FAN = 16
 _NONE = 1 << 62
 _PLACE_BITS = 31
 _PLACE_MASK = (1 << _PLACE_BITS) - 1
+# Words of up to _WIDEST bytes are merged _TOGETHER; their trees are rows of one array.
+_WIDEST, _FEW, _TOGETHER = 32, 16, 4096
+_NO_RANK = 1 << 40
 
 
 def default_path() -> str:
@@ -50,10 +53,13 @@ class WordBpe:
         self.inner = [self.vocab[x] for x in letters]
         self.final = [self.vocab[x + WORD_END] for x in letters]
         self.tokens = {i: t for t, i in self.vocab.items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
-        self.text_ids = words.concatenated(
-            lambda piece: np.array(self.piece(piece), "<u4").tobytes(),
-            lambda special: np.array([words.SPECIAL[special]], "<u4").tobytes(),
-        )
+        keyed = sorted((a << 17 | b, rank, new) for (a, b), (rank, new) in self.pairs.items())
+        self.pair_keys = np.array([k for k, _, _ in keyed], np.int64)
+        self.pair_ranks = np.array([r for _, r, _ in keyed], np.int64)
+        self.merged_ids = np.zeros(len(keyed), np.int32)
+        self.merged_ids[self.pair_ranks] = [n for _, _, n in keyed]
+        self.inner_ids, self.final_ids = np.array(self.inner, np.int32), np.array(self.final, np.int32)
+        self.coder = words.TextCoder(self.piece_codes, lambda special: np.array([words.SPECIAL[special]], "<u4").tobytes())
 
     def piece(self, piece: str) -> list[int]:
         raw = piece.encode("utf-8", "surrogatepass")
@@ -101,6 +107,76 @@ class WordBpe:
                     high[c] = min(low[c * _FAN : c * _FAN + _FAN])
         return [s for s in symbols if s >= 0]
 
+    def piece_codes(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece as little-endian 32-bit integers; pieces of like length are merged together."""
+        raws = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        out: list[bytes] = [b""] * len(raws)
+        by_size: dict[int, list[int]] = {}
+        for k, raw in enumerate(raws):
+            by_size.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append(k)
+        for size, members in by_size.items():
+            if size > _WIDEST or len(members) < _FEW:
+                for k in members:
+                    out[k] = np.array(self.piece(pieces[k]), "<u4").tobytes()
+                continue
+            for low in range(0, len(members), _TOGETHER):
+                part = members[low : low + _TOGETHER]
+                ids, counts = self._merged_together([raws[k] for k in part], size)
+                data, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+                begin = 0
+                for k, end in zip(part, ends, strict=True):
+                    out[k], begin = data[begin:end], end
+        return out
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, _NO_RANK where it never merges (also next to a gap, -1)."""
+        keys = left.astype(np.int64) << 17 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == keys) & (left >= 0) & (right >= 0), self.pair_ranks[at], _NO_RANK)
+
+    def _merged_together(self, raws: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+        """``merged`` for many words at once, one segment tree of ``size`` leaves per row."""
+        n = np.array([len(r) for r in raws])
+        letters = np.frombuffer(b"".join(r.ljust(size, b"\0") for r in raws), np.uint8).reshape(-1, size)
+        place = np.arange(size)
+        symbols = np.where(place < (n - 1)[:, None], self.inner_ids[letters], np.where(place == (n - 1)[:, None], self.final_ids[letters], -1))
+        # One more column stands for the end of the word, and for the beginning as column -1.
+        symbols = np.concatenate([symbols, np.full((len(raws), 1), -1)], axis=1).astype(np.int32)
+        after = np.tile(np.arange(1, size + 2, dtype=np.int16), (len(raws), 1))
+        before = np.tile(np.arange(-1, size, dtype=np.int16), (len(raws), 1))
+        tree = np.full((len(raws), 2 * size), _NO_RANK * size, np.int64)
+        tree[:, size:] = self._ranks_of(symbols[:, :-1], symbols[:, 1:]) * size + place
+        half = size
+        while half > 1:
+            half //= 2
+            tree[:, half : 2 * half] = np.minimum(tree[:, 2 * half : 4 * half : 2], tree[:, 2 * half + 1 : 4 * half : 2])
+        row = np.flatnonzero(tree[:, 1] < _NO_RANK * size)
+        while len(row):
+            rank, i = np.divmod(tree[row, 1], size)
+            j = after[row, i]
+            k = after[row, j]
+            h = before[row, i]
+            new = self.merged_ids[rank]
+            symbols[row, i], symbols[row, j] = new, -1
+            after[row, i], before[row, k] = k, i
+            begin = h < 0
+            to_left = np.where(begin, _NO_RANK, self._ranks_of(np.where(begin, -1, symbols[row, h]), new))
+            tree[row, size + j] = _NO_RANK * size
+            tree[row, size + i] = self._ranks_of(new, symbols[row, k]) * size + i
+            h = np.where(begin, i, h)
+            tree[row, size + h] = np.where(begin, tree[row, size + i], to_left * size + h)
+            nodes = [size + j, size + i, size + h]
+            for _ in range(size.bit_length() - 1):
+                nodes = [x >> 1 for x in nodes]
+                for x in nodes:
+                    tree[row, x] = np.minimum(tree[row, 2 * x], tree[row, 2 * x + 1])
+            row = row[tree[row, 1] < _NO_RANK * size]
+        left = symbols >= 0
+        return symbols[left], left.sum(axis=1)
+
+    def text_ids(self, text: str) -> bytes:
+        return next(self.coder.codes([text]))
+
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.text_ids(text), "<u4")
 
@@ -124,12 +200,13 @@ def encode_column(text: Column, path: str) -> Column:
     @F.arrow_udf(ArrayType(IntegerType()))
     def encode(texts: pa.Array) -> pa.Array:
         bpe = vocabulary(path)
-        coded = [bpe.text_ids(t) if t else b"" for t in texts.to_pylist()]
+        coded = list(bpe.coder.codes(t.as_py() for t in texts))
         ends = np.cumsum([0, *(len(c) // 4 for c in coded)])
         flat = np.frombuffer(b"".join(coded), "<i4")
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
-    return encode(text)
+    # Spark would otherwise encode anew for each use of the ids.
+    return encode.asNondeterministic()(text)
 
 
 def decode_column(ids: Column, path: str) -> Column:
@@ -138,7 +215,7 @@ def decode_column(ids: Column, path: str) -> Column:
     @F.arrow_udf(StringType())
     def decode(arrays: pa.Array) -> pa.Array:
         bpe = vocabulary(path)
-        return pa.array([bpe.text(x) if x else "" for x in arrays.to_pylist()], pa.string())
+        return pa.array([bpe.text(x.values.to_numpy().tolist()) if x.is_valid else "" for x in arrays], pa.string())
 
     return decode(ids)
 

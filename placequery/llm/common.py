@@ -27,24 +27,33 @@ def whole(text: str) -> Column:
 class Memo(dict):
     """Bounded memo of a function: two generations, so frequent keys survive and memory stays fixed.
 
-    Keys above MEMO_KEY characters are computed anew each time.
+    A generation ends once it has ``entries`` keys; ``turns`` False leaves that to calls of
+    ``turn``. Keys above MEMO_KEY characters are computed anew each time.
     """
 
-    def __init__(self, compute: Callable, entries: int = MEMO_ENTRIES):
+    def __init__(self, compute: Callable, entries: int = MEMO_ENTRIES, turns: bool = True):
         super().__init__()
-        self.compute, self.entries, self.old = compute, entries, {}
+        self.compute, self.entries, self.turns, self.old = compute, entries, turns, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
+        if self.turns:
+            self.turn()
         if len(key) <= MEMO_KEY:
-            if len(self) >= self.entries:
-                self.old = dict(self)
-                self.clear()
             self[key] = value
         return value
 
+    def turn(self) -> None:
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+
+    def take(self, found: dict) -> None:
+        """Keep what was computed elsewhere."""
+        self.update((k, v) for k, v in found.items() if len(k) <= MEMO_KEY)
+
 
 def file_system(uri: str):
     """(file system, path) of a URI or absolute path, for random access from Python tasks."""

@@ -26,6 +26,8 @@ from .common import Memo, whole
 
 
 _NEVER = 1 << 62
+# Prefixes of words kept at a time.
+_PREFIXES = 600_000
 
 
 class PrefixCounts:
@@ -40,10 +42,16 @@ class PrefixCounts:
         self.parts = {new: (pair, rank) for pair, (rank, new) in self.bpe.pairs.items()}
         self.fitting: dict[tuple[int, int], bool] = {}
         self.spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        # Tokens by their characters from the last to the first.
+        # Tokens by their letters from the last to the first.
         self.inner_ends, self.final_ends = _backwards(self.inner), _backwards(self.final)
-        self.pieces = Memo(self.piece_steps)
-        self.chunks = Memo(lambda c: np.concatenate([self.pieces[p] for p in words.PIECE.findall(c)]))
+        self.pieces = Memo(lambda p: np.diff(np.array([0, *self.piece_counts(p)], "<i4")).tobytes())
+        self.chunks = Memo(lambda c: b"".join(map(self.pieces.__getitem__, words.PIECE.findall(c))))
+        self._forget()
+
+    def _forget(self) -> None:
+        # Prefixes met before, as a tree: child by (node, byte), then per node its last token, count and count as a word.
+        self.child: dict[int, int] = {}
+        self.last, self.count, self.as_word = [-1], [0], [0]
 
     def _symbols(self, token: int) -> list[int]:
         return [x for part in self.parts[token][0] for x in self._symbols(part)] if token in self.parts else [token]
@@ -93,41 +101,51 @@ class PrefixCounts:
         return known
 
     def piece_counts(self, piece: str) -> list[int]:
-        """Token count of each prefix of a piece, by character; each prefix is a word of its own."""
-        raw, at, ends = words.as_letters(piece), 0, set()
-        for c in piece:
-            at += len(c.encode("utf-8", "surrogatepass"))
-            ends.add(at)
-        last, count, counts = [-1], [0], []
-        known = self.fitting.get
-
-        def ending(node: dict, end: int) -> tuple[int, int]:
-            """The last token of the prefix up to ``end``, and its first place."""
-            for j in range(end - 1, -1, -1):
-                node = node.get(raw[j])
-                if node is None:
-                    break
-                token = node.get("")
-                if token is not None:
-                    fits = known((last[j], token))
-                    if fits or fits is None and self._fits(last[j], token):
-                        return token, j
-            raise ValueError("a prefix without an encoding")
-
-        for i in range(1, len(raw) + 1):
-            if i in ends:
-                counts.append(count[ending(self.final_ends, i)[1]] + 1)
-            if i < len(raw):
-                token, j = ending(self.inner_ends, i)
-                last.append(token)
-                count.append(count[j] + 1)
+        """Token count of each prefix of a piece, by character; each prefix is a word of its own.
+
+        Words share prefixes, so only prefixes not met before are worked out.
+        """
+        raw = piece.encode("utf-8", "surrogatepass")
+        if len(self.last) + len(raw) > _PREFIXES:
+            self._forget()
+        child, last, count, as_word, known = self.child, self.last, self.count, self.as_word, self.fitting.get
+        letters, node, way = "", 0, [0]
+        for i, byte in enumerate(raw, 1):
+            found = child.get(node << 8 | byte)
+            if found is None:
+                letters = letters or words.as_letters(piece)
+                found = child[node << 8 | byte] = len(last)
+                for root, is_word in ((self.final_ends, True), (self.inner_ends, False)):
+                    at = root
+                    for j in range(i - 1, -1, -1):
+                        at = at.get(letters[j])
+                        if at is None:
+                            raise ValueError("a prefix without an encoding")
+                        token = at.get("")
+                        if token is not None:
+                            before = last[way[j]]
+                            fits = known((before, token))
+                            if fits or fits is None and self._fits(before, token):
+                                break
+                    if is_word:
+                        as_word.append(count[way[j]] + 1)
+                    else:
+                        last.append(token)
+                        count.append(count[way[j]] + 1)
+            node = found
+            way.append(node)
+        if len(piece) == len(raw):
+            counts = [as_word[k] for k in way[1:]]
+        else:
+            ends, at = [], 0
+            for c in piece:
+                at += len(c.encode("utf-8", "surrogatepass"))
+                ends.append(at)
+            counts = [as_word[way[k]] for k in ends]
         if piece in ("'re", "'ve", "'ll"):  # cut after two characters, these are two pieces
             counts[1] = sum(len(self.bpe.piece(c)) for c in piece[:2])
         return counts
 
-    def piece_steps(self, piece: str) -> np.ndarray:
-        return np.diff(np.array([0, *self.piece_counts(piece)], np.int32))
-
     def text_steps(self, text: str) -> np.ndarray:
         """Step of the prefix count at each character of the normal text."""
         parts, done = [], ""
@@ -146,19 +164,17 @@ class PrefixCounts:
         return np.concatenate(parts) if parts else np.empty(0, np.int32)
 
     def segment_steps(self, segment: str) -> np.ndarray:
-        found = [self.chunks[c] for c in words.chunks(segment)]
-        if not found:
-            return np.zeros(len(segment), np.int32)
-        flat = np.concatenate(found)
+        flat = np.frombuffer(b"".join(map(self.chunks.__getitem__, words.chunks(segment))), "<i4")
         if len(flat) == len(segment):
             return flat
         codes = np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), "<u4")
         out = np.zeros(len(segment), np.int32)
-        out[~np.isin(codes, _SPACES)] = flat
+        out[~_IS_SPACE[np.minimum(codes, len(_IS_SPACE) - 1)]] = flat
         return out
 
 
-_SPACES = np.array([*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+_IS_SPACE = np.zeros(0x3002, bool)
+_IS_SPACE[[*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
 
 
 def _backwards(tokens: dict[str, int]) -> dict:
@@ -200,15 +216,16 @@ def prefix_table(docs: DataFrame, path: str | None = None, text: str = "text", o
     @F.arrow_udf(BinaryType())
     def tables(texts: pa.Array) -> pa.Array:
         counter = _counter(where)
-        return pa.array([packed(counter.text_steps(t or "")) for t in texts.to_pylist()], pa.binary())
+        return pa.array([packed(counter.text_steps(t.as_py() or "")) for t in texts], pa.binary())
 
-    return docs.withColumn(out, tables(whole(text)))
+    # Spark would otherwise build a table anew for each use of it.
+    return docs.withColumn(out, tables.asNondeterministic()(whole(text)))
 
 
 @F.arrow_udf(LongType())
 def total_tokens(tables: pa.Array) -> pa.Array:
     """Tokens of the whole text."""
-    return pa.array([None if t is None else int(unpacked(t).sum(dtype=np.int64)) for t in tables.to_pylist()], pa.int64())
+    return pa.array([int(unpacked(t.as_py()).sum(dtype=np.int64)) if t.is_valid else None for t in tables], pa.int64())
 
 
 @F.arrow_udf(LongType())

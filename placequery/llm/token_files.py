@@ -63,10 +63,11 @@ def _library(path: str):
 
     tokenizer = Tokenizer.from_file(path)
     model = tokenizer.model
-    return words.concatenated(
-        lambda piece: np.array([t.id for t in model.tokenize(words.as_letters(piece))], "<u4").tobytes(),
-        lambda special: np.array([tokenizer.token_to_id(special)], "<u4").tobytes(),
-    )
+
+    def codes(pieces: list[str]) -> list[bytes]:
+        return [np.array([t.id for t in model.tokenize(words.as_letters(p))], "<u4").tobytes() for p in pieces]
+
+    return words.TextCoder(codes, lambda special: np.array([tokenizer.token_to_id(special)], "<u4").tobytes())
 
 
 def _open_new(folder: str):
@@ -112,7 +113,7 @@ def _write_plain(folder: str, path: str):
     """Ids as they are (no control bytes), in the order of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, first, n_docs, n_tokens, encode = None, [], 0, 0, _library(path)
+        out, first, n_docs, n_tokens, coder = None, [], 0, 0, _library(path)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             if not batch.num_rows:
@@ -120,7 +121,7 @@ def _write_plain(folder: str, path: str):
             if out is None:
                 out, name = _open_new(folder)
             docs = batch.column(0).to_pylist()
-            coded = [encode(t) + end if t else end for t in batch.column(1).to_pylist()]
+            coded = [c + end for c in coder.codes(t.as_py() for t in batch.column(1))]
             counts = [len(c) // 4 for c in coded]
             flat = np.frombuffer(b"".join(coded), "<u4")
             _write_block(out, docs, counts, b"", zlib.compress(flat.astype("<u2" if _narrow(path) else "<u4").tobytes(), 1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import regex
@@ -69,15 +69,41 @@ def segments(text: str) -> Iterator[tuple[str, bool]]:
             yield part, part in SPECIAL
 
 
-def concatenated(of_piece: Callable[[str], bytes], of_special: Callable[[str], bytes]) -> Callable[[str], bytes]:
-    """A function from texts to the concatenated bytes of their pieces, through two bounded memos."""
-    pieces = Memo(of_piece)
-    whole_chunks = Memo(lambda chunk: b"".join(map(pieces.__getitem__, PIECE.findall(chunk))))
-
-    def of_text(text: str) -> bytes:
-        return b"".join(
-            of_special(part) if special else b"".join(map(whole_chunks.__getitem__, chunks(normal(part))))
-            for part, special in segments(text)
-        )
-
-    return of_text
+# Characters of text whose chunks are held at a time.
+GROUP_CHARS = 1 << 20
+
+
+class TextCoder:
+    """Concatenated code of the pieces of texts; pieces not in the memo are coded together.
+
+    ``of_pieces`` gives the code (bytes) of each piece of a list, ``of_special`` that of a special
+    string.
+    """
+
+    def __init__(self, of_pieces: Callable[[list[str]], list[bytes]], of_special: Callable[[str], bytes]):
+        self.of_pieces, self.of_special = of_pieces, of_special
+        self.pieces = Memo(lambda piece: of_pieces([piece])[0], turns=False)
+        self.chunks = Memo(lambda chunk: b"".join(map(self.pieces.__getitem__, PIECE.findall(chunk))), turns=False)
+
+    def codes(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        group, held = [], 0
+        for text in texts:
+            group.append([(p, None) if special else (None, chunks(normal(p))) for p, special in segments(text)] if text else [])
+            held += len(text) if text else 0
+            if held >= GROUP_CHARS:
+                yield from self._group(group)
+                group, held = [], 0
+        yield from self._group(group)
+
+    def _group(self, group: list[list[tuple[str | None, list[str]]]]) -> Iterator[bytes]:
+        of_chunk, of_piece = self.chunks, self.pieces
+        of_chunk.turn()
+        of_piece.turn()
+        fresh = set().union(*(run for parts in group for _, run in parts if run)).difference(of_chunk, of_chunk.old)
+        if fresh:
+            split = {c: PIECE.findall(c) for c in fresh}
+            new = list(set().union(*split.values()).difference(of_piece, of_piece.old))
+            of_piece.take(dict(zip(new, self.of_pieces(new), strict=True)))
+            of_chunk.take({c: b"".join(map(of_piece.__getitem__, found)) for c, found in split.items()})
+        for parts in group:
+            yield b"".join([self.of_special(p) if p else b"".join(map(of_chunk.__getitem__, run)) for p, run in parts])
