@@ -17,7 +17,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
 from . import words
 from .common import whole
@@ -234,19 +234,30 @@ def decode(coded: DataFrame, path: str | None = None, ids: str = "ids", out: str
     return coded.withColumn(out, decode_column(F.col(ids), path or default_path()))
 
 
-@F.arrow_udf(BinaryType())
-def little_endian(arrays: pa.Array) -> pa.Array:
-    """Ids as little-endian unsigned 32-bit integers."""
-    flat, ends = np.asarray(arrays.values, "<u4"), arrays.offsets.to_numpy()
-    return pa.array([flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+def round_trip(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
+    """Add ``packed`` (ids as little-endian unsigned 32-bit integers) and ``decoded`` in one pass over the texts.
+
+    Null and empty texts give empty values. Columns of these names are replaced, others stay.
+    """
+    where = path or default_path()
+
+    @F.arrow_udf(StructType([StructField("packed", BinaryType()), StructField("decoded", StringType())]))
+    def both(texts: pa.Array) -> pa.Array:
+        bpe = vocabulary(where)
+        packed = list(bpe.coder.codes(t.as_py() for t in texts))
+        decoded = pa.array([bpe.text(np.frombuffer(p, "<u4").tolist()) for p in packed], pa.string())
+        return pa.StructArray.from_arrays([pa.array(packed, pa.binary()), decoded], ["packed", "decoded"])
+
+    # Spark would otherwise run it anew for each field.
+    found = docs.withColumn("_both", both.asNondeterministic()(whole(text)))
+    return found.withColumns({"packed": F.col("_both.packed"), "decoded": F.col("_both.decoded")}).drop("_both")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, token count and digests of ids and decoded text of every document."""
-    coded = decode(encode(docs.select("doc_id", "text"), path))
-    return coded.select(
+    return round_trip(docs.select("doc_id", "text"), path).select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(little_endian("ids"), 256).alias("ids_sha256"),
+        (F.octet_length("packed") / 4).cast("long").alias("n_tokens"),
+        F.sha2("packed", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )

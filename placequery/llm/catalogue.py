@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, bpe, main_text, prefix_counts, token_files, url_filters
+from . import (
+    archives, bpe, decontamination, embedding_join, jaccard_join, main_text, prefix_counts, quality, token_files, url_filters,
+)
 from .common import table
 
 
@@ -14,10 +16,18 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.page_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.page_texts(table(spark, sf_dir, "pages"))
 
 
+def op4_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -30,12 +40,24 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"), percent=90, width=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op3_main_text, op5_bpe, op6_token_files, op7_token_counts, op9_warc)
+    f.__name__: f
+    for f in (
+        op1_url_filters, op2_quality, op3_main_text, op4_embedding_join, op5_bpe, op6_token_files, op7_token_counts,
+        op8_decontamination, op9_warc, op10_jaccard_join,
+    )
 }
 ORACLES: dict[str, str] = {
     "op1_url_filters": url_filters.VERDICTS_SQL,

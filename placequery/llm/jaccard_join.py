@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import cut_lineage
-from .common import Memo, whole
+from .common import Memo, whole, with_maybe
 from .components import components
 
 # A shingle in this share of a batch's texts, and at least in LEAST_HOT of them, comes late in the order.
@@ -80,6 +80,17 @@ def word_memo() -> Memo:
     return Memo(xxhash.xxh3_64_intdigest)
 
 
+def _node_ids(sets: list[np.ndarray]) -> np.ndarray:
+    """Hash of each set."""
+    return np.array([xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, sets)])
+    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
+
+
 def prefix_size(n: int, percent: int) -> int:
     """Shingles of which two linked sets share at least one, in any common order."""
     return n - -(-percent * n // 100) + 1 if n else 0
@@ -112,22 +123,15 @@ def _nodes(docs: DataFrame, text: str, key: str, width: int, percent: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, late = word_memo(), hot.value
         for batch in batches:
-            ns, nodes, windows = [], [], []
-            for found in shingle_sets(batch.column(1).to_pylist(), width, memo):
-                n = len(found)
-                ns.append(n)
-                nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()) if n else 0)
-                k = prefix_size(n, percent)
-                if len(late) and n:
-                    at = np.minimum(np.searchsorted(late, found), len(late) - 1)
-                    is_late = late[at] == found
+            sets, windows = shingle_sets(batch.column(1).to_pylist(), width, memo), []
+            for found in sets:
+                k = prefix_size(len(found), percent)
+                if len(late) and k:
+                    is_late = late[np.minimum(np.searchsorted(late, found), len(late) - 1)] == found
                     found = np.concatenate([found[~is_late], found[is_late]])
                 windows.append(found[:k])
-            ends = np.cumsum([0, *map(len, windows)])
-            flat = np.concatenate(windows) if windows else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))],
+                [batch.column(0), pa.array([len(f) for f in sets], pa.int64()), pa.array(_node_ids(sets)), _lists(windows)],
                 ["doc", "n", "node", "pivots"],
             )
 
@@ -141,16 +145,16 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, width: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
         for batch in batches:
-            found = shingle_sets(batch.column(1).to_pylist(), width, memo)
-            ends = np.cumsum([0, *map(len, found)])
-            flat = np.concatenate(found) if found else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))], ["node", "shingles"]
-            )
+            found = shingle_sets(batch.column(0).to_pylist(), width, memo)
+            yield pa.RecordBatch.from_arrays([pa.array(_node_ids(found)), _lists(found)], ["node", "shingles"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc"), whole(text).alias("_text")).join(wanted, "doc").select("node", "_text")
-    # Repeated rows of a document would repeat its set.
-    return cut_lineage(rows.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"]))
+    rows = docs.select(F.col(key).cast("long").alias("doc"), whole(text).alias("_text"))
+    likely = with_maybe(rows, F.col("doc"), wanted.select("doc")).where("_maybe")
+    ids = wanted.select(F.col("doc").alias("_doc")).distinct()
+    texts = likely.join(ids, F.col("doc").eqNullSafe(F.col("_doc")), "left_semi").select("_text")
+    # A doc_id can have several texts, and a text several rows.
+    found = texts.mapInArrow(run, "node bigint, shingles array<bigint>")
+    return cut_lineage(found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -243,3 +247,18 @@ def classes(docs: DataFrame, percent: int = 80, width: int = 5, text: str = "tex
     empty = nodes.where(F.col("n") == 0).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"))
     full = nodes.where(F.col("n") > 0).join(classed, "node").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(empty)
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of least doc_id of every group of linked texts, with all their columns.
+
+    Rows without shingles stay; rows of one doc_id stay or go together, repeated ones included;
+    rows with a null doc_id stay unless a text of their group has an id.
+    """
+    grouped = classes(docs, percent, width, text, key)
+    gone = grouped.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = cut_lineage(gone.select(F.col("doc_id").alias("_gone")).distinct())
+    id_ = F.col(key).cast("long")
+    marked = with_maybe(docs, id_, gone)
+    sure = marked.where(~F.col("_maybe")).drop("_maybe")
+    return sure.unionByName(marked.where("_maybe").drop("_maybe").join(gone, id_.eqNullSafe(F.col("_gone")), "left_anti"))

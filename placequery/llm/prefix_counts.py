@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from . import words
 from .bpe import WORD_END, default_path, vocabulary
@@ -26,8 +26,9 @@ from .common import Memo, whole
 
 
 _NEVER = 1 << 62
-# Prefixes of words kept at a time.
-_PREFIXES = 600_000
+# Pieces in a generation of the memo, and prefixes of words kept at a time.
+_PIECES = 200_000
+_PREFIXES = 1_000_000
 
 
 class PrefixCounts:
@@ -44,7 +45,7 @@ class PrefixCounts:
         self.spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
         # Tokens by their letters from the last to the first.
         self.inner_ends, self.final_ends = _backwards(self.inner), _backwards(self.final)
-        self.pieces = Memo(lambda p: np.diff(np.array([0, *self.piece_counts(p)], "<i4")).tobytes())
+        self.pieces = Memo(lambda p: np.diff(np.array([0, *self.piece_counts(p)], "<i4")).tobytes(), _PIECES)
         self.chunks = Memo(lambda c: b"".join(map(self.pieces.__getitem__, words.PIECE.findall(c))))
         self._forget()
 
@@ -205,27 +206,26 @@ def unpacked(table: bytes) -> np.ndarray:
     return np.frombuffer(table, f"<i{table[0]}", offset=1)
 
 
-def prefix_table(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "prefix_table") -> DataFrame:
-    """Add ``out``, the binary prefix table of each whole text.
+def prefix_table(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
+    """Add ``prefix_table``, the binary table of each whole text, and its last count ``n_tokens``.
 
-    Row by row, no shuffle. Null and empty texts give a table without steps. A column named
-    ``out`` is replaced, others stay.
+    Row by row, no shuffle. Null and empty texts give a table without steps and 0. Columns of these
+    names are replaced, others stay.
     """
     where = path or default_path()
 
-    @F.arrow_udf(BinaryType())
+    @F.arrow_udf(StructType([StructField("prefix_table", BinaryType()), StructField("n_tokens", LongType())]))
     def tables(texts: pa.Array) -> pa.Array:
-        counter = _counter(where)
-        return pa.array([packed(counter.text_steps(t.as_py() or "")) for t in texts], pa.binary())
+        counter, found, totals = _counter(where), [], []
+        for t in texts:
+            steps = counter.text_steps(t.as_py())
+            found.append(packed(steps))
+            totals.append(int(steps.sum(dtype=np.int64)))
+        return pa.StructArray.from_arrays([pa.array(found, pa.binary()), pa.array(totals, pa.int64())], ["prefix_table", "n_tokens"])
 
-    # Spark would otherwise build a table anew for each use of it.
-    return docs.withColumn(out, tables.asNondeterministic()(whole(text)))
-
-
-@F.arrow_udf(LongType())
-def total_tokens(tables: pa.Array) -> pa.Array:
-    """Tokens of the whole text."""
-    return pa.array([int(unpacked(t.as_py()).sum(dtype=np.int64)) if t.is_valid else None for t in tables], pa.int64())
+    # Spark would otherwise build the tables anew for each use.
+    made = docs.withColumn("_made", tables.asNondeterministic()(whole(text)))
+    return made.withColumns({"prefix_table": F.col("_made.prefix_table"), "n_tokens": F.col("_made.n_tokens")}).drop("_made")
 
 
 @F.arrow_udf(LongType())
@@ -261,7 +261,7 @@ def longest_prefix(table: Column, budget: Column) -> Column:
 
 def token_counts(docs: DataFrame, limit: int = 2048, path: str | None = None) -> DataFrame:
     """doc_id, bytes, tokens and whether they exceed ``limit``, of every whole text."""
-    counted = prefix_table(docs.select("doc_id", "text"), path).withColumn("n_tokens", total_tokens("prefix_table"))
+    counted = prefix_table(docs.select("doc_id", "text"), path)
     return counted.select(
         "doc_id", F.octet_length(whole("text")).cast("long").alias("n_bytes"), "n_tokens",
         (F.col("n_tokens") > F.lit(limit)).alias("over_limit"),
