@@ -69,7 +69,7 @@ def with_maybe(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
         return F.pmod(F.shiftright(F.xxhash64(c), 6), F.lit(1 << _WORD_BITS))
 
     def bit(c: Column) -> Column:
-        return F.shiftleft(F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
 
     own = F.col(keys.columns[0])
     bits = keys.select(word(own).alias("_word"), bit(own).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
