@@ -8,11 +8,14 @@ is its own, and the window of pivots a text within the radius may own instead is
 n - ceil(t n) + 1 shingles, to which it is replicated. Shingles that are frequent somewhere come
 last in the order. It only decides where texts meet, never whether they link.
 
-Within a region a text is the pivot and all others get their exact distance to it. Texts linked
-to the pivot, directly or over others, are done with each other. What stays open meets the texts
-of other components inside the triangle window |d(x, p) - d(y, p)| <= r; large regions first
-choose new pivots, deal their texts out to the nearest one and replicate those within 2r of the
-border to the others, and so on recursively until a region is small.
+Inside the regions distances are taken between images of the sets: counts of their shingles in
+256 classes. The L1 distance of two images is a metric and never above the symmetric difference
+of the sets, which for linked sets of n and m shingles is at most (1 - t) / (1 + t) (n + m).
+Within a region a text is the pivot and all others get their distance to it. Pairs within the
+bound are compared exactly, on the sets. What is not connected with the pivot meets the texts of
+other components inside the triangle window of their two distances to the pivot; large regions
+first choose new pivots, deal their texts out to the nearest one and replicate those within
+twice the bound of the border to the others, and so on recursively until a region is small.
 
 Nodes are distinct shingle sets, so exact copies cost nothing.
 """
@@ -27,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions.storage import cut_lineage
 from .common import Memo, whole, with_maybe
@@ -38,7 +42,8 @@ HOT_SHARE, LEAST_HOT = 1e-3, 3
 HOT_SHINGLES = 1 << 20
 # Open pairs of a region up to which it is compared outright, pivots of a larger one, levels of regions.
 SMALL_REGION, NEW_PIVOTS, LEVELS = 1 << 16, 8, 4
-_SLACK = 1e-9
+# Classes of an image; counts above 255 are kept as 255, which lets distances only shrink.
+CLASSES = 256
 
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -91,6 +96,17 @@ def _lists(sets: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
 
 
+def image(found: np.ndarray) -> bytes:
+    """Shingles of a set in each class (the first byte of their hash)."""
+    return np.minimum(np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes()
+
+
+@F.arrow_udf(LongType())
+def _image_distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    both = [np.frombuffer(b"".join(v.as_py() for v in x), np.uint8).reshape(-1, CLASSES).astype(np.int16) for x in (a, b)]
+    return pa.array(np.abs(both[0] - both[1]).sum(axis=1, dtype=np.int64))
+
+
 def prefix_size(n: int, percent: int) -> int:
     """Shingles of which two linked sets share at least one, in any common order."""
     return n - -(-percent * n // 100) + 1 if n else 0
@@ -117,7 +133,7 @@ def _hot(docs: DataFrame, text: str, width: int) -> np.ndarray:
 
 
 def _nodes(docs: DataFrame, text: str, key: str, width: int, percent: int) -> DataFrame:
-    """doc, n, node (hash of the set) and the pivots of the window of every document."""
+    """doc, n, node (hash of the set), image and the pivots of the window of every document."""
     hot = docs.sparkSession.sparkContext.broadcast(_hot(docs, text, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,12 +147,12 @@ def _nodes(docs: DataFrame, text: str, key: str, width: int, percent: int) -> Da
                     found = np.concatenate([found[~is_late], found[is_late]])
                 windows.append(found[:k])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(f) for f in sets], pa.int64()), pa.array(_node_ids(sets)), _lists(windows)],
-                ["doc", "n", "node", "pivots"],
+                [batch.column(0), pa.array([len(f) for f in sets], pa.int64()), pa.array(_node_ids(sets)), pa.array(map(image, sets), pa.binary()), _lists(windows)],
+                ["doc", "n", "node", "image", "pivots"],
             )
 
     rows = docs.select(F.col(key).cast("long").alias("doc"), whole(text).alias("_text"))
-    return cut_lineage(rows.mapInArrow(run, "doc bigint, n bigint, node bigint, pivots array<bigint>"))
+    return cut_lineage(rows.mapInArrow(run, "doc bigint, n bigint, node bigint, image binary, pivots array<bigint>"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, width: int) -> DataFrame:
@@ -157,14 +173,33 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, width: int) -
     return cut_lineage(found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
 
 
-def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """p, x, their exact distance, and whether they link."""
-    a = sets.select(F.col("node").alias("p"), F.col("shingles").alias("_sp"))
-    b = sets.select(F.col("node").alias("x"), F.col("shingles").alias("_sx"))
+def _measured(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """p, x, the distance of their images, and the sizes of their sets (m, n)."""
+    a = known.select(F.col("node").alias("p"), F.col("n").alias("m"), F.col("image").alias("_ip"))
+    b = known.select(F.col("node").alias("x"), "n", F.col("image").alias("_ix"))
+    joined = pairs.select("p", "x").join(a, "p").join(b, "x")
+    return cut_lineage(joined.select("p", "x", _image_distance("_ip", "_ix").alias("d"), "m", "n"))
+
+
+def _within(d: Column, m: Column, n: Column, percent: int) -> Column:
+    """The bound of linked sets: d <= (1 - t) / (1 + t) (m + n), and sizes of a ratio of at least t."""
+    return ((100 + percent) * d <= (100 - percent) * (m + n)) & (100 * F.least(m, n) >= percent * F.greatest(m, n))
+
+
+def _exact(docs: DataFrame, near: DataFrame, known: DataFrame, percent: int, text: str, key: str, width: int) -> DataFrame:
+    """The pairs (a, b) that link, of (p, x) within the bound."""
+    near = cut_lineage(near.select("p", "x").distinct())
+    if near.isEmpty():
+        return near.select(F.col("p").alias("a"), F.col("x").alias("b"))
+    met = near.select(F.explode(F.array("p", "x")).alias("node")).distinct()
+    sets = _sets(docs, known.select("node", "doc").join(met, "node"), text, key, width)
+    joined = near.join(sets.select(F.col("node").alias("p"), F.col("shingles").alias("_sp")), "p")
+    joined = joined.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("_sx")), "x")
     both = F.size(F.array_intersect("_sp", "_sx")).cast("long")
-    joined = pairs.select("p", "x").join(a, "p").join(b, "x").withColumn("_both", both)
-    union = F.size("_sp") + F.size("_sx") - F.col("_both")
-    return cut_lineage(joined.select("p", "x", (1 - F.col("_both") / union).alias("d"), (100 * F.col("_both") >= percent * union).alias("linked")))
+    measured = joined.select("p", "x", both.alias("_both"), (F.size("_sp") + F.size("_sx")).cast("long").alias("_sum"))
+    return cut_lineage(
+        measured.where(100 * F.col("_both") >= percent * (F.col("_sum") - F.col("_both"))).select(F.col("p").alias("a"), F.col("x").alias("b"))
+    )
 
 
 def _with_components(regions: DataFrame, labels: DataFrame) -> DataFrame:
@@ -176,58 +211,54 @@ def _with_components(regions: DataFrame, labels: DataFrame) -> DataFrame:
     return out
 
 
-def _fits_size(n: Column, m: Column, percent: int) -> Column:
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
-
-
 def links(docs: DataFrame, percent: int, width: int, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(nodes, components): nodes holds doc, n and node of every row, components (id, component) of linked nodes."""
-    radius = 1 - percent / 100 + _SLACK
     nodes = _nodes(docs, text, key, width, percent)
     places = nodes.where(F.col("n") > 0).select("node", F.explode("pivots").alias("pivot"))
-    regions = (
-        places.groupBy("pivot").agg(F.min("node").alias("p"), F.max("node").alias("_last")).where(F.col("p") != F.col("_last"))
-        .select("pivot", "p")
-    )
-    stars = cut_lineage(
-        places.join(regions, "pivot").where(F.col("node") != F.col("p")).select("p", F.col("node").alias("x")).distinct()
-    )
-    met = stars.select(F.col("p").alias("node")).union(stars.select(F.col("x").alias("node"))).distinct()
-    known = cut_lineage(nodes.groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n")).join(met, "node"))
-    sets = _sets(docs, known.select("node", "doc"), text, key, width)
-    sizes = known.select(F.col("node").alias("x"), "n")
-
-    measured = _measured(stars, sets, percent)
-    found = measured.where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
+    owned = places.groupBy("pivot").agg(F.min("node").alias("p"), F.max("node").alias("_last")).where(F.col("p") != F.col("_last"))
+    stars = places.join(owned.select("pivot", "p"), "pivot").where(F.col("node") != F.col("p"))
+    stars = cut_lineage(stars.select("p", F.col("node").alias("x")).distinct())
+    met = stars.select(F.explode(F.array("p", "x")).alias("node")).distinct()
+    known = nodes.groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n"), F.first("image").alias("image"))
+    known = cut_lineage(known.join(met, "node"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        near = pairs.where(_within(F.col("d"), F.col("m"), F.col("n"), percent))
+        return _exact(docs, near, known, percent, text, key, width)
+
+    measured = _measured(stars, known)
+    found = compared(measured)
     labels = components(found)
     for level in range(LEVELS):
-        regions = _with_components(measured.select("p", "x", "d"), labels).join(sizes, "x").withColumn("open", F.col("cx") != F.col("cp"))
+        regions = _with_components(measured, labels).withColumn("open", F.col("cx") != F.col("cp"))
         loads = regions.groupBy("p").agg(F.sum(F.col("open").cast("long")).alias("n_open"), F.count(F.lit(1)).alias("n_all"))
-        loads = loads.where(F.col("n_open") * (F.col("n_all") - 1) > 0)
-        regions = cut_lineage(regions.join(loads, "p"))
+        regions = cut_lineage(regions.join(loads.where(F.col("n_open") * (F.col("n_all") - 1) > 0), "p"))
         if regions.isEmpty():
             break
         outright = F.lit(level == LEVELS - 1) | (F.col("n_open") * F.col("n_all") <= SMALL_REGION)
         every = regions.where(outright)
         left = every.where("open").select("p", F.col("x").alias("y"), F.col("d").alias("dy"), F.col("cx").alias("cy"), F.col("n").alias("ny"))
-        open_pairs = (
+        window = _within(F.abs(F.col("d") - F.col("dy")), F.col("n"), F.col("ny"), percent)
+        met = (
             left.join(every.select("p", "x", "d", "cx", "n", "open"), "p")
-            .where((F.col("cx") != F.col("cy")) & (~F.col("open") | (F.col("y") < F.col("x"))))
-            .where((F.abs(F.col("d") - F.col("dy")) <= radius) & _fits_size(F.col("n"), F.col("ny"), percent))
+            .where((F.col("cx") != F.col("cy")) & (~F.col("open") | (F.col("y") < F.col("x"))) & window)
             .select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("x")).distinct()
         )
-        closed = _measured(open_pairs.join(measured.select("p", "x"), ["p", "x"], "left_anti"), sets, percent)
-        # Larger regions: new pivots among the open texts, Voronoi cells with windows of twice the radius.
+        closed = compared(_measured(met, known))
+        # Larger regions: new pivots among the open texts; each text goes to the nearest, and to others near the border.
         large = regions.where(~outright)
         chosen = large.where("open").groupBy("p").agg(*(F.min_by("x", F.xxhash64("x", F.lit(k))).alias(f"_q{k}") for k in range(NEW_PIVOTS)))
         chosen = chosen.select("p", F.explode(F.array_distinct(F.array(*(f"_q{k}" for k in range(NEW_PIVOTS))))).alias("q"))
-        to_new = large.join(chosen, "p").where(F.col("x") != F.col("q")).select("q", "x").distinct()
-        cells = _measured(to_new.select(F.col("q").alias("p"), "x"), sets, percent)
+        to_new = large.join(chosen, "p").where(F.col("x") != F.col("q")).select(F.col("q").alias("p"), "x").distinct()
+        cells = _measured(to_new, known)
         own = cells.groupBy("x").agg(F.min("d").alias("own"))
-        measured = cells.join(own, "x").where(F.col("d") <= F.col("own") + 2 * radius).drop("own")
-        more = closed.unionByName(cells).where("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
-        found = cut_lineage(found.unionByName(more))
-        labels = components(found)
+        # A linked text has at most n / t shingles, so the bound is at most (1 - t) / t n.
+        border = percent * (F.col("d") - F.col("own")) <= 2 * (100 - percent) * F.col("n")
+        measured = cut_lineage(cells.join(own, "x").where(border).drop("own"))
+        more = closed.unionByName(compared(cells))
+        if not more.isEmpty():
+            found = cut_lineage(found.unionByName(more))
+            labels = components(found)
     return nodes.select("doc", "n", "node"), labels
 
 
