@@ -23,8 +23,8 @@ def salted_join(
 ) -> DataFrame:
     """Inner join on ``keys`` with heavy keys cut into pieces on both sides.
 
-    Key sizes are counted first (key columns only, combined map-side). A key whose pair
-    count exceeds split_rows^2 is divided: each side's rows get one of ceil(n / split_rows)
+    Key sizes are counted first (key columns only, combined map-side). A key with more than
+    split_rows rows on either side is divided: each side's rows get one of ceil(n / split_rows)
     salts and are repeated over the other side's salts, so no task meets more than about
     split_rows rows of a key from either side. Without heavy keys this is a plain join.
     ``self_join`` says that both sides hold the same rows, which then are counted once.
@@ -38,12 +38,11 @@ def salted_join(
     def largest(df: DataFrame) -> int:
         return _counts(df, keys, "_n").agg(F.max("_n")).first()[0] or 0
 
-    peak = largest(right)
-    if peak * (peak if self_join else largest(left)) <= split * split:
+    if largest(right) <= split and (self_join or largest(left) <= split):
         return plain()
     sizes = _counts(left, keys, "_nl").join(_counts(right, keys, "_nr"), keys)
     heavy = cut_lineage(
-        sizes.where(F.col("_nl") * F.col("_nr") > split * split).select(
+        sizes.where(F.greatest("_nl", "_nr") > split).select(
             *keys, F.ceil(F.col("_nl") / F.lit(split)).alias("_pl"), F.ceil(F.col("_nr") / F.lit(split)).alias("_pr")
         )
     )

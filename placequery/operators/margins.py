@@ -52,16 +52,20 @@ def image_margins(triplets: DataFrame, q_vecs: DataFrame, r_vecs: DataFrame) ->
     return joined.select("q_image", (dot(F.col("_p"), F.col("_q")) - dot(F.col("_n"), F.col("_q"))).alias("margin"))
 
 
-def triplet_clusters(triplets: DataFrame, q_vlad: DataFrame, r_vlad: DataFrame) -> DataFrame:
-    """``(q_image, cluster, q, p, n)`` from long-form VLAD rows ``(image_id, cluster, residual)``."""
+def triplet_clusters(triplets: DataFrame, q_vlad: DataFrame, r_vlad: DataFrame, clusters: int) -> DataFrame:
+    """``(q_image, cluster, q, p, n)`` from long-form VLAD rows ``(image_id, cluster, residual)``.
+
+    Each triplet has all ``clusters`` rows; a cluster that an image does not use is a zero vector.
+    """
     complete = triplets.where("positive IS NOT NULL AND negative IS NOT NULL").withColumnRenamed("anchor", "q_image")
     q = q_vlad.select(F.col("image_id").alias("q_image"), "cluster", F.col("residual").alias("q"))
     p = r_vlad.select(F.col("image_id").alias("positive"), "cluster", F.col("residual").alias("p"))
     n = r_vlad.select(F.col("image_id").alias("negative"), "cluster", F.col("residual").alias("n"))
-    return (
-        complete.join(q, "q_image").join(p, ["positive", "cluster"]).join(n, ["negative", "cluster"])
-        .select("q_image", "cluster", "q", "p", "n")
-    )
+    every = complete.withColumn("cluster", F.explode(F.sequence(F.lit(0), F.lit(clusters - 1))))
+    joined = every.join(q, ["q_image", "cluster"], "left").join(p, ["positive", "cluster"], "left").join(n, ["negative", "cluster"], "left")
+    width = q_vlad.agg(F.max(F.size("residual"))).scalar()
+    zeros = F.array_repeat(F.lit(0.0), width)
+    return joined.select("q_image", "cluster", *(F.coalesce(c, zeros).alias(c) for c in ("q", "p", "n")))
 
 
 def cluster_margins(clusters: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ from ..functions.vectors import doubles, l2_normalize
 
 BROADCAST_BYTES = 64 << 20
 STATE_BYTES = 128 << 20
+# Temporaries of the row-by-row distances.
+EXACT_BYTES = 4 << 20
 
 
 def _score(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
@@ -54,7 +56,10 @@ def _block_best(q, r, r_ids, k, metric):
         rows, cols = np.nonzero(approx <= (kth + slack)[:, None])
     else:
         rows, cols = (a.ravel() for a in np.indices(approx.shape))
-    values = _exact(q[rows], r[cols], metric)
+    # In slices: all candidates at once would be an array of (query rows x k x dimensions).
+    step = max(1, EXACT_BYTES // (8 * q.shape[1]))
+    parts = [_exact(q[rows[s : s + step]], r[cols[s : s + step]], metric) for s in range(0, len(rows), step)]
+    values = np.concatenate(parts) if parts else np.empty(0)
     return _cut(rows, [ids[cols] for ids in r_ids], values, k)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.blocks import group_blocks, map_block_rows, scalar_matrix
+from ..functions.storage import cut_lineage
 from ..functions.vectors import sum_vectors
 from .aggregate import normalise_vlad
 
@@ -35,7 +36,7 @@ def sinkhorn_assign(scores: DataFrame, clusters: int, dustbin: float = 1.0, iter
     """
     blocks = group_blocks(scores, ["image_id"], "patch_id", "scores")
     sizes = blocks.groupBy("image_id").agg(F.sum(F.size("ids")).alias("n"))
-    blocks = blocks.join(sizes, "image_id")
+    blocks = cut_lineage(blocks.join(sizes, "image_id"))
     k = clusters
     out = "cluster INT, top DOUBLE, mass DOUBLE"
 
@@ -66,7 +67,8 @@ def sinkhorn_assign(scores: DataFrame, clusters: int, dustbin: float = 1.0, iter
     u = None
     for _ in range(iters):
         state = blocks.withColumn("u", F.lit(None).cast("array<double>")) if u is None else blocks.join(u, "image_id")
-        u = next_u(state)
+        # Each iteration reads its state twice: stored, the plan grows by one step an iteration.
+        u = cut_lineage(next_u(state))
 
     def assignment(row):
         z = _couplings(row, dustbin)

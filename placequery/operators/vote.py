@@ -42,9 +42,9 @@ def normalised(matches: DataFrame, bounds: tuple | None = None) -> DataFrame:
 
 
 def _seen(matches: DataFrame, **scores: Column) -> DataFrame:
-    return matches.groupBy(*PAIR).agg(
-        *[c.alias(n) for n, c in scores.items()], F.min("rank").alias("best_rank"), F.min("q_seg").alias("first_seg")
-    )
+    """Scores per pair, and the first match of the pair (smallest rank, then segment) for ties."""
+    seen = matches.groupBy(*PAIR).agg(*[c.alias(n) for n, c in scores.items()], F.min(F.struct("rank", "q_seg")).alias("_first"))
+    return seen.withColumns({"best_rank": F.col("_first.rank"), "first_seg": F.col("_first.q_seg")}).drop("_first")
 
 
 def _pair_similarities(matches: DataFrame, bounds: tuple | None):

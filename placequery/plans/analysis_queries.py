@@ -52,9 +52,16 @@ def _image_margins(t):
 
 
 VLAD = f"""SELECT image_id, cluster, list(value ORDER BY dim) AS r FROM ({vlad_sql(UNIT_SUMS, 'image_id')}) h GROUP BY ALL"""
+# Clusters of the vocabulary; one that an image does not use is a zero vector.
+K = 10
+ZEROS = "[CAST(0 AS DOUBLE) FOR x IN (SELECT min(r) FROM {table})]"
+TRIPLET_ROWS = f"""SELECT tri.q_image, k.cluster, coalesce(q.r, {ZEROS}) AS q, coalesce(p.r, {ZEROS}) AS p, coalesce(n.r, {ZEROS}) AS n
+    FROM tri CROSS JOIN (SELECT unnest(range({K})) AS cluster) k
+    LEFT JOIN {{table}} q ON q.image_id = tri.q_image AND q.cluster = k.cluster
+    LEFT JOIN {{table}} p ON p.image_id = tri.positive AND p.cluster = k.cluster
+    LEFT JOIN {{table}} n ON n.image_id = tri.negative AND n.cluster = k.cluster"""
 CLUSTERS = f"""tri AS ({TRIPLETS}), vl AS ({VLAD}), cl AS (
-    SELECT tri.q_image, q.cluster, q.r AS q, p.r AS p, n.r AS n FROM tri JOIN vl q ON q.image_id = tri.q_image
-    JOIN vl p ON p.image_id = tri.positive AND p.cluster = q.cluster JOIN vl n ON n.image_id = tri.negative AND n.cluster = q.cluster)"""
+    {TRIPLET_ROWS.format(table="vl")})"""
 MARGINS = """SELECT *, row_number() OVER (PARTITION BY q_image ORDER BY round(margin, 9), cluster) AS margin_rank FROM (
     SELECT q_image, cluster, list_distance(q, p) AS dist_pos, list_distance(q, n) AS dist_neg,
            list_distance(q, n) - list_distance(q, p) AS margin FROM cl) x"""
@@ -63,7 +70,7 @@ MARGINS = """SELECT *, row_number() OVER (PARTITION BY q_image ORDER BY round(ma
 def clusters(t, vlad=None, chosen=None):
     """Each vector table serves three roles, so it is stored once."""
     vlad = cut_lineage(aggregate.image_vlad_hard(t.patches(), vocab(t)) if vlad is None else vlad)
-    return cut_lineage(margins.triplet_clusters(triplets(t) if chosen is None else chosen, vlad, vlad))
+    return cut_lineage(margins.triplet_clusters(triplets(t) if chosen is None else chosen, vlad, vlad, K))
 
 
 @query("cluster_margins", "q_image:l cluster:l dist_pos:d dist_neg:d margin:d margin_rank:l", f"WITH {CLUSTERS} {MARGINS}")
@@ -72,10 +79,9 @@ def _cluster_margins(t):
 
 
 # The second method ranks clusters by the un-normalised mean patch per label.
-OTHER = """ol AS (SELECT image_id, label AS cluster, list(m ORDER BY d) AS r FROM (
+OTHER = f"""ol AS (SELECT image_id, label AS cluster, list(m ORDER BY d) AS r FROM (
     SELECT image_id, label, d, avg(v) AS m FROM patch_long GROUP BY ALL) y GROUP BY ALL), ocl AS (
-    SELECT tri.q_image, q.cluster, q.r AS q, p.r AS p, n.r AS n FROM tri JOIN ol q ON q.image_id = tri.q_image
-    JOIN ol p ON p.image_id = tri.positive AND p.cluster = q.cluster JOIN ol n ON n.image_id = tri.negative AND n.cluster = q.cluster)"""
+    {TRIPLET_ROWS.format(table="ol")})"""
 
 
 @query("cluster_rank_shift", "q_image:l cluster:l shift:l most_shifted:l", f"""
@@ -115,7 +121,7 @@ def _pairwise(t):
 
 @query("cluster_pairwise_cosine", PAIRWISE, f"""
     WITH {CLUSTERS}, {ROLES} SELECT a.q_image, a.role AS role_a, a.cluster AS cluster_a, b.role AS role_b, b.cluster AS cluster_b,
-      list_cosine_similarity(a.v, b.v) AS value FROM ro a JOIN ro b USING (q_image) WHERE a.role = 'q' AND b.role <> 'q'""")
+      CASE WHEN list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v) = 0 THEN 0 ELSE list_cosine_similarity(a.v, b.v) END AS value FROM ro a JOIN ro b USING (q_image) WHERE a.role = 'q' AND b.role <> 'q'""")
 def _pairwise_cosine(t):
     return margins.cluster_pairwise(clusters(t), "cosine")
 

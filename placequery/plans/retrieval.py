@@ -110,7 +110,7 @@ VOTE_COLS = "q_image:l rank:l r_image:l score:d"
 
 def _ranked(score, order, source="matches", n=5, where="TRUE"):
     return f"""SELECT *, row_number() OVER (PARTITION BY q_image ORDER BY {order}) AS rank FROM (
-        SELECT q_image, r_image, {score} AS score, min(rank) AS best_rank, min(q_seg) AS first_seg
+        SELECT q_image, r_image, {score} AS score, min(rank) AS best_rank, min({{'r': rank, 's': q_seg}}).s AS first_seg
         FROM {source} m WHERE {where} GROUP BY ALL) x QUALIFY rank <= {n}"""
 
 

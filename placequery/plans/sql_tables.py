@@ -76,7 +76,7 @@ SQL_TABLES: dict[str, str] = {
                   / ((SELECT max(sim) FROM matches) - (SELECT min(sim) FROM matches)) AS nsim
         FROM matches""",
     "vote_scores": """
-        SELECT q_image, r_image, sum(nsim) AS score, min(rank) AS best_rank, min(q_seg) AS first_seg
+        SELECT q_image, r_image, sum(nsim) AS score, min(rank) AS best_rank, min({'r': rank, 's': q_seg}).s AS first_seg
         FROM normed_matches GROUP BY ALL""",
     "predictions": """
         SELECT q_image, r_image, score,

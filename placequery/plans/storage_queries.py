@@ -166,7 +166,7 @@ def _match_records(t):
 
 @query("submission_lines", "line:s", """
     WITH l AS (SELECT p.q_image, string_agg('img' || p.r_image, ' ' ORDER BY p.rank) AS preds FROM predictions p GROUP BY ALL)
-    SELECT 'img' || q_image || ' ' || preds AS line FROM l""")
+    SELECT 'img' || q_image || coalesce(' ' || preds, '') AS line FROM query_images LEFT JOIN l USING (q_image)""")
 def _submission(t):
     m = t.manifest()
     q = m.where("role = 'query'").select(F.col("image_id").alias("q_image"), "path")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
+from .functions.storage import shared_dir
+
 
 def local_session(cpus: int = 8, memory: str = "8g", partitions: int | None = None) -> SparkSession:
     builder = (
@@ -19,6 +19,5 @@ def local_session(cpus: int = 8, memory: str = "8g", partitions: int | None = No
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="placequery-"))
+    shared_dir(spark)
     return spark

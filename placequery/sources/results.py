@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RECORD_SCHEMA = "ARRAY<STRUCT<seg_id_q: BIGINT, seg_id_r: BIGINT, img_id_r: BIGINT>>"
@@ -32,24 +32,25 @@ def match_records(info: DataFrame, gt: DataFrame, queries: DataFrame) -> DataFra
     """``(q_image, kind, part, payload)``: JSON lists per query.
 
     Kinds are ``gt`` (true references), ``img_id_r`` (predicted images by rank) and
-    ``segments`` (what each voting segment matched). A list is cut into parts by id, so
-    that no query gathers an unbounded list in one place. ``info`` is the long form of
+    ``segments`` (what each voting segment matched). A list is cut into parts of
+    ``PART_ENTRIES`` by position, so that no row holds an unbounded list; part 0 is the first. ``info`` is the long form of
     ``vote.match_info``.
     """
 
-    def parts(df: DataFrame, kind: str, by: str, entry) -> DataFrame:
-        listed = df.groupBy("q_image", F.floor(F.col(by) / PART_ENTRIES).cast("long").alias("part")).agg(
-            F.array_sort(F.collect_set(entry)).alias("_e")
-        )
+    def parts(df: DataFrame, kind: str, entry) -> DataFrame:
+        entries = df.select("q_image", entry.alias("_x")).distinct()
+        place = F.row_number().over(Window.partitionBy("q_image").orderBy("_x")) - 1
+        parted = entries.withColumn("part", F.floor(place / PART_ENTRIES).cast("long"))
+        listed = parted.groupBy("q_image", "part").agg(F.array_sort(F.collect_list("_x")).alias("_e"))
         payload = F.to_json("_e" if kind != "img_id_r" else F.col("_e.r_image"))
         return listed.select("q_image", F.lit(kind).alias("kind"), "part", payload.alias("payload"))
 
-    truth = parts(gt, "gt", "r_image", F.col("r_image"))
+    truth = parts(gt, "gt", F.col("r_image"))
     without = queries.join(gt.select("q_image"), "q_image", "left_anti").select(
         "q_image", F.lit("gt").alias("kind"), F.lit(0).cast("long").alias("part"), F.lit("[]").alias("payload")
     )
-    predicted = parts(info, "img_id_r", "r_rank", F.struct("r_rank", "r_image"))
-    local = parts(info, "segments", "q_seg", F.struct(
+    predicted = parts(info, "img_id_r", F.struct("r_rank", "r_image"))
+    local = parts(info, "segments", F.struct(
         F.col("q_seg").alias("seg_id_q"), F.col("r_seg").alias("seg_id_r"), F.col("r_image").alias("img_id_r")
     ))
     return truth.unionByName(without).unionByName(predicted).unionByName(local)
@@ -73,8 +74,9 @@ def submission_lines(predictions: DataFrame, q_names: DataFrame, r_names: DataFr
 
     named = predictions.join(r_names.select("r_image", stem(F.col("path")).alias("_r")), "r_image")
     ordered = named.groupBy("q_image").agg(F.array_sort(F.collect_list(F.struct("rank", "_r"))).alias("_l"))
-    joined = q_names.join(ordered, "q_image")
-    return joined.select("q_image", F.concat_ws(" ", stem(F.col("path")), F.concat_ws(" ", F.col("_l._r"))).alias("line"))
+    # A query without predictions keeps its line.
+    joined = q_names.join(ordered, "q_image", "left")
+    return joined.select("q_image", F.concat_ws(" ", stem(F.col("path")), F.col("_l._r")).alias("line"))
 
 
 def write_submission(lines: DataFrame, path: str) -> None:
