@@ -12,6 +12,8 @@ from ..functions.ordering import dense_position
 from ..functions.storage import cut_lineage
 
 SMALL_IMAGE = 3
+# Share of the squared extent by which points are lifted, each by its own amount.
+LIFT = 1e-12
 # Images up to this many segments are triangulated in one call, larger ones in strips.
 STRIP_SEGMENTS = 2048
 
@@ -22,9 +24,14 @@ def _turn(a: np.ndarray, b: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def _inside_circle(a, b, c, p) -> np.ndarray:
-    """p strictly inside the circumcircle of counter-clockwise triangles (a, b, c)."""
-    da, db, dc = a - p, b - p, c - p
-    sa, sb, sc = (da * da).sum(-1), (db * db).sum(-1), (dc * dc).sum(-1)
+    """p strictly inside the circumcircle of counter-clockwise triangles (a, b, c).
+
+    Rows are (x, y, lift). Lifts are tiny weights that decide between points on a common circle,
+    the same way wherever they meet; orientation does not depend on them.
+    """
+    lifts = [x[..., 2] - p[..., 2] for x in (a, b, c)]
+    da, db, dc = (x[..., :2] - p[..., :2] for x in (a, b, c))
+    sa, sb, sc = ((d * d).sum(-1) + w for d, w in zip((da, db, dc), lifts, strict=True))
     det = (
         da[..., 0] * (db[..., 1] * sc - dc[..., 1] * sb)
         - da[..., 1] * (db[..., 0] * sc - dc[..., 0] * sb)
@@ -34,16 +41,22 @@ def _inside_circle(a, b, c, p) -> np.ndarray:
 
 
 def triangulate(points: np.ndarray) -> set[tuple[int, int]]:
-    """Delaunay edges of one point set as index pairs (i < j).
+    """Delaunay edges of one point set, rows (x, y) or (x, y, lift), as index pairs (i < j).
 
     Points enter one at a time; triangles whose circle holds the new point are replaced.
     The outside is covered by ghost triangles (u, v, -1) whose "circle" is the half-plane
-    beyond the hull edge. Points on one line are linked to their neighbours along it.
+    beyond the hull edge. Points on one line are linked to their neighbours along it. Of points
+    in one place only the first has edges.
     """
+    first = np.sort(np.unique(points[:, :2], axis=0, return_index=True)[1])
+    if len(first) < len(points):
+        return {(int(first[i]), int(first[j])) for i, j in triangulate(points[first])}
     n = len(points)
-    p = points - points.mean(axis=0)
+    if points.shape[1] == 2:
+        points = np.column_stack([points, np.zeros(n)])
+    p = points - points.mean(axis=0) * [1, 1, 0]
     order = np.lexsort((p[:, 1], p[:, 0]))
-    span = np.abs(p).max() or 1.0
+    span = np.abs(p[:, :2]).max() or 1.0
     first = next(
         ((0, 1, j) for j in range(2, n) if abs(_turn(p[order[0]], p[order[1]], p[order[j]])) > 1e-12 * span * span), None
     ) if n > 2 else None
@@ -57,8 +70,11 @@ def triangulate(points: np.ndarray) -> set[tuple[int, int]]:
         ghost = triangles[:, 2] < 0
         a, b = p[triangles[:, 0]], p[triangles[:, 1]]
         side = _turn(a, b, p[m])
+        # A turn within rounding is none.
+        reach = np.linalg.norm((b - a)[:, :2], axis=1) * np.linalg.norm((p[m] - a)[:, :2], axis=1)
+        side = np.where(np.abs(side) <= 1e-12 * reach, 0.0, side)
         # On the line of a hull edge, only a point between its ends removes the ghost.
-        between = ((p[m] - a) * (p[m] - b)).sum(-1) < 0
+        between = ((p[m] - a) * (p[m] - b))[:, :2].sum(-1) < 0
         hit = np.where(ghost, (side > 0) | ((side == 0) & between), _inside_circle(a, b, p[triangles[:, 2]], p[m]))
         if not hit.any():
             continue
@@ -86,6 +102,11 @@ def delaunay_edges(centroids: DataFrame) -> DataFrame:
         F.col("image_id").cast("long").alias("image_id"), F.col("seg_id").cast("long").alias("seg_id"),
         F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy"),
     )
+    extents = points.groupBy("image_id").agg(
+        (F.pow(F.max("cx") - F.min("cx"), F.lit(2)) + F.pow(F.max("cy") - F.min("cy"), F.lit(2))).alias("_extent")
+    )
+    share = F.pmod(F.xxhash64("cx", "cy"), F.lit(1 << 20)) / F.lit(1 << 20)
+    points = points.join(extents, "image_id").withColumn("lift", share * F.col("_extent") * LIFT).drop("_extent")
     sizes = points.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"))
     crowded = cut_lineage(sizes.where(F.col("_n") > STRIP_SEGMENTS).select("image_id"))
 
@@ -98,7 +119,7 @@ def delaunay_edges(centroids: DataFrame) -> DataFrame:
             a = [i for i in range(n) for _ in range(min(n, 2))]
             b = [j for _ in range(n) for j in range(min(n, 2))]
         else:
-            pairs = triangulate(pdf[["cx", "cy"]].to_numpy(dtype=float))
+            pairs = triangulate(pdf[["cx", "cy", "lift"]].to_numpy(dtype=float))
             a = [i for i, _ in pairs] + [j for _, j in pairs] + list(range(n))
             b = [j for _, j in pairs] + [i for i, _ in pairs] + list(range(n))
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "seg_a": ids[a], "seg_b": ids[b], "small": small})
@@ -108,7 +129,8 @@ def delaunay_edges(centroids: DataFrame) -> DataFrame:
         return points.groupBy("image_id").applyInPandas(edges, schema)
     found = points.join(crowded, "image_id", "left_anti").groupBy("image_id").applyInPandas(edges, schema)
     large = points.join(crowded, "image_id", "left_semi")
-    one_way = strip_edges(large)
+    places = large.groupBy("image_id", "cx", "cy", "lift").agg(F.min("seg_id").alias("seg_id"))
+    one_way = strip_edges(places)
     both = one_way.unionByName(one_way.select("image_id", F.col("seg_b").alias("seg_a"), F.col("seg_a").alias("seg_b")))
     loops = large.select("image_id", F.col("seg_id").alias("seg_a"), F.col("seg_id").alias("seg_b"))
     return found.unionByName(both.unionByName(loops).withColumn("small", F.lit(False)))
@@ -117,16 +139,23 @@ def delaunay_edges(centroids: DataFrame) -> DataFrame:
 def _circle_bounds(a: np.ndarray, b: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Range of circle centres through a and b that keep the points p outside.
 
-    Centres lie on the perpendicular bisector at signed offset t. A point left of a -> b
+    Rows are (x, y, lift). Centres lie at signed offset t on the line of equal power of a and b
+    (the perpendicular bisector, moved by the difference of their lifts). A point left of a -> b
     bounds t from above, one to the right from below; a point between a and b leaves none.
     """
+    lift_a, lift_b, lift_p = a[:, 2], b[:, 2], p[:, 2]
+    a, b, p = a[:, :2], b[:, :2], p[:, :2]
     mid, along = (a + b) / 2, b - a
     length = np.linalg.norm(along, axis=1, keepdims=True)
     along = along / np.where(length > 0, length, 1.0)
     d = p[None, :, :] - mid[:, None, :]
     u = d[..., 0] * along[:, None, 0] + d[..., 1] * along[:, None, 1]
     v = d[..., 1] * along[:, None, 0] - d[..., 0] * along[:, None, 1]
-    s = u * u + v * v - (length / 2) ** 2
+    # Rounding must not put a point on the line to one side of it.
+    v = np.where(np.abs(v) <= 1e-13 * (np.abs(u) + length), 0.0, v)
+    # A lift raises the power of a centre towards its point: |c - x|^2 + lift.
+    move = (lift_b - lift_a)[:, None] / np.where(length > 0, 2 * length, 1.0)
+    s = u * u + v * v - (length / 2) ** 2 - 2 * move * u - move * length + lift_p[None, :] - lift_a[:, None]
     own = (p[None] == a[:, None]).all(-1) | (p[None] == b[:, None]).all(-1)
     with np.errstate(divide="ignore", invalid="ignore"):
         t = s / (2 * v)
@@ -145,10 +174,10 @@ def strip_edges(points: DataFrame) -> DataFrame:
     range of centres it allows and the ranges are intersected by a grouped min and max.
     """
     placed = dense_position(points, [F.col("cx"), F.col("cy"), F.col("seg_id")], "pos", ["image_id"])
-    xy = placed.select("image_id", "pos", F.array("cx", "cy").alias("xy"))
+    xy = placed.select("image_id", "pos", F.array("cx", "cy", "lift").alias("xy"))
     strips = cut_lineage(group_blocks(xy, ["image_id"], "pos", "xy", rows=STRIP_SEGMENTS))
     pairs = pair_blocks(strips, strips, ["image_id"]).where(F.col("chunk") <= F.col("r_chunk"))
-    ends = ["pos_a", "pos_b", "ax", "ay", "bx", "by"]
+    ends = ["pos_a", "pos_b", "ax", "ay", "al", "bx", "by", "bl"]
 
     def candidates(row):
         a, b = np.asarray(row["ids"].values), np.asarray(row["r_ids"].values)
@@ -162,9 +191,9 @@ def strip_edges(points: DataFrame) -> DataFrame:
             # Edges inside one strip come from that strip alone.
             found = found[(found[:, 0] < len(a)) != (found[:, 1] < len(a))]
         i, j = found[:, 0], found[:, 1]
-        return [ids[i], ids[j], xy[i, 0], xy[i, 1], xy[j, 0], xy[j, 1]]
+        return [ids[i], ids[j], *xy[i].T, *xy[j].T]
 
-    schema = "pos_a BIGINT, pos_b BIGINT, ax DOUBLE, ay DOUBLE, bx DOUBLE, by DOUBLE"
+    schema = "pos_a BIGINT, pos_b BIGINT, ax DOUBLE, ay DOUBLE, al DOUBLE, bx DOUBLE, by DOUBLE, bl DOUBLE"
     proposed = map_block_rows(pairs, candidates, schema, ["image_id"])
     numbered = dense_position(proposed, [F.col("pos_a"), F.col("pos_b")], "edge", ["image_id"])
     batches = group_blocks(numbered.withColumn("ends", F.array(*[F.col(c).cast("double") for c in ends])), ["image_id"], "edge", "ends", rows=STRIP_SEGMENTS)
@@ -173,7 +202,7 @@ def strip_edges(points: DataFrame) -> DataFrame:
         e = scalar_matrix(row["flat"], len(row["ids"]))
         strip = scalar_matrix(row["r_flat"], len(row["r_ids"]))
         # Slices keep the edge-by-point arrays of a task small.
-        parts = [_circle_bounds(e[i : i + 256, 2:4], e[i : i + 256, 4:6], strip) for i in range(0, len(e), 256)]
+        parts = [_circle_bounds(e[i : i + 256, 2:5], e[i : i + 256, 5:8], strip) for i in range(0, len(e), 256)]
         low, high = (np.concatenate(side) for side in zip(*parts))
         return [e[:, 0].astype(np.int64), e[:, 1].astype(np.int64), low, high]
 

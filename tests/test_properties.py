@@ -9,6 +9,7 @@ from placequery.operators import (
     burst, graph, margins, masks, mining, pooling, reduce, regions, search, spatial, suppression, transport, vocabulary,
 )
 from placequery.operators.vocabulary import Vocabulary
+from placequery.sources import results
 
 RNG = np.random.default_rng(0)
 
@@ -163,6 +164,42 @@ def test_large_images_in_strips_equal_one_triangulation(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_strips_agree_on_grids_circles_lines_and_duplicates(spark, monkeypatch):
+    grid = [(float(x), float(y)) for x in range(12) for y in range(12)]
+    circle = [(50 + 40 * np.cos(a), 50 + 40 * np.sin(a)) for a in np.linspace(0, 2 * np.pi, 60, endpoint=False)]
+    slanted = [(0.3 * x + 0.1 * y, 0.7 * y - 0.2 * x) for x, y in grid[:96]]
+    line = [(1.0 * k, 2.0 * k) for k in range(60)]
+    images = [grid, circle, slanted, line, [*grid[:70], *grid[:20]]]
+    rows = [(i, k, float(x), float(y)) for i, points in enumerate(images) for k, (x, y) in enumerate(points)]
+    df = spark.createDataFrame(rows, "image_id BIGINT, seg_id BIGINT, cx DOUBLE, cy DOUBLE")
+    names = {(i, k): (x, y) for i, k, x, y in rows}
+
+    def edges():
+        return {(r.image_id, names[r.image_id, r.seg_a], names[r.image_id, r.seg_b]) for r in graph.delaunay_edges(df).collect()}
+
+    whole = edges()
+    monkeypatch.setattr(graph, "STRIP_SEGMENTS", 25)
+    assert edges() == whole
+    one_way = sum(1 for i, a, b in whole if i == 0 and a < b)
+    assert one_way == 3 * 144 - 3 - 44
+
+
+def test_one_sided_hot_key_is_split(spark):
+    left = spark.createDataFrame([(1, i) for i in range(90)] + [(2, 0)], "k int, a int")
+    right = spark.createDataFrame([(1, 5), (2, 6)], "k int, b int")
+    joined = skew.salted_join(left, right, ["k"], split_rows=10)
+    assert sorted(map(tuple, joined.collect())) == sorted([(1, i, 5) for i in range(90)] + [(2, 0, 6)])
+    assert "_sl" in joined._jdf.queryExecution().analyzed().toString()
+
+
+def test_lists_are_cut_by_position(spark, monkeypatch):
+    monkeypatch.setattr(results, "PART_ENTRIES", 2)
+    info = spark.createDataFrame([(0, 0, 1, 20005, 1), (0, 1, 2, 5, 2)], "q_image long, q_seg long, r_seg long, r_image long, r_rank long")
+    gt = spark.createDataFrame([(0, 5), (0, 10005), (0, 20005)], "q_image long, r_image long")
+    found = results.match_records(info, gt, spark.createDataFrame([(0,)], "q_image long")).where("kind = 'gt'").collect()
+    assert sorted((r.part, r.payload) for r in found) == [(0, "[5,10005]"), (1, "[20005]")]
+
+
 def test_hops_grow_with_order(spark):
     p = RNG.uniform(0, 100, (30, 2))
     df = spark.createDataFrame([(0, i, float(a), float(b)) for i, (a, b) in enumerate(p)], "image_id BIGINT, seg_id BIGINT, cx DOUBLE, cy DOUBLE")
