@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship_package
+from ..functions.storage import scratch_path
 
 MEMO_ENTRIES = 120_000
 MEMO_KEY = 64
@@ -24,6 +25,17 @@ def whole(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a written table in the shared folder.
+
+    Unlike a checkpoint it carries no constraints from plan to plan, which in loops of joins
+    would grow with every round; readers take the columns they need.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Memo(dict):
     """Bounded memo of a function: two generations, so frequent keys survive and memory stays fixed.
 

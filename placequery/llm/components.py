@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import cut_lineage
+from .common import stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,14 +17,14 @@ def components(links: DataFrame) -> DataFrame:
     for nothing; without links the result is empty.
     """
     pairs = links.select("a", "b").where(F.col("a") != F.col("b"))
-    edges = cut_lineage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("_n")).select("id", F.least("id", "_n").alias("component")))
+    edges = stored(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stored(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("_n")).select("id", F.least("id", "_n").alias("component")))
     while True:
         near = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("_n"))
         lower = labels.join(near, "id").select("id", F.col("component").alias("_was"), F.least("component", "_n").alias("component"))
-        lower = cut_lineage(lower)
+        lower = stored(lower)
         jumped = lower.join(lower.select(F.col("id").alias("component"), F.col("component").alias("_next")), "component")
-        after = cut_lineage(jumped.select("id", "_was", F.col("_next").alias("component")))
+        after = stored(jumped.select("id", "_was", F.col("_next").alias("component")))
         labels = after.select("id", "component")
         if after.where(F.col("_was") != F.col("component")).isEmpty():
             return labels

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import dense_position
-from ..functions.storage import cut_lineage
+from .common import stored
 from .components import components
 
 # Vectors on which the principal axes are fitted (they only decide the order), axes of the grid, rows of a stripe and of a block.
@@ -167,7 +167,7 @@ def _compared(cosine: float, width: int):
 def _stripe_pairs(placed: DataFrame, epsilon: float) -> DataFrame:
     """Pairs (a, b), a <= b, of stripes whose boxes on the grid axes are within reach, from the whole sequence down."""
     axes = range(GRID_AXES)
-    boxes = cut_lineage(placed.groupBy("stripe").agg(*(F.min(f"x{k}").alias(f"l{k}") for k in axes), *(F.max(f"x{k}").alias(f"h{k}") for k in axes)))
+    boxes = stored(placed.groupBy("stripe").agg(*(F.min(f"x{k}").alias(f"l{k}") for k in axes), *(F.max(f"x{k}").alias(f"h{k}") for k in axes)))
     last = boxes.agg(F.max("stripe")).first()[0] or 0
     levels = [boxes.withColumnRenamed("stripe", "at")]
     while last:
@@ -184,7 +184,7 @@ def _stripe_pairs(placed: DataFrame, epsilon: float) -> DataFrame:
         gaps = [F.greatest(F.lit(0.0), F.col(f"a_l{k}") - F.col(f"b_h{k}"), F.col(f"b_l{k}") - F.col(f"a_h{k}")) for k in axes]
         reach = sum((g * g for g in gaps), F.lit(0.0)) <= epsilon * epsilon + _SLACK
         pairs = pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("a_at") <= F.col("b_at")) & reach)
-        pairs = cut_lineage(pairs.select(F.col("a_at").alias("a"), F.col("b_at").alias("b")))
+        pairs = stored(pairs.select(F.col("a_at").alias("a"), F.col("b_at").alias("b")))
     return pairs
 
 
@@ -200,7 +200,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     width = rows.agg(F.max(F.size("embedding"))).first()[0] or 1
     width = max(width, 1)
     axes = _axes(rows, width)
-    every = cut_lineage(_prepared(rows, width, axes, epsilon))
+    every = stored(_prepared(rows, width, axes, epsilon))
     ready = every.where("good")
     nodes = ready.groupBy("node").agg(F.count(F.lit(1)).alias("weight"), *(F.first(c).alias(c) for c in ("cell", "near", "vector")))
     placed = dense_position(nodes, [F.col("cell"), F.col("near"), F.col("node")], "place")
@@ -208,12 +208,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
         "node", "weight", "vector", "place", F.floor(F.col("place") / STRIPE).alias("stripe"),
         *(F.get("near", F.lit(k)).alias(f"x{k}") for k in range(GRID_AXES)),
     )
-    placed = cut_lineage(placed.fillna(0.0))
+    placed = stored(placed.fillna(0.0))
     pairs = _stripe_pairs(placed, epsilon)
     part = placed.select("stripe", "place", "node", "weight", "vector")
     ends = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("stripe"))
     found = ends.join(part, "stripe").groupBy("a", "b").applyInArrow(_compared(cosine, width), "node bigint, n_links bigint, root bigint")
-    found = cut_lineage(found)
+    found = stored(found)
     labels = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     known = ready.groupBy("node").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))

@@ -32,8 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ..functions.storage import cut_lineage
-from .common import Memo, whole, with_maybe
+from .common import Memo, stored, whole, with_maybe
 from .components import components
 
 # A shingle in this share of a batch's texts, and at least in LEAST_HOT of them, comes late in the order.
@@ -126,7 +125,7 @@ def _hot(docs: DataFrame, text: str, width: int) -> np.ndarray:
                 yield pa.RecordBatch.from_pydict({"h": values[hot].view(np.int64), "n": n[hot].astype(np.int64)})
 
     counted = docs.select(whole(text).alias("_text")).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    counted = cut_lineage(counted)
+    counted = stored(counted)
     if counted.count() > HOT_SHINGLES:
         counted = counted.orderBy(F.desc("n"), "h").limit(HOT_SHINGLES)
     return np.sort(counted.select("h").toArrow().column(0).to_numpy().view(np.uint64))
@@ -152,7 +151,7 @@ def _nodes(docs: DataFrame, text: str, key: str, width: int, percent: int) -> Da
             )
 
     rows = docs.select(F.col(key).cast("long").alias("doc"), whole(text).alias("_text"))
-    return cut_lineage(rows.mapInArrow(run, "doc bigint, n bigint, node bigint, image binary, pivots array<bigint>"))
+    return stored(rows.mapInArrow(run, "doc bigint, n bigint, node bigint, image binary, pivots array<bigint>"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, width: int) -> DataFrame:
@@ -170,7 +169,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, width: int) -
     texts = likely.join(ids, F.col("doc").eqNullSafe(F.col("_doc")), "left_semi").select("_text")
     # A doc_id can have several texts, and a text several rows.
     found = texts.mapInArrow(run, "node bigint, shingles array<bigint>")
-    return cut_lineage(found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    return stored(found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
 
 
 def _measured(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -178,7 +177,7 @@ def _measured(pairs: DataFrame, known: DataFrame) -> DataFrame:
     a = known.select(F.col("node").alias("p"), F.col("n").alias("m"), F.col("image").alias("_ip"))
     b = known.select(F.col("node").alias("x"), "n", F.col("image").alias("_ix"))
     joined = pairs.select("p", "x").join(a, "p").join(b, "x")
-    return cut_lineage(joined.select("p", "x", _image_distance("_ip", "_ix").alias("d"), "m", "n"))
+    return stored(joined.select("p", "x", _image_distance("_ip", "_ix").alias("d"), "m", "n"))
 
 
 def _within(d: Column, m: Column, n: Column, percent: int) -> Column:
@@ -188,7 +187,7 @@ def _within(d: Column, m: Column, n: Column, percent: int) -> Column:
 
 def _exact(docs: DataFrame, near: DataFrame, known: DataFrame, percent: int, text: str, key: str, width: int) -> DataFrame:
     """The pairs (a, b) that link, of (p, x) within the bound."""
-    near = cut_lineage(near.select("p", "x").distinct())
+    near = stored(near.select("p", "x").distinct())
     if near.isEmpty():
         return near.select(F.col("p").alias("a"), F.col("x").alias("b"))
     met = near.select(F.explode(F.array("p", "x")).alias("node")).distinct()
@@ -197,7 +196,7 @@ def _exact(docs: DataFrame, near: DataFrame, known: DataFrame, percent: int, tex
     joined = joined.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("_sx")), "x")
     both = F.size(F.array_intersect("_sp", "_sx")).cast("long")
     measured = joined.select("p", "x", both.alias("_both"), (F.size("_sp") + F.size("_sx")).cast("long").alias("_sum"))
-    return cut_lineage(
+    return stored(
         measured.where(100 * F.col("_both") >= percent * (F.col("_sum") - F.col("_both"))).select(F.col("p").alias("a"), F.col("x").alias("b"))
     )
 
@@ -217,10 +216,10 @@ def links(docs: DataFrame, percent: int, width: int, text: str = "text", key: st
     places = nodes.where(F.col("n") > 0).select("node", F.explode("pivots").alias("pivot"))
     owned = places.groupBy("pivot").agg(F.min("node").alias("p"), F.max("node").alias("_last")).where(F.col("p") != F.col("_last"))
     stars = places.join(owned.select("pivot", "p"), "pivot").where(F.col("node") != F.col("p"))
-    stars = cut_lineage(stars.select("p", F.col("node").alias("x")).distinct())
+    stars = stored(stars.select("p", F.col("node").alias("x")).distinct())
     met = stars.select(F.explode(F.array("p", "x")).alias("node")).distinct()
     known = nodes.groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n"), F.first("image").alias("image"))
-    known = cut_lineage(known.join(met, "node"))
+    known = stored(known.join(met, "node"))
 
     def compared(pairs: DataFrame) -> DataFrame:
         near = pairs.where(_within(F.col("d"), F.col("m"), F.col("n"), percent))
@@ -232,7 +231,7 @@ def links(docs: DataFrame, percent: int, width: int, text: str = "text", key: st
     for level in range(LEVELS):
         regions = _with_components(measured, labels).withColumn("open", F.col("cx") != F.col("cp"))
         loads = regions.groupBy("p").agg(F.sum(F.col("open").cast("long")).alias("n_open"), F.count(F.lit(1)).alias("n_all"))
-        regions = cut_lineage(regions.join(loads.where(F.col("n_open") * (F.col("n_all") - 1) > 0), "p"))
+        regions = stored(regions.join(loads.where(F.col("n_open") * (F.col("n_all") - 1) > 0), "p"))
         if regions.isEmpty():
             break
         outright = F.lit(level == LEVELS - 1) | (F.col("n_open") * F.col("n_all") <= SMALL_REGION)
@@ -254,10 +253,10 @@ def links(docs: DataFrame, percent: int, width: int, text: str = "text", key: st
         own = cells.groupBy("x").agg(F.min("d").alias("own"))
         # A linked text has at most n / t shingles, so the bound is at most (1 - t) / t n.
         border = percent * (F.col("d") - F.col("own")) <= 2 * (100 - percent) * F.col("n")
-        measured = cut_lineage(cells.join(own, "x").where(border).drop("own"))
+        measured = stored(cells.join(own, "x").where(border).drop("own"))
         more = closed.unionByName(compared(cells))
         if not more.isEmpty():
-            found = cut_lineage(found.unionByName(more))
+            found = stored(found.unionByName(more))
             labels = components(found)
     return nodes.select("doc", "n", "node"), labels
 
@@ -288,7 +287,7 @@ def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5, text: str =
     """
     grouped = classes(docs, percent, width, text, key)
     gone = grouped.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = cut_lineage(gone.select(F.col("doc_id").alias("_gone")).distinct())
+    gone = stored(gone.select(F.col("doc_id").alias("_gone")).distinct())
     id_ = F.col(key).cast("long")
     marked = with_maybe(docs, id_, gone)
     sure = marked.where(~F.col("_maybe")).drop("_maybe")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import cut_lineage
+from .common import stored
 
 # Rules of the query: host, path, verdict.
 QUERY_RULES = [
@@ -84,7 +84,7 @@ def active_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """host and the stack of rules that cover it, longest first, for each distinct host."""
     events = hosts.select(host_key(F.col("host")).alias("key"), F.col("host"), F.lit(1).alias("_kind"), F.lit(None).alias(_STACK))
     events = events.unionByName(_with_stacks(rules).select("key", F.lit(None).cast("string").alias("host"), F.lit(0).alias("_kind"), _STACK))
-    swept = cut_lineage(events.orderBy("key", "_kind").withColumn("_slot", F.monotonically_increasing_id()))
+    swept = stored(events.orderBy("key", "_kind").withColumn("_slot", F.monotonically_increasing_id()))
     swept = swept.withColumn("_part", F.shiftright("_slot", _ROW_BITS))
     # The last rule of each range of keys, carried to the ranges after it: one row per range.
     lasts = swept.groupBy("_part").agg(F.max_by(_STACK, F.when(F.col("_kind") == 0, F.col("_slot"))).alias("_last"))
