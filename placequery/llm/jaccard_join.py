@@ -214,9 +214,12 @@ def links(docs: DataFrame, percent: int, width: int, text: str = "text", key: st
     """(nodes, components): nodes holds doc, n and node of every row, components (id, component) of linked nodes."""
     nodes = _nodes(docs, text, key, width, percent)
     places = nodes.where(F.col("n") > 0).select("node", F.explode("pivots").alias("pivot"))
-    owned = places.groupBy("pivot").agg(F.min("node").alias("p"), F.max("node").alias("_last")).where(F.col("p") != F.col("_last"))
-    stars = places.join(owned.select("pivot", "p"), "pivot").where(F.col("node") != F.col("p"))
-    stars = stored(stars.select("p", F.col("node").alias("x")).distinct())
+    owned = places.groupBy("pivot").agg(F.min("node").alias("p"), F.max("node").alias("_last"), F.count(F.lit(1)).alias("_rows"))
+    owned = owned.where(F.col("p") != F.col("_last")).select("pivot", "p", (F.col("_rows") > 2).alias("_more"))
+    members = stored(
+        places.join(owned, "pivot").where(F.col("node") != F.col("p")).select(F.col("pivot").alias("r"), "p", F.col("node").alias("x"), "_more")
+    )
+    stars = stored(members.select("p", "x").distinct())
     met = stars.select(F.explode(F.array("p", "x")).alias("node")).distinct()
     known = nodes.groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n"), F.first("image").alias("image"))
     known = stored(known.join(met, "node"))
@@ -228,32 +231,34 @@ def links(docs: DataFrame, percent: int, width: int, text: str = "text", key: st
     measured = _measured(stars, known)
     found = compared(measured)
     labels = components(found)
+    # A region (r) of two texts is settled by now.
+    measured = members.where("_more").select("r", "p", "x").distinct().join(measured, ["p", "x"])
     for level in range(LEVELS):
         regions = _with_components(measured, labels).withColumn("open", F.col("cx") != F.col("cp"))
-        loads = regions.groupBy("p").agg(F.sum(F.col("open").cast("long")).alias("n_open"), F.count(F.lit(1)).alias("n_all"))
-        regions = stored(regions.join(loads.where(F.col("n_open") * (F.col("n_all") - 1) > 0), "p"))
+        loads = regions.groupBy("r").agg(F.sum(F.col("open").cast("long")).alias("n_open"), F.count(F.lit(1)).alias("n_all"))
+        regions = stored(regions.join(loads.where(F.col("n_open") * (F.col("n_all") - 1) > 0), "r"))
         if regions.isEmpty():
             break
         outright = F.lit(level == LEVELS - 1) | (F.col("n_open") * F.col("n_all") <= SMALL_REGION)
         every = regions.where(outright)
-        left = every.where("open").select("p", F.col("x").alias("y"), F.col("d").alias("dy"), F.col("cx").alias("cy"), F.col("n").alias("ny"))
+        left = every.where("open").select("r", F.col("x").alias("y"), F.col("d").alias("dy"), F.col("cx").alias("cy"), F.col("n").alias("ny"))
         window = _within(F.abs(F.col("d") - F.col("dy")), F.col("n"), F.col("ny"), percent)
         met = (
-            left.join(every.select("p", "x", "d", "cx", "n", "open"), "p")
+            left.join(every.select("r", "x", "d", "cx", "n", "open"), "r")
             .where((F.col("cx") != F.col("cy")) & (~F.col("open") | (F.col("y") < F.col("x"))) & window)
             .select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("x")).distinct()
         )
         closed = compared(_measured(met, known))
         # Larger regions: new pivots among the open texts; each text goes to the nearest, and to others near the border.
         large = regions.where(~outright)
-        chosen = large.where("open").groupBy("p").agg(*(F.min_by("x", F.xxhash64("x", F.lit(k))).alias(f"_q{k}") for k in range(NEW_PIVOTS)))
-        chosen = chosen.select("p", F.explode(F.array_distinct(F.array(*(f"_q{k}" for k in range(NEW_PIVOTS))))).alias("q"))
-        to_new = large.join(chosen, "p").where(F.col("x") != F.col("q")).select(F.col("q").alias("p"), "x").distinct()
+        chosen = large.where("open").groupBy("r").agg(*(F.min_by("x", F.xxhash64("x", F.lit(k))).alias(f"_q{k}") for k in range(NEW_PIVOTS)))
+        chosen = chosen.select("r", F.explode(F.array_distinct(F.array(*(f"_q{k}" for k in range(NEW_PIVOTS))))).alias("q"))
+        to_new = large.join(chosen, "r").where(F.col("x") != F.col("q")).select(F.col("q").alias("p"), "x").distinct()
         cells = _measured(to_new, known)
         own = cells.groupBy("x").agg(F.min("d").alias("own"))
         # A linked text has at most n / t shingles, so the bound is at most (1 - t) / t n.
         border = percent * (F.col("d") - F.col("own")) <= 2 * (100 - percent) * F.col("n")
-        measured = stored(cells.join(own, "x").where(border).drop("own"))
+        measured = stored(cells.join(own, "x").where(border).drop("own").withColumn("r", F.col("p")))
         more = closed.unionByName(compared(cells))
         if not more.isEmpty():
             found = stored(found.unionByName(more))
