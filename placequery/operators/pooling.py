@@ -167,7 +167,11 @@ def resample_bilinear(patches: DataFrame, height: int, width: int) -> DataFrame:
     return spread.groupBy("image_id", F.col("_y.i").alias("y"), F.col("_x.i").alias("x")).agg(sum_vectors(weighed).alias("vec"))
 
 
-def attention_saliency(attention: DataFrame, heads: tuple[int, ...] = (0, 2, 4, 5)) -> DataFrame:
+# The heads averaged by default.
+SALIENT_HEADS = (0, 2, 4, 5)
+
+
+def attention_saliency(attention: DataFrame, heads: tuple[int, ...] = SALIENT_HEADS) -> DataFrame:
     """Mean over the chosen heads per patch, min-max scaled per image.
 
     ``attention`` rows are ``(image_id, patch_id, head, value)``.

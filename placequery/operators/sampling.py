@@ -9,12 +9,14 @@ from ..functions.hashing import draw
 from ..functions.ordering import dense_position, running_total, top_per_group
 
 
-def sample_segments(segments: DataFrame, key: str, max_segments: int = 50000, seed: int = 0) -> DataFrame:
+def sample_segments(segments: DataFrame, key: str, max_segments: int | None, seed: int = 0) -> DataFrame:
     """int(n * ratio) segments per image, ratio = min(1, max / total).
 
     Images are taken in id order until the sample reaches ``max_segments``; the image
-    that reaches it still counts in full.
+    that reaches it still counts in full. None keeps all segments.
     """
+    if max_segments is None:
+        return segments
     sizes = segments.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"))
     total = segments.agg(F.count(F.lit(1))).scalar()
     ratio = F.least(F.lit(1.0), F.lit(float(max_segments)) / total)
@@ -28,12 +30,15 @@ def sample_segments(segments: DataFrame, key: str, max_segments: int = 50000, se
 
 
 def sample_for_vocabulary(
-    patches: DataFrame, threshold: int = 2000, frac: float = 0.3, stride: int = 2, seed: int = 42
+    patches: DataFrame, threshold: int | None, frac: float = 0.3, stride: int = 2, seed: int = 42
 ) -> DataFrame:
     """Above ``threshold`` images: a share of them and every second grid row and column.
 
-    The branch is decided inside the plan by the image count, so nothing is collected.
+    The branch is decided inside the plan by the image count, so nothing is collected. None
+    keeps all patches.
     """
+    if threshold is None:
+        return patches
     images = patches.select("image_id").distinct()
     total = images.agg(F.count(F.lit(1))).scalar()
     ranked = dense_position(images, [draw(F.col("image_id"), seed), F.col("image_id")], "_draw")
@@ -42,7 +47,7 @@ def sample_for_vocabulary(
     return patches.join(chosen, "image_id", "left_semi").where(on_grid)
 
 
-def sample_fixed(patches: DataFrame, key: str, n: int = 50000, per_image: int = 100, seed: int = 0, max_images: int | None = None) -> DataFrame:
+def sample_fixed(patches: DataFrame, key: str, n: int, per_image: int = 100, seed: int = 0, max_images: int | None = None) -> DataFrame:
     """ceil(n / per_image) images, ``per_image`` patches each, without replacement."""
     wanted = -(-n // per_image) if max_images is None else min(max_images, -(-n // per_image))
     images = patches.select("image_id").distinct()

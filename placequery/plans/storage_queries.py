@@ -324,7 +324,7 @@ def _sample_vocab(t):
 
 @query("sample_for_vocabulary_all", "vec_id:l image_id:l py:l px:l", _vocab_sample(2000))
 def _sample_vocab_all(t):
-    return sampling.sample_for_vocabulary(t.patch_list())
+    return sampling.sample_for_vocabulary(t.patch_list(), threshold=2000)
 
 
 @query("sample_fixed", "vec_id:l image_id:l draw_rank:l", f"""

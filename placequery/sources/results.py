@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 RECORD_SCHEMA = "ARRAY<STRUCT<seg_id_q: BIGINT, seg_id_r: BIGINT, img_id_r: BIGINT>>"
 
+# The column names of the metadata file.
 MASK_COLUMNS = [
     "id", "area", "bbox_x0", "bbox_y0", "bbox_w", "bbox_h", "point_input_x", "point_input_y",
     "predicted_iou", "stability_score", "crop_box_x0", "crop_box_y0", "crop_box_w", "crop_box_h",

@@ -18,6 +18,7 @@ MASKS = (
 PLACES = (
     "place_id BIGINT, city_id STRING, panoid STRING, year BIGINT, month BIGINT, northdeg BIGINT, lat DOUBLE, lon DOUBLE"
 )
+# The column names of the match file.
 MATCH_COLUMNS = [f"top_{i}_ref_ind" for i in range(1, 6)]
 
 
