@@ -31,6 +31,8 @@ from .bpe import default_path
 from .common import file_system, whole
 
 END_ID = 1
+# Entries of a generation of the memos of pieces and of runs without white space.
+_MEMO = 250_000
 _HEADER = struct.Struct("<4sqqqq")
 _MAGIC = b"RIDS"
 _LENGTHS = np.array([[1 + (c >> s & 3) for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
@@ -67,7 +69,7 @@ def _library(path: str):
     def codes(pieces: list[str]) -> list[bytes]:
         return [np.array([t.id for t in model.tokenize(words.as_letters(p))], "<u4").tobytes() for p in pieces]
 
-    return words.TextCoder(codes, lambda special: np.array([tokenizer.token_to_id(special)], "<u4").tobytes())
+    return words.TextCoder(codes, lambda special: np.array([tokenizer.token_to_id(special)], "<u4").tobytes(), _MEMO)
 
 
 def _open_new(folder: str):
@@ -124,7 +126,7 @@ def _write_plain(folder: str, path: str):
             coded = [c + end for c in coder.codes(t.as_py() for t in batch.column(1))]
             counts = [len(c) // 4 for c in coded]
             flat = np.frombuffer(b"".join(coded), "<u4")
-            _write_block(out, docs, counts, b"", zlib.compress(flat.astype("<u2" if _narrow(path) else "<u4").tobytes(), 1))
+            _write_block(out, docs, counts, b"", flat.astype("<u2" if _narrow(path) else "<u4").tobytes())
             first, n_docs, n_tokens = first or docs[:1], n_docs + len(docs), n_tokens + sum(counts)
         if out is not None:
             out.close()
@@ -141,7 +143,7 @@ def _narrow(path: str) -> bool:
 
 
 def _plain_ids(data: bytes, path: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), "<u2" if _narrow(path) else "<u4")
+    return np.frombuffer(data, "<u2" if _narrow(path) else "<u4")
 
 
 def _count(path: str):

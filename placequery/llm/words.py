@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import regex
 
-from .common import Memo
+from .common import MEMO_ENTRIES, Memo
 
 # Fixed values of the vocabulary file: its special strings and its splitting pattern.
 SPECIAL = {"<|startoftext|>": 49406, "<|endoftext|>": 49407}
@@ -80,10 +80,10 @@ class TextCoder:
     string.
     """
 
-    def __init__(self, of_pieces: Callable[[list[str]], list[bytes]], of_special: Callable[[str], bytes]):
+    def __init__(self, of_pieces: Callable[[list[str]], list[bytes]], of_special: Callable[[str], bytes], entries: int = MEMO_ENTRIES):
         self.of_pieces, self.of_special = of_pieces, of_special
-        self.pieces = Memo(lambda piece: of_pieces([piece])[0], turns=False)
-        self.chunks = Memo(lambda chunk: b"".join(map(self.pieces.__getitem__, PIECE.findall(chunk))), turns=False)
+        self.pieces = Memo(lambda piece: of_pieces([piece])[0], entries, turns=False)
+        self.chunks = Memo(lambda chunk: b"".join(map(self.pieces.__getitem__, PIECE.findall(chunk))), entries, turns=False)
 
     def codes(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         group, held = [], 0
