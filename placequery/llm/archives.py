@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import cut_lineage, scratch_path
-from .common import file_system, whole
+from .common import file_system, spread_files, whole
 
 SMALLEST_SHARED = 100
 # A package is closed and a new one begun at this size.
@@ -274,7 +274,7 @@ def read(manifest: DataFrame, batch_bytes: int = FETCH_BYTES) -> DataFrame:
                 if rows:
                     yield flushed(rows)
 
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, _RECORDS)
+    return spread_files(manifest.select("path")).mapInArrow(run, _RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

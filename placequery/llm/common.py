@@ -89,6 +89,12 @@ def with_maybe(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     return marked.withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(bit(key)) != 0, F.lit(False))).drop("_word", "_bits")
 
 
+def spread_files(manifest: DataFrame) -> DataFrame:
+    """Manifest rows dealt out over the shuffle width; by number, as small rows would else be put in one task."""
+    width = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.repartition(width, F.col("path"))
+
+
 def file_system(uri: str):
     """(file system, path) of a URI or absolute path, for random access from Python tasks."""
     from pyarrow import fs

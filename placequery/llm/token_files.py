@@ -28,7 +28,7 @@ from pyspark.sql.types import LongType
 from ..functions.storage import cut_lineage, scratch_path
 from . import words
 from .bpe import default_path
-from .common import file_system, whole
+from .common import file_system, spread_files, whole
 
 END_ID = 1
 # Entries of a generation of the memos of pieces and of runs without white space.
@@ -219,7 +219,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                     )
                     start += int(ends[-1])
 
-    spread = placed.repartition(F.col("path"))
+    spread = spread_files(placed)
     return spread.mapInArrow(run, "doc_id bigint, start bigint, ids array<int>")
 
 
