@@ -252,13 +252,19 @@ def links(docs: DataFrame, percent: int, width: int, text: str = "text", key: st
         # Larger regions: new pivots among the open texts; each text goes to the nearest, and to others near the border.
         large = regions.where(~outright)
         chosen = large.where("open").groupBy("r").agg(*(F.min_by("x", F.xxhash64("x", F.lit(k))).alias(f"_q{k}") for k in range(NEW_PIVOTS)))
-        chosen = chosen.select("r", F.explode(F.array_distinct(F.array(*(f"_q{k}" for k in range(NEW_PIVOTS))))).alias("q"))
-        to_new = large.join(chosen, "r").where(F.col("x") != F.col("q")).select(F.col("q").alias("p"), "x").distinct()
-        cells = _measured(to_new, known)
-        own = cells.groupBy("x").agg(F.min("d").alias("own"))
+        chosen = chosen.select("r", F.array_sort(F.array_distinct(F.array(*(f"_q{k}" for k in range(NEW_PIVOTS))))).alias("qs"))
+        # Regions with the same pivots are dealt out as one (g).
+        chosen = chosen.join(chosen.groupBy("qs").agg(F.min("r").alias("g")), "qs")
+        dealt = large.join(chosen, "r").select("g", "qs", "x").distinct().select("g", F.explode("qs").alias("p"), "x").where(F.col("x") != F.col("p"))
+        dealt = stored(dealt)
+        cells = _measured(dealt.select("p", "x").distinct(), known)
+        # The nearest pivot counts per region: the other text of a link need not be in the other regions of this one.
+        placed = dealt.join(cells.select("p", "x", "d", "n"), ["p", "x"])
+        own = placed.groupBy("g", "x").agg(F.min("d").alias("own"))
         # A linked text has at most n / t shingles, so the bound is at most (1 - t) / t n.
         border = percent * (F.col("d") - F.col("own")) <= 2 * (100 - percent) * F.col("n")
-        measured = stored(cells.join(own, "x").where(border).drop("own").withColumn("r", F.col("p")))
+        inside = placed.join(own, ["g", "x"]).where(border).select("p", "x").distinct()
+        measured = stored(cells.join(inside, ["p", "x"]).withColumn("r", F.col("p")))
         more = closed.unionByName(compared(cells))
         if not more.isEmpty():
             found = stored(found.unionByName(more))

@@ -60,6 +60,32 @@ def test_jaccard_classes(spark, monkeypatch, small):
     assert {tuple(r) for r in jaccard_join.classes(docs, 80, 3).collect()} == brute_classes(rows, 80, 3)
 
 
+def words_by_hash():
+    """Words of which a window begins with the first kind, and words that come after."""
+    memo, low, high = jaccard_join.word_memo(), [], []
+    for k in range(60_000):
+        h = int(jaccard_join.shingle_sets([f"w{k}"], 1, memo)[0][0])
+        (low if h < 1 << 62 else high).append(f"w{k}")
+    return iter(low), iter(high)
+
+
+def test_jaccard_link_across_regions(spark, monkeypatch):
+    """x and y link inside a region of far pivots; x alone has near pivots in another region."""
+    monkeypatch.setattr(jaccard_join, "SMALL_REGION", 100)
+    monkeypatch.setattr(jaccard_join, "LEAST_HOT", 10**6)
+    low, high = words_by_hash()
+    take = lambda words, n: [next(words) for _ in range(n)]
+    rows = []
+    for _ in range(3):
+        both, other, rest = take(low, 12), take(low, 5), take(high, 79)
+        texts = [both + other + take(low, 4) + rest, both + take(low, 9) + rest]
+        texts += [both + take(low, 9) + take(high, 79) for _ in range(40)]
+        texts += [other + take(low, 16) + rest[:72] + take(high, 7) for _ in range(40)]
+        rows += [(len(rows) + k, " ".join(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in jaccard_join.classes(docs, 80, 1).collect()} == brute_classes(rows, 80, 1)
+
+
 def test_jaccard_edges(spark):
     docs = spark.createDataFrame([(7, "a b c d"), (7, "a b c d"), (None, "a b c d"), (9, "x y z w"), (9, "a b c d"), (3, "q")], "doc_id long, text string")
     found = sorted(map(tuple, jaccard_join.classes(docs, 90, 3).collect()), key=repr)
