@@ -272,6 +272,15 @@ def links(docs: DataFrame, percent: int, width: int, text: str = "text", key: st
     return nodes.select("doc", "n", "node"), labels
 
 
+def _classed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, component (its smallest node) and component_id (its smallest doc_id) of every set with shingles."""
+    named = nodes.where(F.col("n") > 0).groupBy("node").agg(F.min("doc").alias("_doc"))
+    named = named.join(labels.select(F.col("id").alias("node"), "component"), "node", "left")
+    named = named.withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("_doc").alias("component_id"))
+    return named.join(least, "component").select("node", "component", "component_id")
+
+
 def classes(docs: DataFrame, percent: int = 80, width: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row.
 
@@ -280,11 +289,7 @@ def classes(docs: DataFrame, percent: int = 80, width: int = 5, text: str = "tex
     that id; a null id is never the smallest unless alone. Other columns are not read.
     """
     nodes, labels = links(docs, percent, width, text, key)
-    named = nodes.where(F.col("n") > 0).groupBy("node").agg(F.min("doc").alias("_doc"))
-    named = named.join(labels.select(F.col("id").alias("node"), "component"), "node", "left")
-    named = named.withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("_doc").alias("component_id"))
-    classed = named.join(least, "component").select("node", "component_id")
+    classed = _classed(nodes, labels).select("node", "component_id")
     empty = nodes.where(F.col("n") == 0).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("doc").alias("component_id"))
     full = nodes.where(F.col("n") > 0).join(classed, "node").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(empty)
@@ -293,13 +298,26 @@ def classes(docs: DataFrame, percent: int = 80, width: int = 5, text: str = "tex
 def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of least doc_id of every group of linked texts, with all their columns.
 
-    Rows without shingles stay; rows of one doc_id stay or go together, repeated ones included;
-    rows with a null doc_id stay unless a text of their group has an id.
+    Rows without shingles stay; rows of one doc_id stay or go together, repeated ones included.
+    Rows with a null doc_id are judged one by one: they go if a text of their group has an id, and
+    of a group without any id one row stays.
     """
-    grouped = classes(docs, percent, width, text, key)
-    gone = grouped.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = stored(gone.select(F.col("doc_id").alias("_gone")).distinct())
+    nodes, labels = links(docs, percent, width, text, key)
+    classed = stored(_classed(nodes, labels))
+    gone = nodes.where((F.col("n") > 0) & F.col("doc").isNotNull()).join(classed, "node").where(F.col("doc") != F.col("component_id"))
+    gone = stored(gone.select(F.col("doc").alias("_gone")).distinct())
     id_ = F.col(key).cast("long")
-    marked = with_maybe(docs, id_, gone)
+    marked = with_maybe(docs.where(id_.isNotNull()), id_, gone)
     sure = marked.where(~F.col("_maybe")).drop("_maybe")
-    return sure.unionByName(marked.where("_maybe").drop("_maybe").join(gone, id_.eqNullSafe(F.col("_gone")), "left_anti"))
+    named = sure.unionByName(marked.where("_maybe").drop("_maybe").join(gone, id_ == F.col("_gone"), "left_anti"))
+
+    @F.arrow_udf(LongType())
+    def node_of(texts: pa.Array) -> pa.Array:
+        sets = shingle_sets(texts.to_pylist(), width, word_memo())
+        return pa.array([node if len(found) else None for node, found in zip(_node_ids(sets).tolist(), sets, strict=True)], pa.int64())
+
+    nameless = docs.where(id_.isNull()).withColumn("_node", node_of.asNondeterministic()(whole(text)))
+    empty = nameless.where(F.col("_node").isNull()).drop("_node")
+    least = classed.where(F.col("component_id").isNull()).groupBy("component").agg(F.min("node").alias("_node")).select("_node")
+    one = nameless.join(least, "_node", "left_semi").groupBy("_node").agg(F.min_by(F.struct(*docs.columns), F.col(text)).alias("_row"))
+    return named.unionByName(empty).unionByName(one.select("_row.*"))

@@ -94,6 +94,15 @@ def test_jaccard_edges(spark):
     assert jaccard_join.classes(docs.limit(0), 90, 3).count() == 0
 
 
+def test_one_of_each_without_ids(spark):
+    rows = [(7, "a b c d", 0), (None, "A b c d", 1), (None, "u v w x", 2), (None, "k l m n", 3), (None, "k l m n", 4), (None, None, 5), (None, " ", 6), (5, "q r s t", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place int")
+    found = jaccard_join.one_of_each(docs, 90, 3)
+    assert found.columns == docs.columns
+    places = sorted(r["place"] for r in found.collect())
+    assert places in ([0, 2, 3, 5, 6, 7], [0, 2, 4, 5, 6, 7])
+
+
 def test_components_chain(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (5, 5), (None, 3)]
     found = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
