@@ -4,6 +4,7 @@ For every node of the document tree, characters per tag, lessened by the share o
 are its density. The subtree whose children have the largest sum of densities is the text; the
 least density on the way from it to the body is the threshold above which further nodes give
 their best subtree too. Elements that never hold article text are taken out before.
+Inside article and main only whole names of such elements count; a form stays if it holds most of the text.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ _BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _NEVER = frozenset(
-    "head script style noscript template iframe object svg canvas nav footer aside form button select option input "
+    "head script style noscript template iframe object svg canvas nav footer aside button select option input "
     "textarea label menu dialog audio video map title noembed noframes xmp".split()
 )
 # Words of class, id and role that mark an element as no part of the article.
@@ -39,8 +40,18 @@ _MARKS = re.compile(
     r"|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|paywall|pagination|pager|skip"
     r"|complementary|navigation|contentinfo|legal|copyright)(?:$|[\s_-])"
 )
-_LABELS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/>]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+# Inside article and main, names of sections and of the article's own header are no marks: a whole name has to be one.
+_INNER_MARKS = re.compile(
+    r"(?:(?:post|entry|article|page|site|single|content|inline)[_-])?"
+    r"(?:ads?|advert\w*|sponsor\w*|promo|cookies?|consent|popup|modal|menu|nav(?:bar|igation)?|breadcrumbs?|sidebar|widget|footer"
+    r"|comments?|commentlist|replies|disqus|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|login"
+    r"|paywall|pagination|pager|complementary|contentinfo)"
+    r"(?:[_-](?:ads?|bar|box|block|buttons?|icons?|links?|list|form|posts?|articles?|stories|wrapper|container|widget|section|area|banner))*"
+)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+# A form stays from this share of the page's text on.
+_FORM_SHARE = 0.5
 # An open element of the first kind ends when one of the second begins; not beyond the third.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BOUNDS = frozenset("ul ol dl table body html article section main div td th".split())
@@ -73,6 +84,22 @@ class _Tree:
                 at = end.end() if end else len(page)
                 stack.pop()
         self._text(stack[-1], page[at:])
+        self._judge_forms()
+        if any(node < self.body and text != " " for node, _, text in self.texts):
+            self.body = 0
+
+    def _judge_forms(self) -> None:
+        """Take out the forms that do not hold most of the text."""
+        if "form" not in self.tag:
+            return
+        chars = [0] * len(self.tag)
+        for node, _, text in self.texts:
+            chars[node] += len(text) if text != " " else 0
+        for i in range(len(chars) - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+        for i in range(1, len(chars)):
+            self.out[i] |= self.out[self.parent[i]] or self.tag[i] == "form" and chars[i] < _FORM_SHARE * chars[0]
+        self.texts = [t for t in self.texts if not self.out[t[0]]]
 
     def _text(self, node: int, text: str) -> None:
         if text and not self.out[node] and not text.isspace():
@@ -113,6 +140,11 @@ class _Tree:
                 return
 
     def _close(self, stack: list[int], tag: str) -> None:
+        if tag in ("body", "html"):
+            # What comes after still belongs to the body.
+            last = max((k for k, n in enumerate(stack) if self.tag[n] in ("body", "html")), default=0)
+            del stack[last + 1 :]
+            return
         for k in range(len(stack) - 1, 0, -1):
             if self.tag[stack[k]] == tag:
                 del stack[k:]
@@ -124,8 +156,15 @@ def _marked(tag: str, rest: str, inside: bool) -> bool:
         return False
     if tag == "header" and not inside:
         return True
-    labels = " ".join(a or b or c for a, b, c in _LABELS.findall(rest)).lower()
-    return bool(labels and _MARKS.search(labels)) or bool(_HIDDEN.search(rest))
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(rest):
+        found.setdefault(name.lower(), a or b or c)
+    if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or _NO_DISPLAY.search(found.get("style", "")):
+        return True
+    labels = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower()
+    if inside:
+        return any(_INNER_MARKS.fullmatch(name) for name in labels.split())
+    return bool(_MARKS.search(labels))
 
 
 def _densities(tree: _Tree) -> tuple[list[float], list[float]]:

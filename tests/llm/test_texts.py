@@ -108,6 +108,37 @@ def test_main_text(spark):
     assert main_text.extract(df.limit(0)).count() == 0
 
 
+LONG = "A sentence of the article that goes on for a while, with commas, and then ends. " * 4
+
+
+@pytest.mark.parametrize("attributes", ['class="entry-header"', 'class="article-header"', 'id="related-work"', 'class="legal"', 'id="side"'])
+def test_main_text_keeps_named_parts_of_the_article(attributes):
+    page = f"<body><article><div {attributes}><h1>Title</h1><p>{LONG}</p></div><p>{LONG}</p></article></body>"
+    assert main_text.main_text(page).split("\n") == ["Title", LONG.strip(), LONG.strip()]
+
+
+def test_main_text_still_drops_marked_parts():
+    page = f"<body><article><p>{LONG}</p><div class='post-share'>Share it</div><ul class='related-posts'><li>More</ul></article><div class='site-header'>Site</div></body>"
+    assert main_text.main_text(page) == LONG.strip()
+
+
+def test_main_text_hidden_is_an_attribute():
+    for attributes in ('title="the hidden cost"', 'data-x="a hidden b"', 'title="display: none"', 'data-id="menu"'):
+        assert main_text.main_text(f"<body><div><p {attributes}>{LONG}</p></div></body>") == LONG.strip()
+    for attributes in ("hidden", 'hidden=""', "style='color:red; display: none'", 'aria-hidden="true"'):
+        assert main_text.main_text(f"<body><div><p>{LONG}</p><p {attributes}>gone</p></div></body>") == LONG.strip()
+
+
+def test_main_text_form_around_the_page():
+    assert main_text.main_text(f"<body><form action='/'><input name='state'><div><p>{LONG}</p><p>{LONG}</p></div></form></body>").count("\n") == 1
+    assert main_text.main_text(f"<body><div><p>{LONG}</p><form><p>Your name</p></form></div></body>") == LONG.strip()
+
+
+def test_main_text_outside_the_body_tags():
+    assert main_text.main_text(f"<html><body><p>{LONG}</p></body><p>{LONG}</p></html><p>{LONG}</p>").split("\n") == [LONG.strip()] * 3
+    assert main_text.main_text(f"<html><head><title>x</title></head><p>{LONG}</p><body><p>{LONG}</p></body></html>").split("\n") == [LONG.strip()] * 2
+
+
 def semi_global(passage, text):
     row = [0] * (len(text) + 1)
     for i, x in enumerate(passage, 1):
