@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    archives, bpe, decontamination, embedding_join, jaccard_join, main_text, prefix_counts, quality, token_files, url_filters,
+    archives, bit_clusters, bpe, decontamination, embedding_join, infilling, jaccard_join, main_text, prefix_counts, quality,
+    token_files, url_filters,
 )
 from .common import table
 
@@ -52,11 +53,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"), percent=90, width=3)
 
 
+def op11_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_bit_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_clusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_quality, op3_main_text, op4_embedding_join, op5_bpe, op6_token_files, op7_token_counts,
-        op8_decontamination, op9_warc, op10_jaccard_join,
+        op8_decontamination, op9_warc, op10_jaccard_join, op11_infilling, op12_bit_clusters,
     )
 }
 ORACLES: dict[str, str] = {
