@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    archives, bit_clusters, bpe, decontamination, embedding_join, infilling, jaccard_join, main_text, prefix_counts, quality,
-    token_files, url_filters,
+    archives, bit_clusters, bpe, decontamination, embedding_join, infilling, jaccard_join, main_text, maxent, prefix_counts,
+    quality, token_files, url_filters,
 )
 from .common import table
 
@@ -61,11 +61,16 @@ def op12_bit_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_clusters.clusters(table(spark, sf_dir, "embeddings"))
 
 
+def op13_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.scored(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_quality, op3_main_text, op4_embedding_join, op5_bpe, op6_token_files, op7_token_counts,
         op8_decontamination, op9_warc, op10_jaccard_join, op11_infilling, op12_bit_clusters,
+        op13_maxent,
     )
 }
 ORACLES: dict[str, str] = {

@@ -36,6 +36,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``stored`` has written, once everything made from it is written itself."""
+    files = table.inputFiles()
+    if files:
+        jvm, session = table.sparkSession._jvm, table.sparkSession._jsparkSession
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(session.sessionState().newHadoopConf()).delete(folder, True)
+
+
 class Memo(dict):
     """Bounded memo of a function: two generations, so frequent keys survive and memory stays fixed.
 
