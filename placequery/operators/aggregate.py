@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.blocks import group_blocks, map_block_rows, map_vectors, scalar_matrix
+from ..functions.blocks import BLOCK_BYTES, BLOCK_ROWS, group_blocks, map_block_rows, map_vectors, scalar_matrix
 from ..functions.vectors import dot, l2_normalize, let, sum_vectors
-from .vocabulary import Vocabulary, assign_residuals, unit_rows
+from .graph import reached_patches
+from .vocabulary import Vocabulary, assign_residuals, nearest, unit_rows
 
 SEGMENT = ["image_id", "seg_id"]
+# Segments that one product covers at most, and bytes of its result over all clusters.
+PIECE_SEGMENTS = 512
+PIECE_BYTES = 32 << 20
 
 
 def normalise_vlad(sums: DataFrame, owner: list[str], intra_norm: bool = True) -> DataFrame:
@@ -34,16 +38,58 @@ def segment_vlad(patches: DataFrame, incidence: DataFrame, vocabulary: Vocabular
     """Residual sums of the patches of each segment, per cluster.
 
     ``incidence`` is ``(image_id, seg_id, patch_id)``: plain segments, or super-segments
-    from ``graph.super_segment_patches``. The join key (image, patch) is unique on the
-    patch side, so no image can overload a task; sums combine map-side.
+    from ``graph.reached_patches``; repeated rows count once. Vectors stay in blocks of
+    their image: a block meets the id lists of the segments that touch it, cut into pieces,
+    and multiplies 0/1 rows of segments with the residuals of one cluster after the other.
+    Blocks, pieces and products are bounded in bytes, so an image of any size spreads over
+    tasks, and one row per (segment, cluster, block) is all that is shuffled.
     """
-    residuals = assign_residuals(patches.select("image_id", "patch_id", "embedding"), vocabulary, metric).drop("embedding")
-    edges = incidence.select(*SEGMENT, "patch_id").distinct()
-    sums = (
-        edges.join(residuals, ["image_id", "patch_id"]).groupBy(*SEGMENT, "cluster")
-        .agg(sum_vectors(F.col("residual")).alias("residual"))
+    k, width = vocabulary.centroids.shape
+    rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * width)))
+    piece = max(1, min(PIECE_SEGMENTS, PIECE_BYTES // (8 * k * width)))
+    blocks = group_blocks(patches.select("image_id", "patch_id", "embedding"), ["image_id"], "patch_id", "embedding", rows=rows)
+    ids = {c: F.col(c).cast("long").alias(c) for c in ("seg_id", "patch_id")}
+    placed = incidence.select(
+        "image_id", *ids.values(), F.floor(F.col("patch_id") / F.lit(rows)).cast("long").alias("chunk"),
+        F.pmod(F.xxhash64("seg_id"), F.lit(1 << 31)).alias("_draw"),
     )
-    return normalise_vlad(sums, SEGMENT)
+    # As many pieces as the image has segments for; their number is one small row per image.
+    pieces = incidence.groupBy("image_id").agg(F.ceil(F.approx_count_distinct("seg_id") / F.lit(piece)).alias("_pieces"))
+    lists = (
+        placed.join(pieces, "image_id").withColumn("_piece", F.col("_draw") % F.greatest("_pieces", F.lit(1)))
+        .repartition("image_id", "chunk").groupBy("image_id", "chunk", "_piece")
+        .agg(F.collect_set(F.struct("seg_id", "patch_id")).alias("_edges"))
+    )
+
+    def kernel(row):
+        x, held = scalar_matrix(row["flat"], len(row["ids"])), np.asarray(row["ids"].values)
+        best = nearest(x, vocabulary, metric)
+        residuals = x - vocabulary.centroids[best]
+        edges = row["_edges"].values
+        at = np.minimum(np.searchsorted(held, np.asarray(edges.field("patch_id"))), len(held) - 1)
+        there = held[at] == np.asarray(edges.field("patch_id"))
+        segs, seg = np.unique(np.asarray(edges.field("seg_id"))[there], return_inverse=True)
+        at = at[there]
+        out = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros((0, width))]
+        for c in np.unique(best[at]):
+            mine, of = np.flatnonzero(best == c), best[at] == c
+            member = np.zeros((len(segs), len(mine)))
+            member[seg[of], np.searchsorted(mine, at[of])] = 1
+            used = np.flatnonzero(member.any(axis=1))
+            parts = segs[used], np.full(len(used), vocabulary.clusters[c], np.int32), member[used] @ residuals[mine]
+            for column, part in zip(out, parts, strict=True):
+                column.append(part)
+        return [np.concatenate(column) for column in out]
+
+    products = map_block_rows(blocks.join(lists, ["image_id", "chunk"]), kernel, "seg_id BIGINT, cluster INT, residual ARRAY<DOUBLE>", ["image_id"])
+    # Dealt out by segment once, for the sums and for the norms over a segment's clusters.
+    sums = products.repartition(*SEGMENT).groupBy(*SEGMENT, "cluster").agg(sum_vectors(F.col("residual")).alias("residual"))
+    return normalise_vlad(sums.withColumn("seg_id", F.col("seg_id").cast(incidence.schema["seg_id"].dataType)), SEGMENT)
+
+
+def super_segment_vlad(patches: DataFrame, hops: DataFrame, incidence: DataFrame, vocabulary: Vocabulary, metric: str = "cosine") -> DataFrame:
+    """``segment_vlad`` of super-segments: each segment with the patches of all segments in ``hops`` of it."""
+    return segment_vlad(patches, reached_patches(hops, incidence), vocabulary, metric)
 
 
 def image_vlad_hard(

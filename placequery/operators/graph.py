@@ -248,10 +248,15 @@ def expand_hops(edges: DataFrame, order: int, segments: DataFrame | None = None)
     return grown.unionByName(kept)
 
 
-def super_segment_patches(hops: DataFrame, incidence: DataFrame) -> DataFrame:
-    """Union of the patches of all reachable segments; each patch counts once (T11)."""
+def reached_patches(hops: DataFrame, incidence: DataFrame) -> DataFrame:
+    """Patches of all reachable segments; a patch repeats when several of them hold it."""
     reached = incidence.select("image_id", F.col("seg_id").alias("seg_b"), "patch_id")
     return (
         hops.select("image_id", "seg_a", "seg_b").join(reached, ["image_id", "seg_b"])
-        .select("image_id", F.col("seg_a").alias("seg_id"), "patch_id").distinct()
+        .select("image_id", F.col("seg_a").alias("seg_id"), "patch_id")
     )
+
+
+def super_segment_patches(hops: DataFrame, incidence: DataFrame) -> DataFrame:
+    """Union of the patches of all reachable segments; each patch counts once (T11)."""
+    return reached_patches(hops, incidence).distinct()

@@ -43,7 +43,7 @@ def load_vocabulary(table: DataFrame, max_bytes: int = MAX_MODEL_BYTES) -> Vocab
     return Vocabulary(np.array([r.cluster for r in fetched]), np.array([r.centroid for r in fetched]))
 
 
-def _nearest(x: np.ndarray, vocabulary: Vocabulary, metric: str) -> np.ndarray:
+def nearest(x: np.ndarray, vocabulary: Vocabulary, metric: str) -> np.ndarray:
     """Row of the nearest centroid; the lowest cluster id wins ties."""
     if metric == "cosine":
         return np.argmax(x @ vocabulary.unit.T, axis=1)
@@ -59,7 +59,7 @@ def assign_cluster(patches: DataFrame, vocabulary: Vocabulary, metric: str = "co
         raise ValueError(f"unknown metric: {metric}")
 
     def kernel(x):
-        return [vocabulary.clusters[_nearest(x, vocabulary, metric)].astype(np.int32)]
+        return [vocabulary.clusters[nearest(x, vocabulary, metric)].astype(np.int32)]
 
     return map_vectors(patches, vec, kernel, "cluster INT")
 
@@ -71,7 +71,7 @@ def assign_residuals(
 
     def kernel(x):
         x = unit_rows(x) if normalize else x
-        best = _nearest(x, vocabulary, metric)
+        best = nearest(x, vocabulary, metric)
         return [vocabulary.clusters[best].astype(np.int32), x - vocabulary.centroids[best]]
 
     return map_vectors(patches, vec, kernel, "cluster INT, residual ARRAY<DOUBLE>")
@@ -115,7 +115,7 @@ def lloyd_step(patches: DataFrame, vocabulary: Vocabulary, metric: str = "cosine
 def quantisation_error(patches: DataFrame, vocabulary: Vocabulary, metric: str = "cosine", vec: str = "embedding") -> DataFrame:
     """Mean squared distance to the assigned centroid."""
     def kernel(x):
-        r = x - vocabulary.centroids[_nearest(x, vocabulary, metric)]
+        r = x - vocabulary.centroids[nearest(x, vocabulary, metric)]
         return [(r * r).sum(1)]
 
     return map_vectors(patches.select(vec), vec, kernel, "sq DOUBLE").agg(F.avg("sq").alias("mean_sq"))

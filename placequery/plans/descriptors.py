@@ -119,8 +119,7 @@ def _super(t):
 @query("segment_vlad_expanded", "image_id:l seg_id:l cluster:l dim:l value:d",
        vlad_sql(SEG_SUMS.format(incidence="super_patches"), "image_id, seg_id"))
 def _segment_vlad_expanded(t):
-    wide = graph.super_segment_patches(graph.expand_hops(edges(t), 3), t.segment_patches())
-    return long_form(aggregate.segment_vlad(t.patches(), wide, vocab(t)), "residual")
+    return long_form(aggregate.super_segment_vlad(t.patches(), graph.expand_hops(edges(t), 3), t.segment_patches(), vocab(t)), "residual")
 
 
 IMAGE_SUMS = """SELECT a.image_id, a.cluster, p.d, sum({value} - l.c) AS s

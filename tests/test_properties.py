@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from placequery.functions import blocks, ordering, skew, storage
 from placequery.operators import (
-    burst, graph, margins, masks, mining, pooling, reduce, regions, search, spatial, suppression, transport, vocabulary,
+    aggregate, burst, graph, margins, masks, mining, pooling, reduce, regions, search, spatial, suppression, transport, vocabulary,
 )
 from placequery.operators.vocabulary import Vocabulary
 from placequery.sources import results
@@ -426,3 +426,42 @@ def test_replayed_stream_batches_do_not_repeat_votes(spark, tmp_path):
     want = retrieve.retrieve_batch(queries, refs, (-10.0, 2.0), 5, 5, 2).select("q_image", "rank", "r_image")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert got.count() == 6
+
+
+@pytest.mark.parametrize("limits", [(8 << 20, 32 << 20), (8 * 8 * 5, 8 * 3 * 8 * 2)])
+def test_segment_vlad_of_many_blocks(spark, monkeypatch, limits):
+    """Blocks of five patches and pieces of two segments give what one product gives; repeated rows count once."""
+    monkeypatch.setattr(aggregate, "BLOCK_BYTES", limits[0])
+    monkeypatch.setattr(aggregate, "PIECE_BYTES", limits[1])
+    rng = np.random.default_rng(8)
+    x, c = rng.normal(size=(2, 60, 8)), rng.normal(size=(3, 8))
+    ids = np.sort(rng.choice(500, 60, replace=False))
+    patches = [(i, int(p), x[i, j].tolist()) for i in range(2) for j, p in enumerate(ids)]
+    edges = [(i, s, int(p)) for i in range(2) for s in range(11) for p in rng.choice(ids, 1 + 4 * s, replace=False)]
+    v = vocabulary.Vocabulary(np.array([4, 7, 9]), c)
+    frame = spark.createDataFrame(edges + edges[::3] + [(0, 99, 1000), (5, 1, 1)], "image_id long, seg_id int, patch_id long")
+    got = aggregate.segment_vlad(spark.createDataFrame(patches, "image_id long, patch_id long, embedding array<double>"), frame, v)
+    assert got.schema["seg_id"].dataType.simpleString() == "int"
+    where, unit = {int(p): j for j, p in enumerate(ids)}, c / np.linalg.norm(c, axis=1, keepdims=True)
+    expected = {}
+    for i, s, p in edges:
+        k = int((unit @ x[i, where[p]]).argmax())
+        expected.setdefault((i, s), {}).setdefault(int(v.clusters[k]), []).append(x[i, where[p]] - c[k])
+    found = {}
+    for r in got.collect():
+        found.setdefault((r.image_id, r.seg_id), {})[r.cluster] = np.array(r.residual)
+    assert found.keys() == expected.keys()
+    for key, parts in expected.items():
+        parts = {k: sum(r) / np.linalg.norm(sum(r)) for k, r in parts.items()}
+        assert found[key].keys() == parts.keys()
+        for k, r in parts.items():
+            assert np.allclose(found[key][k], r / np.sqrt(len(parts)), atol=1e-9)
+
+
+def test_segment_vlad_moves_blocks_not_vectors(spark):
+    v = vocabulary.Vocabulary(np.arange(2), np.eye(2, 4))
+    patches = spark.createDataFrame([(0, 0, [1.0] * 4)], "image_id long, patch_id long, embedding array<double>")
+    edges = spark.createDataFrame([(0, 0, 0)], "image_id long, seg_id long, patch_id long")
+    plan = aggregate.segment_vlad(patches, edges, v)._jdf.queryExecution().optimizedPlan().toString()
+    # Vectors are collected into blocks before they meet the ids, and no join is on a single patch.
+    assert "flat" in plan and "patch_id#" not in "".join(line for line in plan.splitlines() if "Join" in line)
