@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.ordering import dense_position
 from ..functions.vectors import let
@@ -46,32 +47,54 @@ def rle_area(rle: Column) -> Column:
     return F.aggregate(on, F.lit(0).cast("bigint"), lambda s, x: s + x)
 
 
+def rle_from_cuts(cuts: Column, total: Column) -> Column:
+    """Run lengths from the places where the mask switches, in any order.
+
+    A place named twice is the end of one run and the start of the next: the two cancel.
+    """
+
+    def lengths(c: Column) -> Column:
+        alone = F.filter(c, lambda p, i: ((i == 0) | (F.get(c, i - 1) != p)) & ((i == F.size(c) - 1) | (F.get(c, i + 1) != p)))
+        edges = F.concat(F.array(F.lit(0)), alone, F.array(total.cast("int")))
+        return let(edges, lambda e: F.transform(F.sequence(F.lit(1), F.size(e) - 1), lambda i: F.get(e, i) - F.get(e, i - 1)))
+
+    # A mask that ends on its last pixel has no trailing off run.
+    return let(let(F.array_sort(cuts), lengths), lambda r: F.when(
+        (F.size(r) > 1) & (F.element_at(r, -1) == 0), F.slice(r, 1, F.size(r) - 1)
+    ).otherwise(r))
+
+
+def _cuts(spans: Column) -> Column:
+    """Both ends of every (s, e) span that holds a pixel."""
+    held = F.filter(spans, lambda r: r["s"] < r["e"])
+    return F.flatten(F.transform(held, lambda r: F.array(r["s"].cast("int"), r["e"].cast("int"))))
+
+
+def _rle_from_switches(switches: DataFrame, frame: DataFrame, keys: list[str]) -> DataFrame:
+    """Masks from rows of ``_at``, places (x, y) where they switch; ``frame`` rows without any are empty masks."""
+    joined = switches.groupBy(*keys).agg(F.flatten(F.collect_list("_at")).alias("_at"))
+    place = F.transform("_at", lambda p: (p["x"] * F.col("h") + p["y"]).cast("int"))
+    full = frame.join(joined, keys, "left").withColumn("_at", F.coalesce(place, F.array().cast("array<int>")))
+    return full.select(*frame.columns, rle_from_cuts(F.col("_at"), F.col("h") * F.col("w")).alias("rle"))
+
+
+def _place(x: Column, y: Column) -> Column:
+    return F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+
+
 def rle_encode(pixels: DataFrame, frame: DataFrame) -> DataFrame:
     """Pixel table to run lengths.
 
     ``pixels`` is ``(image_id, seg_id, y, x)`` of the *on* pixels, ``frame`` gives h and w
-    of every mask, so empty masks survive. A mask's pixels are gathered once, in order.
+    of every mask, so empty masks survive. Pixels meet per column of their mask and are
+    combined map-side; a mask as a whole gathers only the ends of its runs.
     """
-    flat = (F.col("x") * F.col("h") + F.col("y")).cast("int")
-    on = (
-        pixels.join(frame, MASK).groupBy(*MASK).agg(F.array_sort(F.collect_set(flat)).alias("_on"))
-    )
-    full = frame.join(on, MASK, "left").withColumn("_on", F.coalesce("_on", F.array().cast("array<int>")))
+    held = pixels.groupBy(*MASK, "x").agg(F.array_sort(F.collect_set("y")).alias("_on"))
     # A run starts where the predecessor is absent and ends where the successor is.
     starts = F.filter("_on", lambda p, i: (i == 0) | (F.get(F.col("_on"), i - 1) != p - 1))
     ends = F.filter("_on", lambda p, i: (i == F.size("_on") - 1) | (F.get(F.col("_on"), i + 1) != p + 1))
-    cuts = F.flatten(F.zip_with(starts, ends, lambda s, e: F.array(s, e + 1)))
-    total = (F.col("h") * F.col("w")).cast("int")
-    edges = F.concat(F.array(F.lit(0)), cuts, F.array(total))
-    runs = F.transform(F.sequence(F.lit(1), F.size(F.col("_edges")) - 1), lambda i: F.get(F.col("_edges"), i) - F.get(F.col("_edges"), i - 1))
-    # A mask that ends on its last pixel has no trailing off run.
-    trimmed = F.when(
-        (F.size("_runs") > 1) & (F.element_at("_runs", -1) == 0), F.slice("_runs", 1, F.size("_runs") - 1)
-    ).otherwise(F.col("_runs"))
-    return (
-        full.withColumn("_edges", edges).withColumn("_runs", runs)
-        .select(*MASK, "h", "w", trimmed.alias("rle"))
-    )
+    at = F.concat(F.transform(starts, lambda y: _place(F.col("x"), y)), F.transform(ends, lambda y: _place(F.col("x"), y + 1)))
+    return _rle_from_switches(held.select(*MASK, at.alias("_at")), frame.select(*MASK, "h", "w"), MASK)
 
 
 def run_columns(rle: Column, h: Column) -> Column:
@@ -180,33 +203,41 @@ def segment_patch_incidence(masks: DataFrame, h: int, w: int, size: int = 14) ->
 
 
 def resize_mask_nearest(masks: DataFrame, height: int, width: int) -> DataFrame:
-    """Run lengths at another frame size; target pixel t reads floor(t * source / target)."""
-    def sources(start: Column, end: Column, size: Column, target: int) -> Column:
-        # Targets whose source lies in [start, end): from ceil(start * t / s) on.
-        return F.struct(
-            F.ceil(start * target / size).cast("int").alias("a"),
-            F.least(F.ceil(end * target / size), F.lit(target)).cast("int").alias("b"),
-        )
+    """Run lengths at another frame size; target pixel t reads floor(t * source / target).
 
-    runs = on_runs(masks).select(
-        *MASK,
-        sources(F.col("x"), F.col("x") + 1, F.col("w"), width).alias("_x"),
-        sources(F.col("y0"), F.col("y1"), F.col("h"), height).alias("_y"),
-    ).where("_x.a < _x.b AND _y.a < _y.b")
-    pixels = runs.select(
-        *MASK, F.explode(F.sequence(F.col("_x.a"), F.col("_x.b") - 1)).alias("x"), "_y"
-    ).select(*MASK, F.explode(F.sequence(F.col("_y.a"), F.col("_y.b") - 1)).alias("y"), "x")
-    frame = masks.select(*MASK, F.lit(height).alias("h"), F.lit(width).alias("w"))
-    return rle_encode(pixels, frame)
+    Run ends are scaled inside the row: nothing is expanded to pixels and nothing shuffled.
+    """
+    def scaled(at: Column, size: Column, target: int) -> Column:
+        # Targets whose source lies at ``at`` or beyond start at ceil(at * t / s).
+        return F.least(F.ceil(at * target / size), F.lit(target)).cast("int")
+
+    def target(r: Column) -> Column:
+        y0, y1 = scaled(r["y0"], F.col("h"), height), scaled(r["y1"], F.col("h"), height)
+        x0, x1 = scaled(r["x"], F.col("w"), width), scaled(r["x"] + 1, F.col("w"), width)
+        columns = F.when(x0 < x1, F.sequence(x0, F.greatest(x1 - 1, x0))).otherwise(F.array().cast("array<int>"))
+        return F.transform(columns, lambda x: F.struct((x * height + y0).alias("s"), (x * height + y1).alias("e")))
+
+    spans = F.flatten(F.transform(run_columns(F.col("rle"), F.col("h")), target))
+    rle = rle_from_cuts(_cuts(spans), F.lit(height * width))
+    return masks.select(*MASK, rle.alias("rle")).select(*MASK, F.lit(height).alias("h"), F.lit(width).alias("w"), "rle")
 
 
 def union_masks(masks: DataFrame, out_id: int = 0) -> DataFrame:
-    """Pixel-wise OR of all masks of an image."""
-    pixels = rle_decode(masks).select("image_id", F.lit(out_id).alias("seg_id"), "y", "x").distinct()
-    frame = masks.groupBy("image_id").agg(F.max("h").alias("h"), F.max("w").alias("w")).select(
-        "image_id", F.lit(out_id).alias("seg_id"), "h", "w"
-    )
-    return rle_encode(pixels, frame)
+    """Pixel-wise OR of all masks of an image: a sweep over the ends of their runs.
+
+    Ends are counted per place, map-side first, so however many masks share a pixel column
+    the sweep over it meets at most one row per pixel row.
+    """
+    runs = on_runs(masks).select("image_id", "x", F.explode(F.array(
+        F.struct(F.col("y0").alias("y"), F.lit(1).alias("step")), F.struct(F.col("y1").alias("y"), F.lit(-1).alias("step")),
+    )).alias("_e"))
+    ends = runs.groupBy("image_id", "x", F.col("_e.y").alias("y")).agg(F.sum("_e.step").alias("step")).where("step <> 0")
+    column = Window.partitionBy("image_id", "x").orderBy("y")
+    swept = ends.withColumn("_after", F.sum("step").over(column)).withColumn("_before", F.col("_after") - F.col("step"))
+    switches = swept.where((F.col("_after") > 0) != (F.col("_before") > 0))
+    frame = masks.groupBy("image_id").agg(F.max("h").alias("h"), F.max("w").alias("w"))
+    found = _rle_from_switches(switches.select("image_id", F.array(_place(F.col("x"), F.col("y"))).alias("_at")), frame, ["image_id"])
+    return found.select("image_id", F.lit(out_id).alias("seg_id"), "h", "w", "rle")
 
 
 def fallback_segments(images: DataFrame, masks: DataFrame) -> DataFrame:
@@ -257,12 +288,14 @@ def uncrop_points(points: DataFrame, x: str = "px", y: str = "py") -> DataFrame:
 
 
 def uncrop_masks(masks: DataFrame, height: int, width: int) -> DataFrame:
-    """Place crop-frame masks (with crop_x0, crop_y0) into the full frame."""
-    runs = on_runs(masks)
-    pixels = runs.select(
-        *MASK, F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)).alias("_y"), "x", "crop_x0", "crop_y0"
-    ).select(*MASK, (F.col("_y") + F.col("crop_y0")).cast("int").alias("y"), (F.col("x") + F.col("crop_x0")).cast("int").alias("x"))
-    return rle_encode(pixels, masks.select(*MASK, F.lit(height).alias("h"), F.lit(width).alias("w")))
+    """Place crop-frame masks (with crop_x0, crop_y0) into the full frame by shifting their runs."""
+    def shifted(r: Column) -> Column:
+        start = (r["x"] + F.col("crop_x0").cast("int")) * height + F.col("crop_y0").cast("int")
+        return F.struct((start + r["y0"]).alias("s"), (start + r["y1"]).alias("e"))
+
+    spans = F.transform(run_columns(F.col("rle"), F.col("h")), shifted)
+    rle = rle_from_cuts(_cuts(spans), F.lit(height * width))
+    return masks.select(*MASK, rle.alias("rle")).select(*MASK, F.lit(height).alias("h"), F.lit(width).alias("w"), "rle")
 
 
 def xyxy_to_xywh(masks: DataFrame) -> DataFrame:

@@ -465,3 +465,65 @@ def test_segment_vlad_moves_blocks_not_vectors(spark):
     plan = aggregate.segment_vlad(patches, edges, v)._jdf.queryExecution().optimizedPlan().toString()
     # Vectors are collected into blocks before they meet the ids, and no join is on a single patch.
     assert "flat" in plan and "patch_id#" not in "".join(line for line in plan.splitlines() if "Join" in line)
+
+
+def runs_of(grid):
+    """Column-major run lengths of a 0/1 grid, off run first."""
+    flat, out, state = grid.T.ravel(), [], 0
+    at = 0
+    while at < len(flat):
+        end = at
+        while end < len(flat) and flat[end] == state:
+            end += 1
+        out.append(end - at)
+        at, state = end, 1 - state
+    return out
+
+
+def random_grids(rng):
+    """Noise, full, empty, single pixels, whole columns that touch, and a pixel at the end."""
+    shapes = [(5, 7), (9, 4), (1, 6), (6, 1), (1, 1)]
+    grids = [(rng.random(s) < share).astype(int) for s in shapes for share in (0, 0.2, 0.5, 0.9, 1)]
+    bands = np.zeros((4, 6), int)
+    bands[:, 1:3], bands[2, 4], bands[3, 5] = 1, 1, 1
+    return [*grids, bands]
+
+
+def mask_frame(spark, grids, extra="0 as crop_x0, 0 as crop_y0"):
+    rows = [(k % 3, k, *g.shape, runs_of(g)) for k, g in enumerate(grids)]
+    return spark.createDataFrame(rows, "image_id long, seg_id long, h int, w int, rle array<int>").selectExpr("*", extra.split(", ")[0], extra.split(", ")[1])
+
+
+def test_masks_on_runs_equal_pixels(spark):
+    rng = np.random.default_rng(12)
+    grids = random_grids(rng)
+    frame = mask_frame(spark, grids, "cast(seg_id % 4 as long) as crop_x0, cast(seg_id % 3 as long) as crop_y0")
+    for height, width in ((5, 7), (12, 20), (3, 2), (1, 1), (10, 3)):
+        got = {r.seg_id: r.rle for r in masks.resize_mask_nearest(frame, height, width).collect()}
+        for k, g in enumerate(grids):
+            scaled = g[np.arange(height) * g.shape[0] // height][:, np.arange(width) * g.shape[1] // width]
+            assert got[k] == runs_of(scaled)
+    got = {r.seg_id: r.rle for r in masks.uncrop_masks(frame, 14, 15).collect()}
+    for k, g in enumerate(grids):
+        full = np.zeros((14, 15), int)
+        full[k % 3 : k % 3 + g.shape[0], k % 4 : k % 4 + g.shape[1]] = g
+        assert got[k] == runs_of(full)
+    pixels = [(k % 3, k, int(y), int(x)) for k, g in enumerate(grids) for y, x in np.argwhere(g)]
+    table = spark.createDataFrame(pixels + pixels[::5], "image_id long, seg_id long, y int, x int")
+    assert {r.seg_id: r.rle for r in masks.rle_encode(table, frame).collect()} == {k: runs_of(g) for k, g in enumerate(grids)}
+
+
+def test_union_of_masks_sweeps_ends(spark):
+    rng = np.random.default_rng(13)
+    grids = [(rng.random((6, 8)) < 0.25).astype(int) for _ in range(40)] + [np.zeros((6, 8), int)]
+    got = {r.image_id: r.rle for r in masks.union_masks(mask_frame(spark, grids)).collect()}
+    assert got == {i: runs_of(np.maximum.reduce(grids[i::3])) for i in range(3)}
+    empty = mask_frame(spark, [np.zeros((2, 3), int)])
+    assert [r.rle for r in masks.union_masks(empty).collect()] == [[6]]
+
+
+def test_masks_are_moved_inside_their_row(spark):
+    frame = mask_frame(spark, random_grids(np.random.default_rng(1)))
+    for out in (masks.uncrop_masks(frame, 30, 30), masks.resize_mask_nearest(frame, 9, 9)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Exchange" not in plan
