@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from placequery.functions import blocks, ordering, skew, storage
 from placequery.operators import (
-    aggregate, burst, graph, margins, masks, mining, pooling, reduce, regions, search, spatial, suppression, transport, vocabulary,
+    aggregate, burst, graph, margins, masks, mining, pooling, reduce, regions, search, spatial, suppression, transport, vocabulary, wide_pca,
 )
 from placequery.operators.vocabulary import Vocabulary
 from placequery.sources import results
@@ -344,11 +344,73 @@ def test_pca_axes_are_orthonormal_and_whiten(spark):
 def test_wide_data_takes_the_distributed_route(spark, monkeypatch):
     x = RNG.normal(size=(12, 30))
     df = vectors(spark, x, "i")
+    dual = reduce.fit_pca(df, 5)
+    monkeypatch.setattr(reduce, "MAX_GRAM_ROWS", 5)
     narrow = reduce.fit_pca(df, 5)
     monkeypatch.setattr(reduce, "MAX_COVARIANCE_DIM", 10)
     wide = reduce.fit_pca(df, 5)
-    assert wide.variance == pytest.approx(narrow.variance)
-    assert np.abs((wide.axes * narrow.axes).sum(1)) == pytest.approx(np.ones(5))
+    for other in (wide, dual):
+        assert other.variance == pytest.approx(narrow.variance)
+        assert other.mean == pytest.approx(narrow.mean)
+        assert other.axes == pytest.approx(narrow.axes, abs=1e-8)
+
+
+@pytest.mark.parametrize("slice_bytes", [8 << 20, 8 * 14 * 7])
+def test_gram_route_equals_covariance_route_under_rank_loss(spark, monkeypatch, slice_bytes):
+    """Rank 4 in 40 dimensions, with repeated rows, in one slice and in many."""
+    monkeypatch.setattr(wide_pca, "BLOCK_BYTES", slice_bytes)
+    x = np.vstack([RNG.normal(size=(10, 4)) @ RNG.normal(size=(4, 40))] * 2)[:14] + 3
+    df = vectors(spark, x, "i")
+    dual = reduce.fit_pca(df, 4)
+    table = {r.component: r for r in reduce.fit_pca_table(df, 4, eps=0.5).collect()}
+    assert np.array([table[k].axis for k in range(4)]) == pytest.approx(dual.axes)
+    assert [table[k].variance for k in range(4)] == pytest.approx(list(dual.variance + 0.5))
+    with pytest.raises(ValueError, match="vary along 4"):
+        reduce.fit_pca(df, 5)
+    with pytest.raises(ValueError, match="13 at most"):
+        reduce.fit_pca(df, 14)
+    with pytest.raises(ValueError, match="vary along 4"):
+        reduce.fit_pca_table(df, 5)
+    monkeypatch.setattr(reduce, "MAX_GRAM_ROWS", 5)
+    covariance = reduce.fit_pca(df, 4)
+    assert dual.variance == pytest.approx(covariance.variance)
+    assert dual.axes == pytest.approx(covariance.axes, abs=1e-8)
+    with pytest.raises(ValueError, match="vary along 4"):
+        reduce.fit_pca(df, 5)
+    values, axes = np.linalg.eigh(np.cov(x.T))
+    assert dual.variance == pytest.approx(values[::-1][:4])
+    assert np.abs(dual.axes @ axes[:, ::-1][:, :4]) == pytest.approx(np.eye(4), abs=1e-8)
+
+
+@pytest.mark.parametrize("side", [None, 7])
+def test_stored_model_beyond_the_limit_is_applied_in_blocks(spark, monkeypatch, side):
+    """Shaped like 8,192 axes of 49,152 dimensions, in small."""
+    monkeypatch.setattr(wide_pca, "BLOCK_BYTES", 8 * 7 * 5 if side else 8 << 20)
+    x, axes, mean = RNG.normal(size=(23, 48)), RNG.normal(size=(16, 48)), RNG.normal(size=48)
+    variance = np.r_[RNG.random(15) + 0.1, 0.0]
+    rows = [(i % 5, -i, "kept", v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "image_id int, seg_id long, note string, vec array<double>")
+    table = reduce.model_table(spark, reduce.Model(mean, axes, variance))
+    want = (x - mean) @ axes.T / np.sqrt(np.where(variance > 0, variance, 1))
+    for limit in (1 << 30, 100):
+        got = {-r.seg_id: np.array(r.reduced) for r in wide_pca.apply_table(df, table, ["image_id", "seg_id"], max_bytes=limit).collect()}
+        assert np.array([got[i] for i in range(23)]) == pytest.approx(want)
+    direct = wide_pca.project_blocks(df, table, ["image_id", "seg_id"], "vec", "reduced", side)
+    assert set(direct.columns) == {"image_id", "seg_id", "note", "vec", "reduced"} and direct.count() == 23
+    unit = wide_pca.apply_table(df, table, ["image_id", "seg_id"], normalize=True, max_bytes=100)
+    assert [np.linalg.norm(r.reduced) for r in unit.collect()] == pytest.approx([1.0] * 23)
+    with pytest.raises(ValueError, match="no mean row"):
+        wide_pca.apply_table(df, table.where("component >= 0"), ["image_id", "seg_id"], max_bytes=100)
+
+
+def test_whitening_tables_of_wide_rows(spark):
+    x = RNG.normal(size=(20, 50))
+    df = vectors(spark, x, "i")
+    tables = reduce.whiten_pca_tables(df, [3, 19])
+    for n, table in tables.items():
+        got = np.array([r.white for r in wide_pca.apply_table(df, table, ["i"], out="white", max_bytes=100).orderBy("i").collect()])
+        values, axes = np.linalg.eigh(np.cov(x.T))
+        assert np.abs(got) == pytest.approx(np.abs((x - x.mean(0)) @ axes[:, ::-1][:, :n] / np.sqrt(values[::-1][:n])), abs=1e-6)
 
 
 def test_whitening_sizes_share_one_fit(spark):
