@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import cut_lineage
 from ..functions.vectors import long_form
-from ..operators import aggregate, margins, metrics, mining, reduce, search, spatial, vote
+from ..operators import aggregate, margins, metrics, mining, reduce, search, spatial, vote, wide_pca
 from .descriptors import UNIT_SUMS, vlad_sql, vocab
 from .evaluation import IMAGE_MEANS, image_sides, poses, query_images
 from .registry import query
@@ -175,15 +175,17 @@ def _accuracy(t):
 
 # -- projection ------------------------------------------------------------
 def axis_model(t):
-    """Fixed model: the first eight dimensions with their own mean and variance."""
+    """Fixed model: 64 oblique axes of all 64 dimensions, around the mean of the data."""
     import numpy as np
-    row = reduce.column_moments(t.patches(), "embedding").first()
-    mean, variance = np.array(row["mean"]), np.array(row["variance"])
-    return reduce.Model(mean, np.eye(len(mean))[:8], variance[:8])
+    mean = np.array(reduce.column_moments(t.patches(), "embedding").first()["mean"])
+    i, j = np.arange(64)[:, None], np.arange(64)[None, :]
+    return reduce.Model(mean, ((7 * i + 13 * j + 3 * i * j) % 17 - 8) / 10 + 3 * (i == j), 1 + np.arange(64) / 64)
 
 
-Z = """SELECT p.vec_id, p.d - 1 AS dim, (p.v - m.mu) / sqrt(m.var) AS z FROM patch_long p
-    JOIN (SELECT d, avg(v) AS mu, var_samp(v) AS var FROM patch_long GROUP BY d) m USING (d) WHERE p.d <= 8"""
+Z = """SELECT p.vec_id, a.i AS dim, sum((p.v - m.mu) * (((7 * a.i + 13 * (p.d - 1) + 3 * a.i * (p.d - 1)) % 17 - 8) / 10.0
+      + CASE WHEN a.i = p.d - 1 THEN 3 ELSE 0 END)) / sqrt(1 + a.i / 64.0) AS z
+    FROM patch_long p JOIN (SELECT d, avg(v) AS mu FROM patch_long GROUP BY d) m USING (d), (SELECT unnest(range(64)) AS i) a
+    GROUP BY p.vec_id, a.i"""
 
 
 @query("apply_pca", "vec_id:l dim:l value:d", f"SELECT vec_id, dim, z AS value FROM ({Z}) z")
@@ -192,16 +194,63 @@ def _apply(t):
     return long_form(reduce.apply_pca(t.patches().select("vec_id", "embedding"), model, "embedding").drop("embedding"), "reduced")
 
 
+@query("apply_pca_blocks", "vec_id:l dim:l value:d", f"SELECT vec_id, dim, z AS value FROM ({Z}) z")
+def _apply_blocks(t):
+    """The route of models too large to fetch: slices of vectors with tiles of 24 axes by 24 dimensions."""
+    table = reduce.model_table(t.spark, axis_model(t))
+    found = wide_pca.project_blocks(t.patches().select("vec_id", "embedding"), table, ["vec_id"], "embedding", "reduced", side=24)
+    return long_form(found.select("vec_id", "reduced"), "reduced")
+
+
 @query("project_patches", "vec_id:l dim:l value:d", f"""
     SELECT vec_id, dim, z / sqrt(sum(z * z) OVER (PARTITION BY vec_id)) AS value FROM ({Z}) z""")
 def _project(t):
     return long_form(reduce.project_patches(t.patches().select("vec_id", "embedding"), axis_model(t)), "embedding")
 
 
-@query("fit_pca", "component:l variance:d", None)
+def products(z, keys):
+    """Inner products and covariances of the columns of long-form (keys, dim, value)."""
+    a, b = z.select(*keys, F.col("dim").alias("i"), F.col("value").alias("a")), z.select(*keys, F.col("dim").alias("j"), F.col("value").alias("b"))
+    return a.join(b, keys).groupBy("i", "j").agg(F.covar_samp("a", "b").alias("covariance"), F.sum(F.col("a") * F.col("b")).alias("product"))
+
+
+@query("fit_pca", "i:l j:l product:d residual:d", """
+    SELECT a.i, b.j, CASE WHEN a.i = b.j THEN 1.0 ELSE 0.0 END AS product, 0.0 AS residual
+    FROM (SELECT unnest(range(16)) AS i) a, (SELECT unnest(range(16)) AS j) b""")
 def _fit_pca(t):
-    model = reduce.fit_pca(t.patches(), 16, vec="embedding")
-    return reduce.model_table(t.spark, model).where("component >= 0").select("component", "variance")
+    """Axes are orthonormal, and the data along them has the stored variances and no covariance."""
+    p = cut_lineage(t.patches().select("vec_id", "embedding"))
+    table = cut_lineage(reduce.model_table(t.spark, reduce.fit_pca(p, 16, vec="embedding")))
+    axes = table.where("component >= 0").select(F.lit(0).alias("k"), "component", "variance", "axis")
+    straight = products(long_form(axes.select("component", "axis"), "axis").select(F.col("dim").alias("at"), F.col("component").alias("dim"), "value"), ["at"])
+    turned = table.withColumn("variance", F.lit(1.0))
+    along = products(long_form(wide_pca.apply_table(p, turned, ["vec_id"], "embedding").select("vec_id", "reduced"), "reduced"), ["vec_id"])
+    own = axes.select(F.col("component").alias("i"), F.col("component").alias("j"), "variance")
+    both = straight.select("i", "j", "product").join(along.select("i", "j", "covariance"), ["i", "j"]).join(F.broadcast(own), ["i", "j"], "left")  # 16 rows
+    return both.withColumn("residual", F.col("covariance") - F.coalesce("variance", F.lit(0.0)))
+
+
+def wide_rows(t):
+    """Eight descriptors side by side: 512 dimensions, an eighth of the rows; missing ones are zero."""
+    one = F.struct((F.col("vec_id") % 8).alias("k"), "embedding")
+    held = t.patches().groupBy(F.expr("vec_id div 8").alias("row_id")).agg(F.map_from_entries(F.collect_list(one)).alias("m"))
+    part = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint")), lambda k: F.coalesce(F.element_at("m", k), F.array_repeat(F.lit(0.0), 64)))
+    return held.select("row_id", F.flatten(part).alias("vec"))
+
+
+@query("pca_wide_rows", "a:l b:l product:d", """
+    WITH long AS (SELECT vec_id // 8 AS r, (vec_id % 8) * 64 + d AS k, v FROM patch_long),
+      n AS (SELECT count(DISTINCT r) AS n FROM long), mu AS (SELECT k, sum(v) / any_value(n) AS mu FROM long, n GROUP BY k),
+      full_rows AS (SELECT r, k, coalesce(v, 0) - mu AS c FROM (SELECT DISTINCT r FROM long) CROSS JOIN mu LEFT JOIN long USING (r, k))
+    SELECT x.r AS a, y.r AS b, sum(x.c * y.c) AS product FROM full_rows x JOIN full_rows y ON x.k = y.k AND x.r <= y.r GROUP BY ALL""")
+def _wide_rows(t):
+    """With fewer rows than dimensions: all axes that exist keep every inner product of the centred rows."""
+    rows = cut_lineage(wide_rows(t))
+    model = cut_lineage(reduce.fit_pca_table(rows, min(rows.count() - 1, 512), whiten=False))
+    z = wide_pca.apply_table(rows, model, ["row_id"]).select("row_id", "reduced")
+    z = long_form(z, "reduced")
+    a, b = (z.select("dim", F.col("row_id").alias(c), F.col("value").alias(f"v{c}")) for c in "ab")
+    return a.join(b, "dim").where("a <= b").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("product"))
 
 
 @query("pca_total_variance", "components:l total:d", """

@@ -77,9 +77,16 @@ def _lloyd(t):
     return long_form(vocabulary.lloyd_step(t.patches(), vocab(t)), "centroid")
 
 
-@query("fit_vocabulary", "cluster:l size:l")
+@query("fit_vocabulary", "cluster:l dim:l gap:d", """
+    SELECT c.cluster, d.dim, 0.0 AS gap FROM (SELECT unnest(range(8)) AS cluster) c, (SELECT unnest(range(64)) AS dim) d""")
 def _fit(t):
-    return vocabulary.fit_vocabulary(t.patches(), k=8, iterations=10).select("cluster", F.size("centroid").alias("size"))
+    """After convergence a centroid is the mean of the descriptors that are nearest to it."""
+    from ..functions.storage import cut_lineage
+    p = cut_lineage(t.patches().select("vec_id", l2_normalize(F.col("embedding")).alias("embedding")))
+    table = cut_lineage(vocabulary.fit_vocabulary(p, k=8, iterations=200))
+    means = long_form(vocabulary.lloyd_step(p, vocabulary.load_vocabulary(table)).select("cluster", "centroid"), "centroid")
+    fitted = long_form(table, "centroid").withColumnRenamed("value", "was")
+    return means.join(fitted, ["cluster", "dim"]).withColumn("gap", F.col("value") - F.col("was"))
 
 
 SEG_SUMS = """SELECT sp.image_id, sp.seg_id, a.cluster, p.d, sum(p.v - l.c) AS s
@@ -407,6 +414,6 @@ def _bilinear(t):
       SELECT image_id, patch_id, avg(v) AS a FROM patch_long WHERE d - 1 IN (0, 2, 4, 5) GROUP BY ALL) x
     WINDOW w AS (PARTITION BY image_id)""")
 def _saliency(t):
-    # The first entries of a descriptor stand in for attention heads.
-    heads = long_form(t.patches().select("image_id", "patch_id", F.slice("embedding", 1, 6).alias("v")), "v", "head", "value")
+    # The entries of a descriptor stand in for attention heads; the default ones are averaged.
+    heads = long_form(t.patches().select("image_id", "patch_id", F.col("embedding").alias("v")), "v", "head", "value")
     return pooling.attention_saliency(heads)

@@ -96,13 +96,13 @@ def _minmax_global(t):
     return vote.normalised(cut_lineage(matches(t)))
 
 
-@query("minmax_per_image", "image_id:l patch_id:l norm:d", """
-    SELECT image_id, patch_id, (e[1] - min(e[1]) OVER w) / nullif(max(e[1]) OVER w - min(e[1]) OVER w, 0) AS norm
-    FROM patches WINDOW w AS (PARTITION BY image_id)""")
+@query("minmax_per_image", "image_id:l patch_id:l dim:l norm:d", """
+    SELECT image_id, patch_id, d - 1 AS dim, (v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0) AS norm
+    FROM patch_long WINDOW w AS (PARTITION BY image_id, d)""")
 def _minmax_grouped(t):
-    from ..functions.vectors import minmax_grouped
-    p = t.patches().select("image_id", "patch_id", F.col("embedding")[0].alias("v"))
-    return minmax_grouped(p, "v", "norm", ["image_id"])
+    from ..functions.vectors import long_form, minmax_grouped
+    p = long_form(t.patches().select("image_id", "patch_id", "embedding"), "embedding")
+    return minmax_grouped(p, "value", "norm", ["image_id", "dim"])
 
 
 VOTE_COLS = "q_image:l rank:l r_image:l score:d"
