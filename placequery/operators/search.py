@@ -3,8 +3,9 @@
 The work of every search is |query| x |reference| distances; what is controlled here is
 what moves. No distance leaves a task unless it is among the k best of its query in the
 blocks that task has seen, and the query side is broadcast only while its measured size
-is small. Beyond that both sides are cut into stripes and each (query stripe, reference
-stripe) tile is one join key, which spreads evenly whatever the ids look like.
+is small. Beyond that both sides are cut into stripes bounded in bytes, and each (query
+stripe, reference stripe) tile is a partition of its own: its task holds the query stripe
+and streams the reference stripe past it.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -26,6 +27,9 @@ BROADCAST_BYTES = 64 << 20
 STATE_BYTES = 128 << 20
 # Temporaries of the row-by-row distances.
 EXACT_BYTES = 4 << 20
+# A query stripe is held by a task, a reference stripe streams through one.
+QUERY_STRIPE_BYTES = 64 << 20
+REF_STRIPE_BYTES = 512 << 20
 
 
 def _score(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
@@ -73,11 +77,33 @@ def _cut(rows, ids, values, k):
     return rows[keep], [i[keep] for i in ids], values[keep]
 
 
-def _tiles(n_q: int, n_r: int, slots: int) -> tuple[int, int]:
-    """Stripe counts (query, reference) that minimise repeated rows for ~4 tiles a slot."""
+def _tiles(n_q: int, n_r: int, width: int, slots: int) -> tuple[int, int]:
+    """Stripe counts (query, reference): bounded stripes, and about 4 tiles a slot with few repeated rows."""
     target = 4 * max(1, slots)
     a = min(target, max(1, round(math.sqrt(target * n_q / max(1, n_r)))))
-    return a, max(1, math.ceil(target / a))
+    a = max(a, math.ceil(n_q * width * 8 / QUERY_STRIPE_BYTES))
+    return a, max(1, math.ceil(target / a), math.ceil(n_r * width * 8 / REF_STRIPE_BYTES))
+
+
+def _stripes(df: DataFrame, ids: list[str], count: int) -> DataFrame:
+    """Blocks of ``df``, stripe by stripe; a stripe is a partition and depends on the row alone, so a rerun task cannot move a row."""
+    stripe = F.pmod(F.xxhash64(*ids), F.lit(count)).cast("int")
+    return pack_rows(df.withColumn("_stripe", stripe).repartitionById(count, "_stripe"), ids, "_v", "_stripe")
+
+
+def _tile_rows(q: DataFrame, r: DataFrame, q_ids: list[str], r_ids: list[str], a: int, b: int) -> DataFrame:
+    """One partition per tile with its query blocks first, then its reference blocks.
+
+    Rows are numbered by tile, not hashed, so that no two tiles share a partition.
+    """
+    def copies(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+
+    q_side = _stripes(q, q_ids, a).withColumn("_other", copies(b)).withColumn("_tile", (F.col("_stripe") * b + F.col("_other")).cast("int"))
+    r_side = _stripes(r, r_ids, b).withColumn("_other", copies(a)).withColumn("_tile", (F.col("_other") * b + F.col("_stripe")).cast("int"))
+    r_side = r_side.withColumnRenamed("flat", "r_flat")
+    both = q_side.withColumn("_side", F.lit(0)).unionByName(r_side.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    return both.drop("_stripe", "_other").repartitionById(a * b, "_tile").sortWithinPartitions("_side")
 
 
 def knn(
@@ -114,23 +140,11 @@ def knn(
         q_blocks = pack_rows(q.withColumn("_tile", F.lit(0)), q_ids, "_v", "_tile")
         r_blocks = pack_rows(r.withColumn("_tile", F.lit(0)), r_ids, "_v", "_tile").withColumnRenamed("flat", "r_flat")
         pairs = r_blocks.join(F.broadcast(q_blocks), "_tile")
+        tiled = False
     else:
-        a, b = _tiles(n_q, refs.count(), queries.sparkSession.sparkContext.defaultParallelism)
-
-        def stripes(df, ids, count):
-            # The stripe depends on the row alone, so a rerun task cannot move a row.
-            tagged = df.withColumn("_stripe", F.pmod(F.xxhash64(*ids), F.lit(count)))
-            return pack_rows(tagged.repartition(count, "_stripe").sortWithinPartitions("_stripe"), ids, "_v", "_stripe")
-
-        def copies(count):
-            return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
-
-        q_blocks = stripes(q, q_ids, a).withColumn("_col", copies(b)).withColumnRenamed("_stripe", "_row")
-        r_blocks = (
-            stripes(r, r_ids, b).withColumn("_row", copies(a))
-            .withColumnRenamed("_stripe", "_col").withColumnRenamed("flat", "r_flat")
-        )
-        pairs = q_blocks.join(r_blocks, ["_row", "_col"])
+        a, b = _tiles(n_q, refs.count(), width or 0, queries.sparkSession.sparkContext.defaultParallelism)
+        pairs = _tile_rows(q, r, q_ids, r_ids, a, b)
+        tiled = True
 
     columns = [f"{i}_ids" for i in q_ids] + ["flat"] + [f"{i}_ids" for i in r_ids] + ["r_flat"]
     out = T.StructType(
@@ -138,6 +152,22 @@ def knn(
     )
     nq = len(q_ids)
 
+    def block(batch: pa.RecordBatch, i: int, first: int, ids: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        held = [np.asarray(batch.column(first + j)[i].values) for j in range(len(ids))]
+        return held, scalar_matrix(batch.column(first + len(ids))[i], len(held[0]))
+
+    def met(batches: Iterator[pa.RecordBatch]):
+        """Pairs of a query and a reference block: those of a row, or those of a tile."""
+        waiting = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if tiled and batch.column(nq)[i].is_valid:
+                    waiting.append(block(batch, i, 0, q_ids))
+                    continue
+                ref = block(batch, i, nq + 1, r_ids)
+                for query in waiting if tiled else [block(batch, i, 0, q_ids)]:
+                    yield *query, *ref
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[bytes, tuple] = {}
         held = 0
@@ -147,26 +177,21 @@ def knn(
                 data = [key[rows] for key in keys] + ids + [values]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in data], names=out.names)
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys = [np.asarray(batch.column(j)[i].values) for j in range(nq)]
-                block = b"".join(key.tobytes() for key in keys)
-                q = scalar_matrix(batch.column(nq)[i], len(keys[0]))
-                ids = [np.asarray(batch.column(nq + 1 + j)[i].values) for j in range(len(r_ids))]
-                r = scalar_matrix(batch.column(nq + 1 + len(r_ids))[i], len(ids[0]))
-                rows, found, values = _block_best(q, r, ids, k, kernel_metric)
-                if block in best:
-                    _, (rows0, found0, values0) = best[block]
-                    held -= values0.nbytes * (2 + len(found0))
-                    rows, values = np.r_[rows0, rows], np.r_[values0, values]
-                    found = [np.r_[x, y] for x, y in zip(found0, found)]
-                    rows, found, values = _cut(rows, found, values, k)
-                best[block] = (keys, (rows, found, values))
-                held += values.nbytes * (2 + len(found))
-                if held > STATE_BYTES:
-                    # Partial results are merged below, so flushing early loses nothing.
-                    yield from emit()
-                    best, held = {}, 0
+        for keys, q, ids, r in met(batches):
+            name = b"".join(key.tobytes() for key in keys)
+            rows, found, values = _block_best(q, r, ids, k, kernel_metric)
+            if name in best:
+                _, (rows0, found0, values0) = best[name]
+                held -= values0.nbytes * (2 + len(found0))
+                rows, values = np.r_[rows0, rows], np.r_[values0, values]
+                found = [np.r_[x, y] for x, y in zip(found0, found)]
+                rows, found, values = _cut(rows, found, values, k)
+            best[name] = (keys, (rows, found, values))
+            held += values.nbytes * (2 + len(found))
+            if held > STATE_BYTES:
+                # Partial results are merged below, so flushing early loses nothing.
+                yield from emit()
+                best, held = {}, 0
         yield from emit()
 
     found = pairs.select(*columns).mapInArrow(search, out)

@@ -37,6 +37,28 @@ def test_knn_equals_brute_force(spark, monkeypatch, mode):
     assert {(x.qi, x.ri, x.rank) for x in got.collect()} == brute_knn(q, r, 12)
 
 
+@pytest.mark.parametrize(("n_q", "n_r", "width", "slots"), [(10**9, 10**10, 1024, 1000), (10**6, 10**9, 49152, 8), (10, 10**9, 64, 100), (5, 3, 8, 1), (0, 0, 0, 4)])
+def test_stripes_are_bounded_in_bytes(n_q, n_r, width, slots):
+    a, b = search._tiles(n_q, n_r, width, slots)
+    assert n_q * width * 8 <= a * search.QUERY_STRIPE_BYTES and n_r * width * 8 <= b * search.REF_STRIPE_BYTES
+    assert a * b >= 4 * slots
+
+
+def test_every_tile_is_a_partition(spark, monkeypatch):
+    """No two tiles share a task, and every query block meets every reference block in one."""
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 8 * 4 * 3)
+    q, r = (vectors(spark, RNG.normal(size=(n, 4)), name).withColumnRenamed("vec", "_v") for n, name in ((40, "qi"), (90, "ri")))
+    tiles = search._tile_rows(q, r, ["qi"], ["ri"], 3, 5)
+    rows = tiles.select(F.spark_partition_id().alias("part"), "_tile", "_side", "qi_ids", "ri_ids", F.monotonically_increasing_id().alias("at")).orderBy("at").collect()
+    assert {(x.part, x._tile) for x in rows} == {(t, t) for t in range(15)}
+    pairs = set()
+    for t in range(15):
+        mine = [x for x in rows if x._tile == t]
+        assert [x._side for x in mine] == sorted(x._side for x in mine)
+        pairs |= {(i, j) for x in mine if x._side == 0 for i in x.qi_ids for y in mine if y._side == 1 for j in y.ri_ids}
+    assert pairs == {(i, j) for i in range(40) for j in range(90)}
+
+
 def test_knn_with_more_neighbours_than_references(spark):
     got = search.knn_l2(vectors(spark, RNG.normal(size=(3, 4)), "qi"), vectors(spark, RNG.normal(size=(5, 4)), "ri"), 9, q_ids=["qi"], r_ids=["ri"])
     assert got.count() == 15
