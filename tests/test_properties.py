@@ -128,8 +128,31 @@ def greedy(boxes, threshold):
     return {boxes[i][1] for i in kept}
 
 
+def chain(image, n):
+    """Boxes in a row; each overlaps the next by 3/7 and is better than it."""
+    return [(image, i, 4.0 * i, 0.0, 4.0 * i + 10, 10.0, float(n - i)) for i in range(n)]
+
+
+def test_suppression_of_a_long_chain(spark, monkeypatch):
+    """A thousand boxes in one pass; where an image is too large for it, a round per link."""
+    schema = "image_id BIGINT, seg_id BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, predicted_iou DOUBLE"
+    rows = chain(1, 1000) + chain(2, 7)
+    kept = suppression.nms_boxes(spark.createDataFrame(rows, schema), 0.3).collect()
+    assert sorted((r.image_id, r.seg_id) for r in kept) == [(1, i) for i in range(0, 1000, 2)] + [(2, i) for i in range(0, 7, 2)]
+    monkeypatch.setattr(suppression, "STREAM_PAIRS", 8)
+    calls = []
+    monkeypatch.setattr(suppression, "cut_lineage", lambda df: calls.append(1) or storage.cut_lineage(df))
+    rows = chain(1, 14) + chain(2, 7)
+    kept = suppression.nms_boxes(spark.createDataFrame(rows, schema), 0.3).collect()
+    assert sorted((r.image_id, r.seg_id) for r in kept) == [(1, i) for i in range(0, 14, 2)] + [(2, i) for i in range(0, 7, 2)]
+    # Three tables before, one per round after: seven rounds decide, the last finds nothing left.
+    assert len(calls) == 3 + 8
+
+
+@pytest.mark.parametrize("pairs", [1 << 20, 0])
 @pytest.mark.parametrize("threshold", [0.2, 0.7])
-def test_suppression_equals_greedy(spark, threshold):
+def test_suppression_equals_greedy(spark, monkeypatch, threshold, pairs):
+    monkeypatch.setattr(suppression, "STREAM_PAIRS", pairs)
     xy = RNG.integers(0, 200, (150, 2)).astype(float)
     wh = RNG.integers(0, 90, (150, 2)).astype(float)
     rows = [(0, i, *p, *(p + s), float(v)) for i, (p, s, v) in enumerate(zip(xy, wh, RNG.integers(0, 5, 150)))]
