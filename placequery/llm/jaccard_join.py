@@ -296,28 +296,32 @@ def classes(docs: DataFrame, percent: int = 80, width: int = 5, text: str = "tex
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of least doc_id of every group of linked texts, with all their columns.
+    """One row of every group of linked texts, with all its columns: that of least doc_id, null ids last.
 
-    Rows without shingles stay; rows of one doc_id stay or go together, repeated ones included.
-    Rows with a null doc_id are judged one by one: they go if a text of their group has an id, and
-    of a group without any id one row stays.
+    Each row is judged by its own text: where rows share an id, a text without links stays whatever
+    the others do. Of rows equal in id and shingles, the one of least text stays. Rows without
+    shingles all stay; an empty table has no row; columns of any name come through.
     """
     nodes, labels = links(docs, percent, width, text, key)
-    classed = stored(_classed(nodes, labels))
-    gone = nodes.where((F.col("n") > 0) & F.col("doc").isNotNull()).join(classed, "node").where(F.col("doc") != F.col("component_id"))
-    gone = stored(gone.select(F.col("doc").alias("_gone")).distinct())
-    id_ = F.col(key).cast("long")
-    marked = with_maybe(docs.where(id_.isNotNull()), id_, gone)
-    sure = marked.where(~F.col("_maybe")).drop("_maybe")
-    named = sure.unionByName(marked.where("_maybe").drop("_maybe").join(gone, id_ == F.col("_gone"), "left_anti"))
+    rows = nodes.where(F.col("n") > 0).groupBy("doc", "node").agg(F.count(F.lit(1)).alias("rows"))
+    members = rows.join(stored(_classed(nodes, labels)).select("node", "component"), "node")
+    first = F.min(F.struct(F.col("doc").isNull(), "doc", "node")).alias("first")
+    groups = members.groupBy("component").agg(F.sum("rows").alias("rows"), first).where(F.col("rows") > 1).select("component", "first")
+    stays = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("node") == F.col("first.node"))
+    judged = stored(members.join(groups, "component").select(F.col("doc").alias("_doc"), F.col("node").alias("_found"), stays.alias("_stays")))
 
     @F.arrow_udf(LongType())
     def node_of(texts: pa.Array) -> pa.Array:
         sets = shingle_sets(texts.to_pylist(), width, word_memo())
         return pa.array([node if len(found) else None for node, found in zip(_node_ids(sets).tolist(), sets, strict=True)], pa.int64())
 
-    nameless = docs.where(id_.isNull()).withColumn("_node", node_of.asNondeterministic()(whole(text)))
-    empty = nameless.where(F.col("_node").isNull()).drop("_node")
-    least = classed.where(F.col("component_id").isNull()).groupBy("component").agg(F.min("node").alias("_node")).select("_node")
-    one = nameless.join(least, "_node", "left_semi").groupBy("_node").agg(F.min_by(F.struct(*docs.columns), F.col(text)).alias("_row"))
-    return named.unionByName(empty).unionByName(one.select("_row.*"))
+    # The row travels as one value, so that its columns meet none of these names.
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).cast("long").alias("_id"), whole(text).alias("_text"))
+    marked = with_maybe(packed, F.col("_id"), judged.select("_doc").where(F.col("_doc").isNotNull()).distinct())
+    doubtful = F.col("_maybe") | F.col("_id").isNull()
+    unjudged = marked.where(~doubtful).select("_row")
+    named = marked.where(doubtful).drop("_maybe").withColumn("_node", node_of.asNondeterministic()(F.col("_text")))
+    told = named.join(judged, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_node") == F.col("_found")), "left")
+    alone = told.where(F.col("_stays").isNull()).select("_row")
+    one = told.where("_stays").groupBy("_id", "_node").agg(F.min_by("_row", F.struct("_text")).alias("_row")).select("_row")
+    return unjudged.unionByName(alone).unionByName(one).select("_row.*")
