@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordering import dense_position
+
 BLOCK_BYTES = 8 << 20
 BLOCK_ROWS = 2048
 
@@ -72,17 +74,30 @@ def pack_rows(df: DataFrame, ids: list[str], vec: str, tag: str | None = None) -
     return typed.select(*cols).mapInArrow(pack, out)
 
 
+def scattered(df: DataFrame, keys: list[str], row_id: str, rows: int) -> bool:
+    """Whether cutting by ``row_id div rows`` would make far more blocks than the rows of some group need."""
+    at = F.floor(F.col(row_id) / F.lit(rows))
+    cut = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.approx_count_distinct(at).alias("_cuts"))
+    return not cut.where(F.col("_cuts") > 2 * F.ceil(F.col("_n") / F.lit(rows)) + 1).limit(1).isEmpty()
+
+
 def group_blocks(
-    df: DataFrame, keys: list[str], row_id: str, vec: str, extra: list[str] | None = None, rows: int | None = None
+    df: DataFrame, keys: list[str], row_id: str, vec: str, extra: list[str] | None = None, rows: int | None = None, any_ids: bool = False
 ) -> DataFrame:
     """Blocks per group, split by ``row_id div rows`` so that no block outgrows ``rows``.
 
     ``row_id`` must be unique inside a group. ``extra`` numeric columns come along as
-    ``<name>_values`` arrays in the same order.
+    ``<name>_values`` arrays in the same order. With ``any_ids`` the ids are looked at first;
+    where they lie far apart, rows are numbered inside their group (ids only, one sort) and
+    cut by that number, so that blocks stay full.
     """
     extra, rows = extra or [], rows or BLOCK_ROWS
+    at = F.col(row_id)
+    if any_ids and scattered(df, keys, row_id, rows):
+        numbered = dense_position(df.select(*keys, row_id), [F.col(row_id)], "_at", keys)
+        df, at = df.join(numbered, [*keys, row_id]), F.col("_at")
     item = F.struct(F.col(row_id).cast("long").alias("id"), F.col(vec).alias("v"), *[F.col(c).cast("double").alias(c) for c in extra])
-    packed = df.groupBy(*keys, F.floor(F.col(row_id) / F.lit(rows)).cast("long").alias("chunk")).agg(
+    packed = df.groupBy(*keys, F.floor(at / F.lit(rows)).cast("long").alias("chunk")).agg(
         F.array_sort(F.collect_list(item)).alias("_rows")
     )
     return packed.select(

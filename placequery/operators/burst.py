@@ -21,7 +21,7 @@ PATCH = ["image_id", "patch_id"]
 def _pair_sums(patches: DataFrame, term, extra: list[str] | None = None) -> DataFrame:
     """``(image_id, patch_id, s)``: sum over all patches j of ``term(-2 + 2 x_i.x_j)``."""
     extra = extra or []
-    blocks = group_blocks(patches, ["image_id"], "patch_id", "embedding", extra)
+    blocks = group_blocks(patches, ["image_id"], "patch_id", "embedding", extra, any_ids=True)
     pairs = pair_blocks(blocks, blocks.select("image_id", "chunk", "ids", "flat"), ["image_id"])
 
     def kernel(row):

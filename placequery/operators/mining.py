@@ -24,7 +24,7 @@ def _pairs(samples: DataFrame, keep, bounds: list[str] | None = None) -> DataFra
     """
     bounds = bounds or []
     unit = samples.withColumn("vec", l2_normalize(doubles("vec"))).withColumn("label", F.col("label").cast("double"))
-    blocks = group_blocks(unit, KEYS, "id", "vec", ["label", *bounds])
+    blocks = group_blocks(unit, KEYS, "id", "vec", ["label", *bounds], any_ids=True)
     pairs = pair_blocks(blocks, blocks.select("batch", "chunk", "ids", "flat", "label_values"), KEYS)
 
     def kernel(row):
@@ -49,7 +49,7 @@ def _extremes(samples: DataFrame) -> DataFrame:
     Blocks report one number per anchor; the grouped minimum and maximum merge them.
     """
     unit = samples.withColumn("vec", l2_normalize(doubles("vec"))).withColumn("label", F.col("label").cast("double"))
-    blocks = group_blocks(unit, KEYS, "id", "vec", ["label"])
+    blocks = group_blocks(unit, KEYS, "id", "vec", ["label"], any_ids=True)
     pairs = pair_blocks(blocks, blocks, KEYS)
 
     def kernel(row):

@@ -34,7 +34,7 @@ def sinkhorn_assign(scores: DataFrame, clusters: int, dustbin: float = 1.0, iter
     ``scores`` holds the K cluster scores of a patch. Cluster mass is 1 each, the dustbin
     takes the remaining n - K, patches have mass 1; the dustbin entry is dropped.
     """
-    blocks = group_blocks(scores, ["image_id"], "patch_id", "scores")
+    blocks = group_blocks(scores, ["image_id"], "patch_id", "scores", any_ids=True)
     sizes = blocks.groupBy("image_id").agg(F.sum(F.size("ids")).alias("n"))
     blocks = cut_lineage(blocks.join(sizes, "image_id"))
     k = clusters

@@ -151,6 +151,13 @@ def _mine_pairs(t):
     return mining.mine_pairs(samples(t), 0.1, 0.25)
 
 
+@query("mine_pairs_sparse", MINED, f"""WITH {SIMS} SELECT batch, anchor * 1000003 AS anchor, other * 1000003 AS other, same, sim
+    FROM sims WHERE CASE WHEN same THEN sim < 0.1 ELSE sim > 0.25 END""")
+def _mine_pairs_sparse(t):
+    """Ids far apart, which are numbered before rows are packed."""
+    return mining.mine_pairs(samples(t).withColumn("id", F.col("id") * 1000003), 0.1, 0.25)
+
+
 @query("mine_multi_similarity", MINED, f"""
     WITH {SIMS}, b AS (SELECT anchor, min(sim) FILTER (WHERE same) AS pmin, max(sim) FILTER (WHERE NOT same) AS nmax FROM sims GROUP BY ALL)
     SELECT s.* FROM sims s JOIN b USING (anchor) WHERE CASE WHEN same THEN sim < nmax + 0.1 ELSE sim > pmin - 0.1 END""")

@@ -375,6 +375,20 @@ def test_mining_over_many_blocks(spark, monkeypatch):
     assert pairs == {(a, b) for a in range(50) for b in range(50) if a != b and (s[a, b] < 0.7 if label[a] == label[b] else s[a, b] > 0.3)}
 
 
+def test_sparse_ids_fill_their_blocks(spark):
+    """Four hundred ids far apart are one block a group; close ids are cut as they are."""
+    rows = [(g, i * 10**9 + g, [float(i), 1.0]) for g in range(3) for i in range(400)]
+    df = spark.createDataFrame(rows, "g long, id long, vec array<double>")
+    sparse = blocks.group_blocks(df, ["g"], "id", "vec", any_ids=True).collect()
+    assert sorted((r.g, r.chunk, len(r.ids)) for r in sparse) == [(g, 0, 400) for g in range(3)]
+    assert all(r.flat[::2] == [float(i) for i in range(400)] and r.ids[1] == 10**9 + r.g for r in sparse)
+    assert blocks.group_blocks(df, ["g"], "id", "vec").count() == 1200
+    cut = blocks.group_blocks(df, ["g"], "id", "vec", rows=150, any_ids=True).collect()
+    assert sorted((r.g, r.chunk, len(r.ids)) for r in cut) == [(g, c, n) for g in range(3) for c, n in ((0, 150), (1, 150), (2, 100))]
+    close = spark.createDataFrame([(0, i, [0.0]) for i in range(5000)], "g long, id long, vec array<double>")
+    assert not blocks.scattered(close, ["g"], "id", 2048) and blocks.scattered(df, ["g"], "id", 2048)
+
+
 def test_pca_axes_are_orthonormal_and_whiten(spark):
     x = RNG.normal(size=(200, 6)) @ RNG.normal(size=(6, 6))
     df = vectors(spark, x, "i")
