@@ -122,6 +122,9 @@ def nms_boxes(boxes: DataFrame, iou: float = 0.7, score: str = "predicted_iou")
     best = top_per_group(scored.where(~flat), same, [F.col("score").desc(), F.col("seg_id")], 1, "_copy").drop("_copy")
     unique = cut_lineage(best.unionByName(scored.where(flat)))
     conflicts = cut_lineage(iou_pairs(unique, iou))
+    by_id = conflicts.groupBy("image_id", "hi").agg(F.min("score").alias("low"), F.max("score").alias("high"), F.max(F.col("hi") == F.col("lo")).alias("own"))
+    if not by_id.where("own OR low < high").isEmpty():
+        raise ValueError("segment ids must be unique within an image")
     large = cut_lineage(conflicts.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > STREAM_PAIRS).select("image_id"))
     if large.isEmpty():
         dropped = _decided_in_order(conflicts)
