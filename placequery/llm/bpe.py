@@ -9,7 +9,6 @@ Nodes have sixteen children, as their minimum is one call.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
 from . import words
-from .common import whole
+from .common import held, whole
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 WORD_END = "</w>"
@@ -189,9 +188,8 @@ class WordBpe:
             return " ".join([tokens[i] for i in ids if i in tokens])
 
 
-@lru_cache(4)
 def vocabulary(path: str) -> WordBpe:
-    return WordBpe(path)
+    return held("bpe", path, lambda: WordBpe(path))
 
 
 def encode_column(text: Column, path: str) -> Column:
@@ -253,6 +251,29 @@ def round_trip(docs: DataFrame, path: str | None = None, text: str = "text") ->
     return found.withColumns({"packed": F.col("_both.packed"), "decoded": F.col("_both.decoded")}).drop("_both")
 
 
+def encode_and_decode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
+    """Add ``ids`` and ``decoded`` of each whole text, in one pass of one Python worker a task.
+
+    Null and empty texts give an empty array and an empty text. Columns of these names are
+    replaced, others stay.
+    """
+    where = path or default_path()
+
+    @F.arrow_udf(StructType([StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]))
+    def both(texts: pa.Array) -> pa.Array:
+        bpe = vocabulary(where)
+        coded = list(bpe.coder.codes(t.as_py() for t in texts))
+        decoded = pa.array([bpe.text(np.frombuffer(c, "<u4").tolist()) for c in coded], pa.string())
+        ends = np.cumsum([0, *(len(c) // 4 for c in coded)])
+        flat = np.frombuffer(b"".join(coded), "<i4")
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+        return pa.StructArray.from_arrays([ids, decoded], ["ids", "decoded"])
+
+    # Spark would otherwise run it anew for each field.
+    found = docs.withColumn("_both", both.asNondeterministic()(whole(text)))
+    return found.withColumns({"ids": F.col("_both.ids"), "decoded": F.col("_both.decoded")}).drop("_both")
+
+
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, token count and digests of ids and decoded text of every document."""
     return round_trip(docs.select("doc_id", "text"), path).select(

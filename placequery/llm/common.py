@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,36 @@ def discard(table: DataFrame) -> None:
         folder.getFileSystem(session.sessionState().newHadoopConf()).delete(folder, True)
 
 
+_held: dict[tuple, list] = {}
+
+
+def held(owner: str, key, make: Callable):
+    """``make()``, kept by this Python worker under (owner, key) from batch to batch.
+
+    Workers outlive stages. The first call in a new stage drops what other owners kept in earlier
+    stages, so that a worker holds the models and memos of the operators at work and no others.
+    """
+    context = TaskContext.get()
+    stage = context.stageId() if context else -1
+    stale = [k for k, (at, _) in _held.items() if at != stage and k[0] != owner]
+    if stale:
+        for k in stale:
+            del _held[k]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    entry = _held.get((owner, key))
+    if entry is None:
+        entry = _held[owner, key] = [stage, make()]
+    entry[0] = stage
+    return entry[1]
+
+
+def drop_held(owner: str) -> None:
+    """Forget what ``owner`` keeps, before it keeps something else."""
+    for k in [k for k in _held if k[0] == owner]:
+        del _held[k]
+
+
 class Memo(dict):
     """Bounded memo of a function: two generations, so frequent keys survive and memory stays fixed.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import drop_held, held, whole
 
 Q = 10
 # Edits per character of a passage.
@@ -225,15 +225,14 @@ def _column(text: str, items: list[tuple], rate: float, spark) -> Column:
     return F.arrow_udf(found, MATCH).asNondeterministic()(whole(text))
 
 
-_passages: dict[str, Passages] = {}
-
-
 def _loaded(name: str, shared, rate: float) -> Passages:
     """The index of a broadcast block of items; a worker keeps the latest one."""
-    if name not in _passages:
-        _passages.clear()
-        _passages[name] = Passages(shared.value, rate)
-    return _passages[name]
+
+    def make() -> Passages:
+        drop_held("decontamination")
+        return Passages(shared.value, rate)
+
+    return held("decontamination", name, make)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, text: str = "text", out: str = "matches", block_chars: int = BLOCK_CHARS) -> DataFrame:

@@ -12,8 +12,6 @@ is in normal form again.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,7 +20,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from . import words
 from .bpe import WORD_END, default_path, vocabulary
-from .common import Memo, whole
+from .common import Memo, held, whole
 
 
 _NEVER = 1 << 62
@@ -188,9 +186,8 @@ def _backwards(tokens: dict[str, int]) -> dict:
     return root
 
 
-@lru_cache(4)
 def _counter(path: str) -> PrefixCounts:
-    return PrefixCounts(path)
+    return held("prefix_counts", path, lambda: PrefixCounts(path))
 
 
 def packed(steps: np.ndarray) -> bytes:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import Memo, whole
+from .common import Memo, drop_held, held, whole
 
 # Rows of the word table, dimensions of a vector, non-zeros of an index vector, neighbours on either side.
 ROWS, DIMS, NONZERO, REACH = 1 << 13, 48, 4, 1
@@ -260,18 +260,17 @@ def score(docs: DataFrame, model: tuple[Pooling, Network | float], text: str = "
     return docs.withColumn(out, scores.asNondeterministic()(whole(text)))
 
 
-_models: dict[str, tuple[Pooling, Network | float]] = {}
-
-
 def _loaded(name: str, shared) -> tuple[Pooling, Network | float]:
     """The broadcast model with this worker's memos; a worker keeps the latest one."""
-    if name not in _models:
-        _models.clear()
+
+    def make() -> tuple[Pooling, Network | float]:
+        drop_held("quality")
         words, network = shared.value
         pooling = Pooling(np.zeros((1, DIMS)))
         pooling.words = words
-        _models[name] = pooling, network
-    return _models[name]
+        return pooling, network
+
+    return held("quality", name, make)
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

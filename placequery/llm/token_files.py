@@ -23,16 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from ..functions.storage import cut_lineage, scratch_path
 from . import words
 from .bpe import default_path
-from .common import file_system, spread_files, whole
+from .common import file_system, held, spread_files, whole
 
 END_ID = 1
 # Entries of a generation of the memos of pieces and of runs without white space.
 _MEMO = 250_000
+# Ids in a batch of a task that reads.
+_BATCH_IDS = 1 << 20
 _HEADER = struct.Struct("<4sqqqq")
 _MAGIC = b"RIDS"
 _LENGTHS = np.array([[1 + (c >> s & 3) for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
@@ -58,8 +59,11 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
-@lru_cache(2)
-def _library(path: str):
+def _library(path: str) -> words.TextCoder:
+    return held("token_files", path, lambda: _coder(path))
+
+
+def _coder(path: str) -> words.TextCoder:
     """Ids of a text by the tokenizers library, which is asked once for a piece in the memo."""
     from tokenizers import Tokenizer
 
@@ -200,7 +204,12 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> DataFrame:
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it) and ids of every document in the files."""
+    """doc_id, start (ids of all documents before it), ids and their ids_crc32 of every document in the files.
+
+    ids_crc32 is the unsigned crc32 of the ids as little-endian unsigned 32-bit integers. A task
+    hands on batches of about ``_BATCH_IDS`` ids, so only single documents make larger ones. A manifest without rows
+    gives no rows.
+    """
     before = Window.orderBy(F.asc_nulls_first("first_doc"), "path").rowsBetween(Window.unboundedPreceding, -1)
     # One row per file.
     placed = manifest.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"))
@@ -212,33 +221,35 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 for docs, counts, control, data in _blocks(name):
                     ids = ids_of[unpack(control, data, int(counts.sum()))]
                     ends = np.concatenate([[0], np.cumsum(counts)])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(docs, pa.int64()), pa.array(start + ends[:-1], pa.int64()),
-                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32), pa.int32()))],
-                        ["doc_id", "start", "ids"],
-                    )
+                    cuts = np.flatnonzero(np.diff(ends[:-1] // _BATCH_IDS)) + 1
+                    for a, b in zip([0, *cuts], [*cuts, len(docs)], strict=True):
+                        own, part = ids[ends[a] : ends[b]], ends[a : b + 1]
+                        sums = [zlib.crc32(ids[s:e]) for s, e in zip(part[:-1], part[1:], strict=True)]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(docs[a:b], pa.int64()), pa.array(start + part[:-1], pa.int64()),
+                             pa.ListArray.from_arrays(pa.array(part - part[0], pa.int32()), pa.array(own.view(np.int32))),
+                             pa.array(sums, pa.int64())],
+                            ["doc_id", "start", "ids", "ids_crc32"],
+                        )
                     start += int(ends[-1])
 
     spread = spread_files(placed)
-    return spread.mapInArrow(run, "doc_id bigint, start bigint, ids array<int>")
+    return spread.mapInArrow(run, "doc_id bigint, start bigint, ids array<int>, ids_crc32 bigint")
 
 
-@lru_cache(4)
 def _ranks(folder: str) -> np.ndarray:
-    files, at = file_system(f"{folder}/ranks")
-    with files.open_input_stream(at) as f:
-        return np.frombuffer(f.read(), "<u4")
+    """Ids by rank; asking for them also drops the encoder of a worker that has written."""
 
+    def load() -> np.ndarray:
+        files, at = file_system(f"{folder}/ranks")
+        with files.open_input_stream(at) as f:
+            return np.frombuffer(f.read(), "<u4")
 
-@F.arrow_udf(LongType())
-def ids_crc32(arrays: pa.Array) -> pa.Array:
-    """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
-    flat, ends = np.asarray(arrays.values, "<u4"), arrays.offsets.to_numpy()
-    return pa.array([zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.int64())
+    return held("token_ranks", folder, load)
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Write all ids and read the files back."""
     folder = scratch_path(docs.sparkSession, "tokens")
     found = read(write(docs, folder, path), folder)
-    return found.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), ids_crc32("ids").alias("ids_crc32"))
+    return found.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), "ids_crc32")

@@ -1,13 +1,17 @@
 """Tokens, main text, decontamination and quality against the library or brute force."""
 
+import hashlib
 import random
+import struct
+import zlib
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from placequery.functions.storage import scratch_path
-from placequery.llm import bpe, decontamination, main_text, prefix_counts, quality, token_files, words
+from placequery.llm import bpe, common, decontamination, main_text, prefix_counts, quality, token_files, words
 
 LETTERS = "abcthein' \t\n\x0b\x1c\x85\u3000\u200béßÇüΣσςİ日本srevl!?.,-_0129½²🙂"
 ODD = ["", None, " \n", "a", "x" * 3000, "don't'll 're", "<|endoftext|>", "abc<|startoftext|> <|endof", "ΑΣ İ e\u0301"]
@@ -38,9 +42,33 @@ def test_bpe_matches_library(docs, library):
         assert r["ids"] == want and r["decoded"] == library.decode(want, skip_special_tokens=False)
 
 
-def test_digests_hold_every_row(docs):
-    found = bpe.digests(docs).collect()
-    assert len(found) == docs.count() and all(len(r["ids_sha256"]) == 64 for r in found)
+def test_digests_match_library(docs, library):
+    def want(doc_id, text):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        packed, decoded = struct.pack(f"<{len(ids)}I", *ids), library.decode(ids, skip_special_tokens=False)
+        return doc_id, len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+    found = [tuple(r) for r in bpe.digests(docs).collect()]
+    assert sorted(found, key=repr) == sorted((want(r["doc_id"], r["text"]) for r in docs.collect()), key=repr)
+
+
+def test_one_pass_equals_two(docs):
+    columns = ["doc_id", "text", "ids", "decoded"]
+    two = bpe.decode(bpe.encode(docs)).select(*columns).collect()
+    assert sorted(bpe.encode_and_decode(docs).select(*columns).collect(), key=repr) == sorted(two, key=repr)
+
+
+def test_worker_keeps_the_operators_of_its_stage(monkeypatch):
+    stage = SimpleNamespace(now=1)
+    monkeypatch.setattr(common, "_held", {})
+    monkeypatch.setattr(common.TaskContext, "get", classmethod(lambda cls: SimpleNamespace(stageId=lambda: stage.now)))
+    for owner in "ab":
+        assert common.held(owner, 0, lambda: owner) == owner
+    stage.now = 2
+    common.held("b", 0, lambda: "anew")
+    assert list(common._held) == [("b", 0)] and common.held("b", 0, lambda: "anew") == "b"
+    common.drop_held("b")
+    assert not common._held
 
 
 def test_long_word_and_wide_trees(library):
@@ -84,6 +112,7 @@ def test_token_files_round_trip(spark, docs, library):
         at += len(r["ids"])
     by_id = {d: library.encode(t or "", add_special_tokens=False).ids + [token_files.END_ID] for d, t in want}
     assert all(r["ids"] == by_id[r["doc_id"]] for r in rows)
+    assert all(r["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(r['ids'])}I", *r["ids"])) for r in rows)
     assert token_files.round_trip(docs.limit(0)).count() == 0
 
 
