@@ -261,9 +261,18 @@ def fallback_segments(images: DataFrame, masks: DataFrame) -> DataFrame:
 
 # -- filters ---------------------------------------------------------------
 def filter_segments(segments: DataFrame, min_area: float = 0) -> DataFrame:
-    """Keep ``area > min_area`` and renumber per image from 0; 0 keeps all (T1)."""
+    """Keep ``area > min_area`` and renumber per image from 0; 0 keeps all (T1).
+
+    Only the ids are sorted and stored; whole rows take part in one join by (image, segment).
+    Rows that repeat an id are numbered one after the other.
+    """
     kept = segments.where(F.col("area") > min_area) if min_area else segments
-    return dense_position(kept, [F.col("seg_id")], "new_seg", ["image_id"])
+    kept = kept.withColumn("_copy", F.row_number().over(Window.partitionBy("image_id", "seg_id").orderBy("area")))
+    ids = [F.col(c) for c in ("image_id", "seg_id", "_copy")]
+    numbered = dense_position(kept.select(*ids), ids[1:], "new_seg", ["image_id"])
+    numbered = numbered.select(*[F.col(c).alias(f"_{c}") for c in ("image_id", "seg_id", "_copy")], "new_seg")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("image_id", "seg_id", "_copy")]
+    return kept.join(numbered, same).select(*[F.col(c) for c in segments.columns if c != "new_seg"], numbered["new_seg"])
 
 
 def filter_mask_quality(masks: DataFrame, iou: float = 0.88, stability: float = 0.95) -> DataFrame:

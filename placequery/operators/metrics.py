@@ -108,7 +108,8 @@ def mean_ap(relevance: DataFrame) -> DataFrame:
 def compare_methods(baselines: DataFrame, mine: DataFrame, gt: DataFrame, queries: DataFrame, name: str = "your_method") -> DataFrame:
     """Queries where exactly one of two methods is right at rank 1.
 
-    ``baselines`` has a ``method`` column and may hold many of them.
+    ``baselines`` has a ``method`` column and may hold many of them. ``ground_truth`` is the JSON
+    list of the query's true references in ascending order.
     """
     def top1(df: DataFrame, cols: list[str], out: str) -> DataFrame:
         flagged = df.where("rank = 1").join(gt.select(*PAIR).distinct().withColumn("_g", F.lit(True)), PAIR, "left")
@@ -120,13 +121,14 @@ def compare_methods(baselines: DataFrame, mine: DataFrame, gt: DataFrame, querie
     total = queries.agg(F.count(F.lit(1))).scalar()
     mine_r1 = m.agg(F.count_if("mine_hit")).scalar()
     b_r1 = b.groupBy("method").agg(F.count_if("baseline_hit").alias("_hits"))
+    truth = gt.select(*PAIR).distinct().groupBy("q_image").agg(F.to_json(F.array_sort(F.collect_list("r_image"))).alias("ground_truth"))
     return (
-        b.join(m, "q_image").where(F.col("baseline_hit") != F.col("mine_hit")).join(b_r1, "method")
+        b.join(m, "q_image").where(F.col("baseline_hit") != F.col("mine_hit")).join(b_r1, "method").join(truth, "q_image")
         .select(
             F.col("method").alias("baseline"), F.lit(name).alias("your_method"), F.col("q_image").alias("query_index"),
             F.col("baseline_top1"), F.col("baseline_hit").alias("corrected_by_baseline"),
             F.col("mine_hit").alias("corrected_by_your_method"), F.col("mine_top1"),
-            (mine_r1 * 100.0 / total).alias("your_method_r1"), (F.col("_hits") * 100.0 / total).alias("baseline_r1"),
+            (mine_r1 * 100.0 / total).alias("your_method_r1"), (F.col("_hits") * 100.0 / total).alias("baseline_r1"), "ground_truth",
         )
     )
 

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.storage import scratch_path
 from ..functions.vectors import dot, mean_vectors
 from ..operators import ground_truth as gtr
 from ..operators import metrics, spatial
-from ..sources import paths
+from ..sources import paths, results
 from .registry import query
 from .retrieval import predictions
 
@@ -293,8 +294,9 @@ def image_predictions(t, k=10):
     return search.knn_image(*image_sides(t), k, q_ids=["q_image"], r_ids=["r_image"])
 
 
-@query("compare_methods", "baseline:s your_method:s query_index:l baseline_top1:l corrected_by_baseline:b "
-       "corrected_by_your_method:b mine_top1:l your_method_r1:d baseline_r1:d", f"""
+COMPARED = ("baseline:s your_method:s query_index:l baseline_top1:l corrected_by_baseline:b "
+            "corrected_by_your_method:b mine_top1:l your_method_r1:d baseline_r1:d ground_truth:s")
+COMPARED_SQL = f"""
     WITH knn AS ({IMAGE_KNN}), votes AS (SELECT * FROM predictions),
     top AS (SELECT 'image_mean' AS method, q_image, r_image FROM knn WHERE rank = 1
             UNION ALL SELECT 'runner_up', q_image, r_image FROM knn WHERE rank = 2),
@@ -304,8 +306,13 @@ def image_predictions(t, k=10):
     SELECT b.method AS baseline, 'vote' AS your_method, b.q_image AS query_index, b.r_image AS baseline_top1,
            b.hit AS corrected_by_baseline, m.hit AS corrected_by_your_method, m.r_image AS mine_top1,
            (SELECT count_if(hit) FROM m) * 100.0 / (SELECT count(*) FROM query_images) AS your_method_r1,
-           (SELECT count_if(hit) FROM b b2 WHERE b2.method = b.method) * 100.0 / (SELECT count(*) FROM query_images) AS baseline_r1
-    FROM b JOIN m USING (q_image) WHERE b.hit <> m.hit""")
+           (SELECT count_if(hit) FROM b b2 WHERE b2.method = b.method) * 100.0 / (SELECT count(*) FROM query_images) AS baseline_r1,
+           (SELECT '[' || string_agg(r_image, ',' ORDER BY r_image) || ']' FROM (SELECT DISTINCT q_image, r_image FROM gt) g
+            WHERE g.q_image = b.q_image) AS ground_truth
+    FROM b JOIN m USING (q_image) WHERE b.hit <> m.hit"""
+
+
+@query("compare_methods", COMPARED, COMPARED_SQL)
 def _compare(t):
     found = image_predictions(t)
     b = found.where("rank = 1").withColumn("method", F.lit("image_mean"))
@@ -313,6 +320,14 @@ def _compare(t):
     return metrics.compare_methods(b.unionByName(second), predictions(t), gt(t), query_images(t), "vote")
 
 
+@query("write_comparison", COMPARED, COMPARED_SQL)
+def _write_comparison(t):
+    path = scratch_path(t.spark, "comparison")
+    compared = _compare(t)
+    results.write_comparison(compared, path)
+    return t.spark.read.schema(compared.schema).option("header", True).option("escape", '"').csv(path)
+
+
 TRIPLETS = f"""SELECT q.q_image AS anchor, x.positive, x.negative FROM query_images q LEFT JOIN (
     SELECT q_image, arg_min(r_image, rank) FILTER (WHERE relevant = 1) AS positive,
            arg_min(r_image, rank) FILTER (WHERE relevant = 0) AS negative

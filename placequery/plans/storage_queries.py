@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 from ..functions.ordering import dense_position
 from ..functions.storage import scratch_path
 from ..functions.vectors import long_form
-from ..operators import aggregate, burst, sampling, vocabulary, vote
+from ..operators import aggregate, burst, diagnostics, sampling, vocabulary, vote
 from ..sources import models, paths, poses, results, tables
 from ..streaming import retrieve
-from .descriptors import RESIDUALS, softmax_sql, vocab
+from .descriptors import BURST, RESIDUALS, soft_sums_sql, softmax_sql, vlad_sql, vocab
 from .evaluation import NEAR_SQL, gt, near, query_images
 from .registry import query
 from .retrieval import matches, predictions, sides
@@ -90,10 +90,8 @@ def _place_tables(t):
     """One CSV table per city, written and read back under one id space."""
     p = t.places().select("place_id", "city_id", "panoid", "year", "month", "northdeg", "lat", "lon")
     base = scratch_path(t.spark, "places")
-    # The few city names name the files, as a directory listing would.
-    cities = sorted(r.city_id for r in p.select("city_id").distinct().collect())
     p.withColumn("city", F.col("city_id")).write.partitionBy("city").option("header", True).csv(base)
-    return tables.read_place_tables(t.spark, [f"{base}/city={c}" for c in cities])
+    return tables.read_place_tables(t.spark, [f"{base}/city=*"])
 
 
 @query("parse_camera_poses", "image_id:l x:d y:d z:d a:d b:d c:d", """
@@ -215,6 +213,50 @@ def _diagnostics(t):
     return back.select("image_id", "patch_id", "w", F.posexplode("soft").alias("cluster", "soft")).withColumn("adjusted", F.col("soft") / F.col("w"))
 
 
+@query("assignment_record", "field:s image_id:l patch_id:l place:l value:d", f"""
+    WITH soft AS ({softmax_sql('5.0')}), b AS ({BURST}),
+    own AS (SELECT s.image_id, s.vec_id, s.cluster, s.w / b.w AS w FROM soft s JOIN b USING (image_id, patch_id)),
+    vlad AS ({vlad_sql(soft_sums_sql('SELECT * FROM own'), 'image_id')})
+    SELECT 'soft' AS field, image_id, patch_id, cluster AS place, w AS value FROM soft
+    UNION ALL SELECT 'adjusted', s.image_id, s.patch_id, s.cluster, s.w / b.w FROM soft s JOIN b USING (image_id, patch_id)
+    UNION ALL SELECT 'burst', image_id, patch_id, 0, w FROM b
+    UNION ALL SELECT 'self_distance', a.image_id, a.patch_id, o.patch_id, -2 + 2 * list_dot_product(a.e, o.e)
+      FROM patches a JOIN patches o ON a.image_id = o.image_id
+    UNION ALL SELECT 'vlad', image_id, cluster, dim, value FROM vlad""")
+def _assignment_record(t):
+    """All fields of an aggregation, stored by image in two calls and read back."""
+    p, path = t.patches(), scratch_path(t.spark, "assignment")
+    fields = diagnostics.assignment_fields(p, vocab(t), 5.0)
+    images = p.select("image_id").distinct()
+    results.cached_fields(images.where("image_id % 2 = 0"), fields, path, "image_id")
+    back = results.cached_fields(images, fields, path, "image_id")
+
+    def rows(field, patch, place, value):
+        return back[field].select(F.lit(field).alias("field"), "image_id", F.col(patch).alias("patch_id"), place.alias("place"), value.alias("value"))
+
+    def entries(field, patch, vec):
+        return long_form(back[field].select(F.lit(field).alias("field"), "image_id", F.col(patch).cast("long").alias("patch_id"), vec), vec, "place")
+
+    return tables.concat_batches([
+        entries("soft", "patch_id", "soft"), entries("adjusted", "patch_id", "adjusted"), entries("vlad", "cluster", "residual"),
+        rows("burst", "patch_id", F.lit(0), F.col("w")), rows("self_distance", "patch_id", F.col("other_id"), F.col("d")),
+    ])
+
+
+@query("cached_assignments", "cache_id:l cluster:l label:l value:d", f"""
+    SELECT s.vec_id AS cache_id, s.cluster, l.cluster AS label, s.w AS value FROM ({softmax_sql('3.0')}) s
+    JOIN (SELECT vec_id, cluster FROM ({softmax_sql('1.0')}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY w DESC, cluster) = 1) l USING (vec_id)""")
+def _cached_assignments(t):
+    """Labels and soft assignments of every vector, a third of them found in the store."""
+    vectors, path = t.patches().select(F.col("vec_id").alias("cache_id"), "embedding"), scratch_path(t.spark, "cache")
+    fields = diagnostics.cache_fields(vectors, vocab(t), 3.0)
+    wanted = {name: fields[name] for name in ("labels", "soft")}
+    results.cached_fields(vectors.select("cache_id").where("cache_id % 3 = 0"), wanted, path)
+    back = results.cached_fields(vectors.select("cache_id"), wanted, path)
+    labels = back["labels"].withColumnRenamed("cluster", "label")
+    return long_form(back["soft"], "soft", "cluster").join(labels, "cache_id")
+
+
 @query("select_manifest", "image_id:l path:s", """
     SELECT image_id, path FROM manifest WHERE path LIKE '%/cph/%'
       AND 'img' || image_id || '.jpg' IN (SELECT 'img' || (label * 4) || '.jpg' FROM embeddings)""")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordering import dense_position
+
 RECORD_SCHEMA = "ARRAY<STRUCT<seg_id_q: BIGINT, seg_id_r: BIGINT, img_id_r: BIGINT>>"
 
 # The column names of the metadata file.
@@ -34,14 +38,14 @@ def match_records(info: DataFrame, gt: DataFrame, queries: DataFrame) -> DataFra
 
     Kinds are ``gt`` (true references), ``img_id_r`` (predicted images by rank) and
     ``segments`` (what each voting segment matched). A list is cut into parts of
-    ``PART_ENTRIES`` by position, so that no row holds an unbounded list; part 0 is the first. ``info`` is the long form of
+    ``PART_ENTRIES`` by position, so that no row holds an unbounded list and a long one is
+    numbered in several tasks; part 0 is the first. ``info`` is the long form of
     ``vote.match_info``.
     """
 
     def parts(df: DataFrame, kind: str, entry) -> DataFrame:
-        entries = df.select("q_image", entry.alias("_x")).distinct()
-        place = F.row_number().over(Window.partitionBy("q_image").orderBy("_x")) - 1
-        parted = entries.withColumn("part", F.floor(place / PART_ENTRIES).cast("long"))
+        entries = dense_position(df.select("q_image", entry.alias("_x")).distinct(), [F.col("_x")], "_place", ["q_image"])
+        parted = entries.withColumn("part", F.floor(F.col("_place") / PART_ENTRIES).cast("long"))
         listed = parted.groupBy("q_image", "part").agg(F.array_sort(F.collect_list("_x")).alias("_e"))
         payload = F.to_json("_e" if kind != "img_id_r" else F.col("_e.r_image"))
         return listed.select("q_image", F.lit(kind).alias("kind"), "part", payload.alias("payload"))
@@ -129,10 +133,30 @@ def append_missing(df: DataFrame, path: str, keys: list[str]) -> None:
     df.write.mode("append").parquet(path)
 
 
-def cached(keys: DataFrame, compute, path: str, key: str = "cache_id") -> DataFrame:
-    """Rows for ``keys`` from the store; only the missing ids are computed and added."""
+def cached(keys: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str, key: str = "cache_id") -> DataFrame:
+    """Rows for ``keys`` from the store; only the missing ids are computed and added.
+
+    Where nothing is missing, ``compute`` is not called.
+    """
     spark = keys.sparkSession
     stored = _stored(spark, path)
     missing = keys if stored is None else keys.join(stored.select(key).distinct(), key, "left_anti")
-    compute(missing).write.mode("append").parquet(path)
+    if stored is None or not missing.isEmpty():
+        compute(missing).write.mode("append").parquet(path)
     return spark.read.parquet(path).join(keys.select(key).distinct(), key, "left_semi")
+
+
+def cached_fields(
+    keys: DataFrame, compute: dict[str, Callable[[DataFrame], DataFrame]], path: str, key: str = "cache_id"
+) -> dict[str, DataFrame]:
+    """Several fields of ``keys`` from one store, by name.
+
+    A field has a folder of its own, so fields of different shapes live side by side, one that
+    is added later is computed alone, and an interrupted call leaves only whole fields.
+    """
+    return {name: cached(keys, make, f"{path}/{name}", key) for name, make in compute.items()}
+
+
+def write_comparison(compared: DataFrame, path: str) -> None:
+    """``metrics.compare_methods`` as CSV with a header, sorted by baseline and query."""
+    compared.sort("baseline", "query_index").write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

@@ -59,16 +59,40 @@ def count_masks(masks: DataFrame, images: DataFrame) -> DataFrame:
 def read_place_tables(spark: SparkSession, paths: list[str], schema: str = PLACES) -> DataFrame:
     """Per-city CSV tables under one id space: table i adds ``i * 100000`` to place_id.
 
-    One scan per city file, unioned without a shuffle.
+    Each path is a file, or a folder of files; a pattern stands for its matches in order of name. All tables are read in one scan, and
+    a row's table is looked up by the path of its file, so the plan does not grow with their number. A path listed
+    twice gives its rows under both numbers, a path that matches nothing is an error.
     """
-    frames = [
-        spark.read.schema(schema).option("header", True).csv(path).withColumn("place_id", F.col("place_id") + F.lit(i * 100000))
-        for i, path in enumerate(paths)
-    ]
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+    tables = [(at, i) for i, at in enumerate(at for path in paths for at in _matching(spark, path))]
+    if not tables:
+        raise ValueError("no place tables")
+    # As long as the caller's list of tables, which is on the driver already.
+    listed = F.broadcast(spark.createDataFrame(tables, "_at string, _table long"))
+    rows = spark.read.schema(schema).option("header", True).csv(sorted({at for at, _ in tables}))
+    columns = rows.columns
+    rows = rows.withColumn("_file", _plain_path(F.col("_metadata.file_path"))).withColumn("_folder", F.regexp_replace("_file", "/[^/]*$", ""))
+    # A row belongs to the table of its file, or else to that of its folder.
+    by_file = listed.select(F.col("_at").alias("_file"), F.col("_table").alias("_of_file"))
+    by_folder = listed.select(F.col("_at").alias("_folder"), F.col("_table").alias("_of_folder"))
+    unknown = F.raise_error(F.concat(F.lit("no table for "), F.col("_file"))).cast("long")
+    found = rows.join(by_file, "_file", "left").join(by_folder, "_folder", "left")
+    number = F.coalesce("_of_file", "_of_folder", unknown)
+    return found.withColumn("place_id", F.col("place_id") + number * 100000).select(*columns)
+
+
+def _matching(spark: SparkSession, path: str) -> list[str]:
+    """Full paths that a path or pattern stands for, in order of name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(at)
+    if not found:
+        raise FileNotFoundError(path)
+    return sorted(status.getPath().toString() for status in found)
+
+
+def _plain_path(uri: Column) -> Column:
+    """A file path as Hadoop writes it, without percent signs for characters of names."""
+    decoded = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:/+", "file:/")
 
 
 def prefix_place_ids(df: DataFrame, cities: DataFrame) -> DataFrame:
