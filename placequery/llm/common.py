@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable
 
@@ -65,6 +66,9 @@ def held(owner: str, key, make: Callable):
             del _held[k]
         gc.collect()
         pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
     entry = _held.get((owner, key))
     if entry is None:
         entry = _held[owner, key] = [stage, make()]

@@ -22,7 +22,7 @@ Nodes are distinct shingle sets, so exact copies cost nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import Memo, stored, whole, with_maybe
+from .common import Memo, held, stored, whole, with_maybe
 from .components import components
 
 # A shingle in this share of a batch's texts, and at least in LEAST_HOT of them, comes late in the order.
@@ -41,18 +41,31 @@ HOT_SHARE, LEAST_HOT = 1e-3, 3
 HOT_SHINGLES = 1 << 20
 # Open pairs of a region up to which it is compared outright, pivots of a larger one, levels of regions.
 SMALL_REGION, NEW_PIVOTS, LEVELS = 1 << 16, 8, 4
+# Characters of text whose words are held at a time.
+GROUP_CHARS = 1 << 20
 # Classes of an image; counts above 255 are kept as 255, which lets distances only shrink.
 CLASSES = 256
 
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def shingle_sets(texts: list[str | None], width: int, memo: Memo) -> list[np.ndarray]:
+def shingle_sets(texts: Iterable[str | None], width: int, memo: Memo) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the ``width``-word shingles of each text.
 
     A-Z are lower-cased; words are runs without ASCII white space. A text with fewer words is one
-    shingle, one without words has none.
+    shingle, one without words has none. The words of about ``GROUP_CHARS`` characters are held at a time.
     """
+    out, group, chars = [], [], 0
+    for t in texts:
+        group.append(t)
+        chars += len(t) if t else 0
+        if chars >= GROUP_CHARS:
+            out += _shingles_of(group, width, memo)
+            group, chars = [], 0
+    return out + _shingles_of(group, width, memo)
+
+
+def _shingles_of(texts: list[str | None], width: int, memo: Memo) -> list[np.ndarray]:
     coded = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
     sizes = [len(w) for w in coded]
     flat = np.fromiter(map(memo.__getitem__, chain.from_iterable(coded)), np.uint64, sum(sizes))
@@ -81,7 +94,12 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def word_memo() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest)
+    """Hashes of words, kept by the worker."""
+    return held("jaccard_join", "words", lambda: Memo(xxhash.xxh3_64_intdigest))
+
+
+def _texts(column: pa.Array) -> Iterator[str | None]:
+    return (t.as_py() for t in column)
 
 
 def _node_ids(sets: list[np.ndarray]) -> np.ndarray:
@@ -117,7 +135,7 @@ def _hot(docs: DataFrame, text: str, width: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
         for batch in batches:
-            found = shingle_sets(batch.column(0).to_pylist(), width, memo)
+            found = shingle_sets(_texts(batch.column(0)), width, memo)
             least = max(LEAST_HOT, int(HOT_SHARE * batch.num_rows))
             if len(found) >= least:
                 values, n = np.unique(np.concatenate(found), return_counts=True)
@@ -138,7 +156,7 @@ def _nodes(docs: DataFrame, text: str, key: str, width: int, percent: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, late = word_memo(), hot.value
         for batch in batches:
-            sets, windows = shingle_sets(batch.column(1).to_pylist(), width, memo), []
+            sets, windows = shingle_sets(_texts(batch.column(1)), width, memo), []
             for found in sets:
                 k = prefix_size(len(found), percent)
                 if len(late) and k:
@@ -160,7 +178,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, width: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
         for batch in batches:
-            found = shingle_sets(batch.column(0).to_pylist(), width, memo)
+            found = shingle_sets(_texts(batch.column(0)), width, memo)
             yield pa.RecordBatch.from_arrays([pa.array(_node_ids(found)), _lists(found)], ["node", "shingles"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc"), whole(text).alias("_text"))
@@ -312,7 +330,7 @@ def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5, text: str =
 
     @F.arrow_udf(LongType())
     def node_of(texts: pa.Array) -> pa.Array:
-        sets = shingle_sets(texts.to_pylist(), width, word_memo())
+        sets = shingle_sets(_texts(texts), width, word_memo())
         return pa.array([node if len(found) else None for node, found in zip(_node_ids(sets).tolist(), sets, strict=True)], pa.int64())
 
     # The row travels as one value, so that its columns meet none of these names.

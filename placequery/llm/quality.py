@@ -105,7 +105,7 @@ def context_table(docs: DataFrame, text: str = "text") -> np.ndarray:
     index = _index_table()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, total = Memo(_row), np.zeros(ROWS * DIMS, np.int64)
+        memo, total = held("quality", "rows", lambda: Memo(_row)), np.zeros(ROWS * DIMS, np.int64)
         signs = [(np.argsort(-np.abs(index), axis=1, kind="stable")[:, k]) for k in range(NONZERO)]
         values = [index[np.arange(ROWS), s].astype(np.float64) for s in signs]
         for batch in batches:
