@@ -35,7 +35,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and their decoded text of every document."""
     table(spark, sf_dir, "documents")
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text")))
+    coded = bpe.encode_and_decode(docs.select("doc_id", "text"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
