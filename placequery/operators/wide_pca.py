@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.blocks import BLOCK_BYTES, map_block_rows, scalar_matrix
+from ..functions.blocks import BLOCK_BYTES, group_blocks, map_block_rows, scalar_matrix
 from ..functions.storage import cut_lineage
 from ..functions.vectors import doubles, l2_normalize, let, sum_vectors
 
@@ -83,6 +83,31 @@ def gram_axes(df: DataFrame, n: int, rows: int, vec: str = "vec") -> tuple[DataF
     return table, np.where(real, values, 0) / (rows - 1)
 
 
+# Rows of a block whose products with another block are held at once.
+PRODUCT_ROWS = 1024
+
+
+def inner_products(df: DataFrame, row_id: str, vec: str, width: int) -> DataFrame:
+    """``(a, b, product)`` of all rows ``a <= b`` with unique ids, as products of blocks.
+
+    Every pair is made once, in the task that meets its two blocks; only blocks are shuffled.
+    """
+    rows = max(1, min(PRODUCT_ROWS, BLOCK_BYTES // (8 * max(1, width))))
+    blocks = cut_lineage(group_blocks(df.where(F.col(row_id).isNotNull()), [], row_id, vec, rows=rows, any_ids=True))
+    # One number per block.
+    others = F.broadcast(blocks.select(F.col("chunk").alias("r_chunk")))
+    right = blocks.select(F.col("chunk").alias("r_chunk"), F.col("ids").alias("r_ids"), F.col("flat").alias("r_flat"))
+    pairs = blocks.join(others, F.col("chunk") <= F.col("r_chunk")).join(right, "r_chunk")
+
+    def multiply(row):
+        a, b = (np.asarray(row[c].values) for c in ("ids", "r_ids"))
+        product = scalar_matrix(row["flat"], len(a)) @ scalar_matrix(row["r_flat"], len(b)).T
+        x, y = np.nonzero(a[:, None] <= b[None, :])
+        return [a[x], b[y], product[x, y]]
+
+    return map_block_rows(pairs.drop("chunk", "r_chunk"), multiply, "a BIGINT, b BIGINT, product DOUBLE", [])
+
+
 def noise(values: np.ndarray, size: int) -> float:
     """Eigenvalues up to this are rounding."""
     return float(max(values.max(initial=0), 0) * size * np.finfo(float).eps * 8)

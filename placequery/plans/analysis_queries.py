@@ -253,11 +253,10 @@ def wide_rows(t):
 def _wide_rows(t):
     """With fewer rows than dimensions: all axes that exist keep every inner product of the centred rows."""
     rows = cut_lineage(wide_rows(t))
-    model = cut_lineage(reduce.fit_pca_table(rows, min(rows.count() - 1, 512), whiten=False))
-    z = wide_pca.apply_table(rows, model, ["row_id"]).select("row_id", "reduced")
-    z = long_form(z, "reduced")
-    a, b = (z.select("dim", F.col("row_id").alias(c), F.col("value").alias(f"v{c}")) for c in "ab")
-    return a.join(b, "dim").where("a <= b").groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("product"))
+    axes = min(rows.count() - 1, 512)
+    model = cut_lineage(reduce.fit_pca_table(rows, axes, whiten=False))
+    z = wide_pca.apply_table(rows, model, ["row_id"]).where(F.size("reduced") > 0)
+    return wide_pca.inner_products(cut_lineage(z.select("row_id", "reduced")), "row_id", "reduced", axes)
 
 
 @query("pca_total_variance", "components:l total:d", """

@@ -462,6 +462,18 @@ def test_stored_model_beyond_the_limit_is_applied_in_blocks(spark, monkeypatch,
         wide_pca.apply_table(df, table.where("component >= 0"), ["image_id", "seg_id"], max_bytes=100)
 
 
+@pytest.mark.parametrize("step", [1, 1000])
+def test_inner_products_are_made_once_per_pair_from_blocks(spark, monkeypatch, step):
+    monkeypatch.setattr(wide_pca, "PRODUCT_ROWS", 4)
+    x = RNG.normal(size=(23, 5))
+    rows = [(step * i - 7, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "id BIGINT, vec ARRAY<DOUBLE>").repartition(3)
+    found = wide_pca.inner_products(df, "id", "vec", 5)
+    got = [((r.a + 7) // step, (r.b + 7) // step, r["product"]) for r in found.collect()]
+    assert sorted(g[:2] for g in got) == [(i, j) for i in range(23) for j in range(i, 23)]
+    assert [g[2] for g in got] == pytest.approx([x[i] @ x[j] for i, j, _ in got])
+
+
 def test_whitening_tables_of_wide_rows(spark):
     x = RNG.normal(size=(20, 50))
     df = vectors(spark, x, "i")
