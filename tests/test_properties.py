@@ -1,5 +1,7 @@
 """Brute-force comparisons, many-block and hot-key cases, and plan checks."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +61,32 @@ def test_every_tile_is_a_partition(spark, monkeypatch):
     assert pairs == {(i, j) for i in range(40) for j in range(90)}
 
 
+def test_search_memory_does_not_grow_with_the_product_of_block_sizes(monkeypatch):
+    monkeypatch.setattr(search, "SCORE_BYTES", 1 << 20)
+    q, r = RNG.normal(size=(3000, 4)), RNG.normal(size=(3000, 4))
+    tracemalloc.start()
+    rows, (found,), values = search._block_best(q, r, [np.arange(3000)], 3, "l2")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3000 * 3000 * 8 / 4  # a quarter of the distances
+    assert {(i, j, n % 3 + 1) for n, (i, j) in enumerate(zip(rows.tolist(), found.tolist()))} == brute_knn(q, r, 3)
+
+
+def test_candidates_are_merged_in_slices_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(search, "MERGE_BYTES", 8 * 3 * 12 * 5)
+    monkeypatch.setattr(search, "SCORE_BYTES", 8 * 100)
+    q, r = RNG.normal(size=(37, 6)), RNG.normal(size=(211, 6))
+    for state in (search.STATE_BYTES, 8 * 3 * 12 * 36):  # too many candidates for a broadcast
+        monkeypatch.setattr(search, "STATE_BYTES", state)
+        found = search.knn_l2(vectors(spark, q, "qi"), vectors(spark, r, "ri"), 12, q_ids=["qi"], r_ids=["ri"])
+        assert {(x.qi, x.ri, x.rank) for x in found.collect()} == brute_knn(q, r, 12)
+
+
+def test_stripes_leave_room_for_candidates():
+    a, _ = search._tiles(10**6, 10**6, 64, 8, 200 * 32)
+    assert 10**6 * 200 * 32 <= a * search.QUERY_STRIPE_BYTES
+
+
 def test_knn_with_more_neighbours_than_references(spark):
     got = search.knn_l2(vectors(spark, RNG.normal(size=(3, 4)), "qi"), vectors(spark, RNG.normal(size=(5, 4)), "ri"), 9, q_ids=["qi"], r_ids=["ri"])
     assert got.count() == 15
