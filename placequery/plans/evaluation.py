@@ -124,8 +124,7 @@ NEAR_SQL = """
 
 def near(t):
     """Up to five nearest references within 20 of each query, ranked."""
-    from ..functions.ordering import top_per_group
-    return top_per_group(spatial.radius_join(*poses(t), 20.0), ["q_image"], [F.col("dist"), F.col("r_image")], 5, "n")
+    return spatial.nearest_within(*poses(t), 20.0, 5, "n")
 
 
 @query("listed_ground_truth", "q_image:l r_image:l", f"""

@@ -104,6 +104,18 @@ def points(spark, xyz, first=0):
     return spark.createDataFrame([(first + i, *map(float, p)) for i, p in enumerate(xyz)], "image_id BIGINT, x DOUBLE, y DOUBLE, z DOUBLE")
 
 
+def test_nearest_within_ranks_few_of_the_pairs(spark, monkeypatch):
+    q, r = np.zeros((3, 3)), RNG.normal(size=(400, 3)).round(1)
+    q[1, 0], q[2, 0] = 1, 1000  # one query without references
+    ranked = []
+    plain = spatial.top_per_group
+    monkeypatch.setattr(spatial, "top_per_group", lambda df, *rest: ranked.append(df.count()) or plain(df, *rest))
+    got = {(x.q_image, x.r_image, x.n) for x in spatial.nearest_within(points(spark, q), points(spark, r), 9.0, 5).collect()}
+    d = np.sqrt(((q[:, None, :2] - r[None, :, :2]) ** 2).sum(2))
+    assert got == {(i, int(j), n + 1) for i in (0, 1) for n, j in enumerate(np.lexsort((np.arange(400), d[i]))[:5])}
+    assert ranked[0] < 80  # of 800 pairs
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_radius_join_equals_brute_force(spark, monkeypatch, hot):
     q, r = RNG.uniform(-20, 20, (40, 3)), RNG.uniform(-20, 20, (150, 3))
