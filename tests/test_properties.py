@@ -72,6 +72,17 @@ def test_search_memory_does_not_grow_with_the_product_of_block_sizes(monkeypatch
     assert {(i, j, n % 3 + 1) for n, (i, j) in enumerate(zip(rows.tolist(), found.tolist()))} == brute_knn(q, r, 3)
 
 
+def test_search_temporaries_stay_small_beside_full_blocks():
+    """A block pair of full size needs a few slices of distances, whatever its metric."""
+    q, r = RNG.normal(size=(1500, 8)), RNG.normal(size=(16384, 8))
+    for metric in ("l2", "ip"):
+        tracemalloc.start()
+        search._block_best(q, r, [np.arange(len(r))], 20, metric)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 24 << 20
+
+
 def test_candidates_are_merged_in_slices_of_queries(spark, monkeypatch):
     monkeypatch.setattr(search, "MERGE_BYTES", 8 * 3 * 12 * 5)
     monkeypatch.setattr(search, "SCORE_BYTES", 8 * 100)
