@@ -12,6 +12,10 @@ is in normal form again.
 
 from __future__ import annotations
 
+import sys
+from array import array
+from operator import sub
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,9 +28,12 @@ from .common import Memo, held, whole
 
 
 _NEVER = 1 << 62
-# Pieces in a generation of the memo, and prefixes of words kept at a time.
+# Pieces and runs without white space in a generation of their memos, and prefixes of words kept at a time.
 _PIECES = 200_000
+_CHUNKS = 250_000
 _PREFIXES = 1_000_000
+# Pairs of tokens judged before.
+_FITTING = 400_000
 
 
 class PrefixCounts:
@@ -40,11 +47,12 @@ class PrefixCounts:
                 self.inner[token] = i
         self.parts = {new: (pair, rank) for pair, (rank, new) in self.bpe.pairs.items()}
         self.fitting: dict[tuple[int, int], bool] = {}
+        self.alone: dict[int, bool] = {}
         self.spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
         # Tokens by their letters from the last to the first.
         self.inner_ends, self.final_ends = _backwards(self.inner), _backwards(self.final)
-        self.pieces = Memo(lambda p: np.diff(np.array([0, *self.piece_counts(p)], "<i4")).tobytes(), _PIECES)
-        self.chunks = Memo(lambda c: b"".join(map(self.pieces.__getitem__, words.PIECE.findall(c))))
+        self.pieces = Memo(self.piece_steps, _PIECES)
+        self.chunks = Memo(self.chunk_steps, _CHUNKS)
         self._forget()
 
     def _forget(self) -> None:
@@ -94,9 +102,13 @@ class PrefixCounts:
                 j += 1
 
     def _fits(self, left: int, right: int) -> bool:
-        if len(self.fitting) > 200_000:
+        if len(self.fitting) > _FITTING:
             self.fitting.clear()
-        known = self.fitting[left, right] = self.fits(left, right) and (left < 0 or self.fits(-1, right))
+        # Whether a token is the encoding of its own text: one entry per token of the vocabulary at most.
+        alone = self.alone.get(right)
+        if alone is None:
+            alone = self.alone[right] = self.fits(-1, right)
+        known = self.fitting[left, right] = alone and (left < 0 or self.fits(left, right))
         return known
 
     def piece_counts(self, piece: str) -> list[int]:
@@ -145,6 +157,20 @@ class PrefixCounts:
             counts[1] = sum(len(self.bpe.piece(c)) for c in piece[:2])
         return counts
 
+    def piece_steps(self, piece: str) -> bytes:
+        """Steps of the counts of a piece, as little-endian 32-bit integers."""
+        counts = self.piece_counts(piece)
+        steps = array("i", map(sub, counts, [0, *counts]))
+        if sys.byteorder == "big":
+            steps.byteswap()
+        return steps.tobytes()
+
+    def chunk_steps(self, chunk: str) -> bytes:
+        """The same of a run without white space; one of a-z alone is a piece."""
+        if chunk.isascii() and chunk.isalpha():
+            return self.pieces[chunk]
+        return b"".join(map(self.pieces.__getitem__, words.PIECE.findall(chunk)))
+
     def text_steps(self, text: str) -> np.ndarray:
         """Step of the prefix count at each character of the normal text."""
         parts, done = [], ""

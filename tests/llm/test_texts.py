@@ -79,6 +79,15 @@ def test_long_word_and_wide_trees(library):
     assert vocabulary.piece_codes(many) == [bpe.np.array(vocabulary.piece(w), "<u4").tobytes() for w in many]
 
 
+def test_a_token_of_its_own_is_judged_once(monkeypatch):
+    counter, judged = prefix_counts.PrefixCounts(bpe.default_path()), []
+    fits = counter.fits
+    monkeypatch.setattr(counter, "fits", lambda left, right: judged.append((left, right)) or fits(left, right))
+    counter.text_steps("banana bandana cabana nirvana savanna \u010cesk\u00e1 na\u00efve 12na ana's")
+    alone = [right for left, right in judged if left < 0]
+    assert alone and len(alone) == len(set(alone))
+
+
 def test_prefix_counts_at_every_prefix(library):
     counter = prefix_counts.PrefixCounts(bpe.default_path())
     for text in texts(250, 3):
