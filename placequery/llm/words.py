@@ -6,7 +6,10 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 import regex
 
 from .common import MEMO_ENTRIES, Memo
@@ -36,6 +39,8 @@ def byte_letters() -> list[str]:
 
 
 def as_letters(piece: str) -> str:
+    if piece.isascii() and piece.isalnum():
+        return piece
     return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(_letter_table())
 
 
@@ -59,6 +64,16 @@ def chunks(segment: str) -> list[str]:
     return _RUNS.findall(segment) if _KEPT_CONTROLS.search(segment) else segment.split()
 
 
+def pieces(chunk: str) -> list[str]:
+    """Pieces of a run without white space; one of a-z alone is a piece, also before a single sign."""
+    if chunk.isascii():
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[:-1].isalpha() and not chunk[-1].isdigit():
+            return [chunk[:-1], chunk[-1]]
+    return PIECE.findall(chunk)
+
+
 def segments(text: str) -> Iterator[tuple[str, bool]]:
     """(part, is special) in text order; special strings are taken out of the text as it is."""
     if "<|" not in text:
@@ -70,40 +85,57 @@ def segments(text: str) -> Iterator[tuple[str, bool]]:
 
 
 # Characters of text whose chunks are held at a time.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 22
+
+
+def gathered(runs: list[list[str]], codes: Callable[[list[str]], list[bytes]]) -> Iterator[bytes]:
+    """Joined codes of the chunks of each run; ``codes`` is asked for those of distinct chunks only."""
+    flat = pa.array(list(chain.from_iterable(runs)), pa.large_string()).dictionary_encode()
+    # The next line gives every chunk its code, end to end; the offsets say where.
+    joined = pa.array(codes(flat.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(flat.indices)
+    _, offsets, data = joined.buffers()
+    offsets, at = np.frombuffer(offsets, np.int64) if len(joined) else np.zeros(1, np.int64), 0
+    data = memoryview(data) if data else memoryview(b"")
+    for run in runs:
+        yield bytes(data[offsets[at] : offsets[at + len(run)]])
+        at += len(run)
 
 
 class TextCoder:
     """Concatenated code of the pieces of texts; pieces not in the memo are coded together.
 
     ``of_pieces`` gives the code (bytes) of each piece of a list, ``of_special`` that of a special
-    string.
+    string, which is a chunk of its own behind a space (no other chunk has one).
     """
 
     def __init__(self, of_pieces: Callable[[list[str]], list[bytes]], of_special: Callable[[str], bytes], entries: int = MEMO_ENTRIES):
         self.of_pieces, self.of_special = of_pieces, of_special
         self.pieces = Memo(lambda piece: of_pieces([piece])[0], entries, turns=False)
-        self.chunks = Memo(lambda chunk: b"".join(map(self.pieces.__getitem__, PIECE.findall(chunk))), entries, turns=False)
+        self.chunks = Memo(self._chunk, entries, turns=False)
+
+    def _chunk(self, chunk: str) -> bytes:
+        return self.of_special(chunk[1:]) if chunk.startswith(" ") else b"".join(map(self.pieces.__getitem__, pieces(chunk)))
 
     def codes(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         group, held = [], 0
         for text in texts:
-            group.append([(p, None) if special else (None, chunks(normal(p))) for p, special in segments(text)] if text else [])
+            run = []
+            for part, special in segments(text) if text else ():
+                run += [" " + part] if special else chunks(normal(part))
+            group.append(run)
             held += len(text) if text else 0
             if held >= GROUP_CHARS:
-                yield from self._group(group)
+                yield from gathered(group, self._codes)
                 group, held = [], 0
-        yield from self._group(group)
+        yield from gathered(group, self._codes)
 
-    def _group(self, group: list[list[tuple[str | None, list[str]]]]) -> Iterator[bytes]:
+    def _codes(self, distinct: list[str]) -> list[bytes]:
         of_chunk, of_piece = self.chunks, self.pieces
         of_chunk.turn()
         of_piece.turn()
-        fresh = set().union(*(run for parts in group for _, run in parts if run)).difference(of_chunk, of_chunk.old)
-        if fresh:
-            split = {c: PIECE.findall(c) for c in fresh}
-            new = list(set().union(*split.values()).difference(of_piece, of_piece.old))
+        split = {c: pieces(c) for c in of_chunk.fresh(distinct) if not c.startswith(" ")}
+        new = of_piece.fresh(set(chain.from_iterable(split.values())))
+        if new:
             of_piece.take(dict(zip(new, self.of_pieces(new), strict=True)))
-            of_chunk.take({c: b"".join(map(of_piece.__getitem__, found)) for c, found in split.items()})
-        for parts in group:
-            yield b"".join([self.of_special(p) if p else b"".join(map(of_chunk.__getitem__, run)) for p, run in parts])
+        of_chunk.take({c: b"".join(map(of_piece.__getitem__, found)) for c, found in split.items()})
+        return list(map(of_chunk.__getitem__, distinct))

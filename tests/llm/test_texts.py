@@ -4,6 +4,7 @@ import hashlib
 import random
 import struct
 import zlib
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -110,6 +111,27 @@ def test_prefix_table_answers(docs, library):
         assert r["cut"] == max((i + 1 for i, c in enumerate(steps) if c <= 3), default=0)
 
 
+def test_codes_ask_once_for_a_run(library):
+    asked = []
+    coder = words.TextCoder(lambda pieces: [p.encode() for p in pieces], lambda special: asked.append(special) or b"!", entries=3)
+    # The special string in capitals is ordinary text; long runs are in no memo.
+    for _ in range(3):
+        assert list(coder.codes(["Ab, ab. <|endoftext|>ab", None, "", "<|ENDOFTEXT|> " + "x" * 99])) == [b"ab,ab.!ab", b"", b"", b"<|endoftext|>" + b"x" * 99]
+    memo = common.Memo(str.upper, 2, turns=False)
+    assert memo.fresh(["a", "b"]) == ["a", "b"]
+    memo.take({"a": "A", "b": "B"})
+    memo.turn()
+    assert memo.fresh(["a", "c"]) == ["c"] and dict(memo) == {"a": "A"} and memo["b"] == "B"
+
+
+def test_plain_token_files_are_compressed(spark):
+    folder = scratch_path(spark, "plain")
+    rows = [(i, " ".join(f"the {k % 7} word" for k in range(4000))) for i in range(4)]
+    manifest = token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), folder).collect()
+    on_disk = sum(f.stat().st_size for f in Path(folder.removeprefix("file:"), "plain").iterdir())
+    assert on_disk < sum(r["n_tokens"] for r in manifest)
+
+
 def test_token_files_round_trip(spark, docs, library):
     folder = scratch_path(spark, "tokens-test")
     rows = token_files.read(token_files.write(docs, folder), folder).orderBy("start").collect()
