@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import sys
 from array import array
+from collections.abc import Iterable, Iterator
 from operator import sub
 
 import numpy as np
@@ -49,8 +50,7 @@ class PrefixCounts:
         self.fitting: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
         self.spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        # Tokens by their letters from the last to the first.
-        self.inner_ends, self.final_ends = _backwards(self.inner), _backwards(self.final)
+        self.ends = _backwards(self.inner, self.final)
         self.pieces = Memo(self.piece_steps, _PIECES)
         self.chunks = Memo(self.chunk_steps, _CHUNKS)
         self._forget()
@@ -87,7 +87,8 @@ class PrefixCounts:
         """
         if left < 0:
             return self.bpe.merged(self._symbols(right)) == [right]
-        pairs, a, b = self.bpe.pairs, self._spine(left, 1), self._spine(right, 0)
+        pairs, spines = self.bpe.pairs, self.spines
+        a, b = spines.get((left, 1)) or self._spine(left, 1), spines.get((right, 0)) or self._spine(right, 0)
         i = j = 0
         while True:
             (x, x_until), (y, y_until) = a[i], b[j]
@@ -126,23 +127,27 @@ class PrefixCounts:
             if found is None:
                 letters = letters or words.as_letters(piece)
                 found = child[node << 8 | byte] = len(last)
-                for root, is_word in ((self.final_ends, True), (self.inner_ends, False)):
-                    at = root
-                    for j in range(i - 1, -1, -1):
-                        at = at.get(letters[j])
-                        if at is None:
-                            raise ValueError("a prefix without an encoding")
-                        token = at.get("")
-                        if token is not None:
-                            before = last[way[j]]
-                            fits = known((before, token))
-                            if fits or fits is None and self._fits(before, token):
-                                break
-                    if is_word:
-                        as_word.append(count[way[j]] + 1)
-                    else:
-                        last.append(token)
-                        count.append(count[way[j]] + 1)
+                # One way back finds the last token of the prefix inside a word (inner) and as a word (final).
+                at, token, ends, j = self.ends, -1, 0, i
+                while token < 0 or not ends:
+                    j -= 1
+                    step = at.get(letters[j]) if j >= 0 else None
+                    if step is None:
+                        raise ValueError("a prefix without an encoding")
+                    inner, final, at = step
+                    back = way[j]
+                    before = last[back]
+                    if final >= 0 and not ends:
+                        fits = known((before, final))
+                        if fits or fits is None and self._fits(before, final):
+                            ends = count[back] + 1
+                    if inner >= 0 and token < 0:
+                        fits = known((before, inner))
+                        if fits or fits is None and self._fits(before, inner):
+                            token, tokens = inner, count[back] + 1
+                as_word.append(ends)
+                last.append(token)
+                count.append(tokens)
             node = found
             way.append(node)
         if len(piece) == len(raw):
@@ -166,10 +171,29 @@ class PrefixCounts:
         return steps.tobytes()
 
     def chunk_steps(self, chunk: str) -> bytes:
-        """The same of a run without white space; one of a-z alone is a piece."""
-        if chunk.isascii() and chunk.isalpha():
-            return self.pieces[chunk]
-        return b"".join(map(self.pieces.__getitem__, words.PIECE.findall(chunk)))
+        """The same of a run without white space."""
+        return b"".join(map(self.pieces.__getitem__, words.pieces(chunk)))
+
+    def _steps_of(self, distinct: list[str]) -> list[bytes]:
+        self.chunks.fresh(distinct)
+        return list(map(self.chunks.__getitem__, distinct))
+
+    def all_steps(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """``text_steps`` of each text; the runs of about ``GROUP_CHARS`` characters are looked up together."""
+        group, held = [], 0
+        for text in texts:
+            group.append(text)
+            held += len(text)
+            if held >= words.GROUP_CHARS:
+                yield from self._group_steps(group)
+                group, held = [], 0
+        yield from self._group_steps(group)
+
+    def _group_steps(self, texts: list[str]) -> Iterator[np.ndarray]:
+        plain = ["" if "<|" in t else words.normal(t) for t in texts]
+        found = words.gathered([words.chunks(t) for t in plain], self._steps_of)
+        for text, segment, flat in zip(texts, plain, found, strict=True):
+            yield self.text_steps(text) if "<|" in text else _placed(segment, np.frombuffer(flat, "<i4"))
 
     def text_steps(self, text: str) -> np.ndarray:
         """Step of the prefix count at each character of the normal text."""
@@ -189,26 +213,36 @@ class PrefixCounts:
         return np.concatenate(parts) if parts else np.empty(0, np.int32)
 
     def segment_steps(self, segment: str) -> np.ndarray:
-        flat = np.frombuffer(b"".join(map(self.chunks.__getitem__, words.chunks(segment))), "<i4")
-        if len(flat) == len(segment):
-            return flat
-        codes = np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), "<u4")
-        out = np.zeros(len(segment), np.int32)
-        out[~_IS_SPACE[np.minimum(codes, len(_IS_SPACE) - 1)]] = flat
-        return out
+        return _placed(segment, np.frombuffer(b"".join(map(self.chunks.__getitem__, words.chunks(segment))), "<i4"))
 
 
 _IS_SPACE = np.zeros(0x3002, bool)
 _IS_SPACE[[*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
 
 
-def _backwards(tokens: dict[str, int]) -> dict:
+def _placed(segment: str, flat: np.ndarray) -> np.ndarray:
+    """Steps of a segment's characters, from those of its runs: white space has none."""
+    if len(flat) == len(segment):
+        return flat
+    out = np.zeros(len(segment), np.int32)
+    if segment.isascii():
+        codes = np.frombuffer(segment.encode(), np.uint8)
+    else:
+        codes = np.minimum(np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), "<u4"), len(_IS_SPACE) - 1)
+    out[~_IS_SPACE[codes]] = flat
+    return out
+
+
+def _backwards(inner: dict[str, int], final: dict[str, int]) -> dict[str, tuple[int, int, dict]]:
+    """Tokens by their letters from the last to the first: a step gives the inner and the final token of these letters (or -1) and the steps on."""
     root: dict = {}
-    for token, i in tokens.items():
-        node = root
-        for letter in reversed(token):
-            node = node.setdefault(letter, {})
-        node[""] = i
+    for text in {*inner, *final}:
+        steps = root
+        for k in range(len(text) - 1, -1, -1):
+            if text[k] not in steps:
+                so_far = text[k:]
+                steps[text[k]] = (inner.get(so_far, -1), final.get(so_far, -1), {})
+            steps = steps[text[k]][2]
     return root
 
 
@@ -240,8 +274,7 @@ def prefix_table(docs: DataFrame, path: str | None = None, text: str = "text") -
     @F.arrow_udf(StructType([StructField("prefix_table", BinaryType()), StructField("n_tokens", LongType())]))
     def tables(texts: pa.Array) -> pa.Array:
         counter, found, totals = _counter(where), [], []
-        for t in texts:
-            steps = counter.text_steps(t.as_py())
+        for steps in counter.all_steps(t.as_py() for t in texts):
             found.append(packed(steps))
             totals.append(int(steps.sum(dtype=np.int64)))
         return pa.StructArray.from_arrays([pa.array(found, pa.binary()), pa.array(totals, pa.int64())], ["prefix_table", "n_tokens"])

@@ -111,6 +111,14 @@ def test_prefix_table_answers(docs, library):
         assert r["cut"] == max((i + 1 for i, c in enumerate(steps) if c <= 3), default=0)
 
 
+def test_prefix_counts_of_many_texts(library):
+    counter = prefix_counts.PrefixCounts(bpe.default_path())
+    asked = [t or "" for t in texts(200, 5)] + ["A word, a word. A w\u00f6rd", "x <|ENDOFTEXT|> y"]
+    found = list(counter.all_steps(asked))
+    assert [f.tolist() for f in found] == [counter.text_steps(t).tolist() for t in asked]
+    assert [int(f.sum()) for f in found] == [len(library.encode(t, add_special_tokens=False).ids) for t in asked]
+
+
 def test_codes_ask_once_for_a_run(library):
     asked = []
     coder = words.TextCoder(lambda pieces: [p.encode() for p in pieces], lambda special: asked.append(special) or b"!", entries=3)
