@@ -44,6 +44,12 @@ def as_letters(piece: str) -> str:
     return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(_letter_table())
 
 
+def all_letters(pieces: list[str]) -> list[str]:
+    """``as_letters`` of each piece, in one go; line ends, which no piece has, part them."""
+    joined = "\n".join(pieces).encode("utf-8", "surrogatepass").decode("latin-1")
+    return joined.translate(_letter_table() | {10: "\n"}).split("\n") if pieces else []
+
+
 @lru_cache(1)
 def _letter_table() -> dict[int, str]:
     return dict(enumerate(byte_letters()))
@@ -88,33 +94,42 @@ def segments(text: str) -> Iterator[tuple[str, bool]]:
 GROUP_CHARS = 1 << 22
 
 
-def gathered(runs: list[list[str]], codes: Callable[[list[str]], list[bytes]]) -> Iterator[bytes]:
+def gathered(runs: list[list[str]], codes: Callable[[list[str]], list[bytes] | pa.Array]) -> Iterator[bytes]:
     """Joined codes of the chunks of each run; ``codes`` is asked for those of distinct chunks only."""
     flat = pa.array(list(chain.from_iterable(runs)), pa.large_string()).dictionary_encode()
     # The next line gives every chunk its code, end to end; the offsets say where.
-    joined = pa.array(codes(flat.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(flat.indices)
-    _, offsets, data = joined.buffers()
-    offsets, at = np.frombuffer(offsets, np.int64) if len(joined) else np.zeros(1, np.int64), 0
-    data = memoryview(data) if data else memoryview(b"")
+    offsets, data = _codes_of(flat, codes)
+    data, at = memoryview(data), 0
     for run in runs:
         yield bytes(data[offsets[at] : offsets[at + len(run)]])
         at += len(run)
 
 
+def _codes_of(flat: pa.DictionaryArray, codes: Callable[[list[str]], list[bytes] | pa.Array]) -> tuple[np.ndarray, pa.Buffer | bytes]:
+    """(offsets, data) of the codes of all strings, of which ``codes`` is asked for the distinct ones."""
+    distinct = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+    joined = pa.array(codes(distinct), pa.large_binary()).take(flat.indices)
+    _, offsets, data = joined.buffers()
+    return np.frombuffer(offsets, np.int64) if len(joined) else np.zeros(1, np.int64), data or b""
+
+
+# Chunks, each on a line of its own, to pieces and line ends; a special string comes behind a space.
+_PARTS = regex.compile("\n| (?:" + "|".join(map(re.escape, SPECIAL)) + ")|" + PIECE.pattern)
+
+
 class TextCoder:
     """Concatenated code of the pieces of texts; pieces not in the memo are coded together.
 
     ``of_pieces`` gives the code (bytes) of each piece of a list, ``of_special`` that of a special
-    string, which is a chunk of its own behind a space (no other chunk has one).
+    string, which is a chunk of its own behind a space (no other chunk has one). Distinct chunks
+    are cut in one call and only pieces are kept.
     """
 
     def __init__(self, of_pieces: Callable[[list[str]], list[bytes]], of_special: Callable[[str], bytes], entries: int = MEMO_ENTRIES):
-        self.of_pieces, self.of_special = of_pieces, of_special
+        self.of_pieces = of_pieces
+        # Parts that are no pieces.
+        self.apart = {"\n": b""} | {" " + special: of_special(special) for special in SPECIAL}
         self.pieces = Memo(lambda piece: of_pieces([piece])[0], entries, turns=False)
-        self.chunks = Memo(self._chunk, entries, turns=False)
-
-    def _chunk(self, chunk: str) -> bytes:
-        return self.of_special(chunk[1:]) if chunk.startswith(" ") else b"".join(map(self.pieces.__getitem__, pieces(chunk)))
 
     def codes(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         group, held = [], 0
@@ -125,17 +140,21 @@ class TextCoder:
             group.append(run)
             held += len(text) if text else 0
             if held >= GROUP_CHARS:
-                yield from gathered(group, self._codes)
+                yield from gathered(group, self._chunk_codes)
                 group, held = [], 0
-        yield from gathered(group, self._codes)
-
-    def _codes(self, distinct: list[str]) -> list[bytes]:
-        of_chunk, of_piece = self.chunks, self.pieces
-        of_chunk.turn()
-        of_piece.turn()
-        split = {c: pieces(c) for c in of_chunk.fresh(distinct) if not c.startswith(" ")}
-        new = of_piece.fresh(set(chain.from_iterable(split.values())))
-        if new:
-            of_piece.take(dict(zip(new, self.of_pieces(new), strict=True)))
-        of_chunk.take({c: b"".join(map(of_piece.__getitem__, found)) for c, found in split.items()})
-        return list(map(of_chunk.__getitem__, distinct))
+        yield from gathered(group, self._chunk_codes)
+
+    def _chunk_codes(self, distinct: list[str]) -> pa.Array:
+        if not distinct:
+            return pa.array([], pa.large_binary())
+        parts = pa.array(_PARTS.findall("\n".join(distinct)), pa.large_string()).dictionary_encode()
+        # Line ends have no code, so the codes of the chunks lie end to end as well.
+        line_end = parts.dictionary.index("\n").as_py()
+        offsets, data = _codes_of(parts, self._part_codes)
+        ends = np.r_[0, offsets[np.flatnonzero(parts.indices.to_numpy() == line_end)], offsets[-1]]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(distinct), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+    def _part_codes(self, distinct: list[str]) -> list[bytes]:
+        self.pieces.turn()
+        self.pieces.update(self.apart)
+        return self.pieces.all(distinct, self.of_pieces)

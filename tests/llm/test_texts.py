@@ -132,6 +132,19 @@ def test_codes_ask_once_for_a_run(library):
     assert memo.fresh(["a", "c"]) == ["c"] and dict(memo) == {"a": "A"} and memo["b"] == "B"
 
 
+def test_chunks_are_cut_together_and_coded_once(library):
+    asked = []
+    coder = words.TextCoder(lambda pieces: asked.append(pieces) or [f"[{p}]".encode() for p in pieces], str.encode)
+    found = list(coder.codes(["it's " + "y" * 99 + " ab, don't", "ab, <|endoftext|>" + "y" * 99, " ", "日本²½"]))
+    long = "[" + "y" * 99 + "]"
+    assert found == [f"[it]['s]{long}[ab][,][don]['t]".encode(), f"[ab][,]<|endoftext|>{long}".encode(), b"", "[日本][²][½]".encode()]
+    # One call for the whole group, also for pieces too long for the memo.
+    assert len(asked) == 1 and len(asked[0]) == len(set(asked[0]))
+    assert list(coder.codes(["ab, it"])) == [b"[ab][,][it]"] and len(asked) == 1
+    made = [p for t in texts(300, 3) if t for p in words.PIECE.findall(words.normal(t))]
+    assert words.all_letters(made) == [words.as_letters(p) for p in made] and words.all_letters([]) == []
+
+
 def test_plain_token_files_are_compressed(spark):
     folder = scratch_path(spark, "plain")
     rows = [(i, " ".join(f"the {k % 7} word" for k in range(4000))) for i in range(4)]
