@@ -9,10 +9,12 @@ Nodes have sixteen children, as their minimum is one call.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -192,16 +194,32 @@ def vocabulary(path: str) -> WordBpe:
     return held("bpe", path, lambda: WordBpe(path))
 
 
+def parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The texts in order, about ``GROUP_CHARS`` bytes at a time: what is made of a batch is handed on bit by bit."""
+    for texts in batches:
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
+        cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // words.GROUP_CHARS)) + 1
+        for begin, end in pairwise([0, *cuts.tolist(), len(texts)]):
+            yield texts[begin:end]
+
+
+def _id_lists(coded: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(c) // 4 for c in coded)])
+    flat = np.frombuffer(b"".join(coded), "<i4")
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+
+
+def _texts(bpe: WordBpe, coded: list[bytes]) -> pa.Array:
+    return pa.array((bpe.text(np.frombuffer(c, "<u4").tolist()) for c in coded), pa.string(), size=len(coded))
+
+
 def encode_column(text: Column, path: str) -> Column:
     """array<int> of ids of a string column; null and empty texts give an empty array."""
 
     @F.arrow_udf(ArrayType(IntegerType()))
-    def encode(texts: pa.Array) -> pa.Array:
-        bpe = vocabulary(path)
-        coded = list(bpe.coder.codes(t.as_py() for t in texts))
-        ends = np.cumsum([0, *(len(c) // 4 for c in coded)])
-        flat = np.frombuffer(b"".join(coded), "<i4")
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts(batches):
+            yield _id_lists(list(vocabulary(path).coder.codes(t.as_py() for t in part)))
 
     # Spark would otherwise encode anew for each use of the ids.
     return encode.asNondeterministic()(text)
@@ -240,11 +258,11 @@ def round_trip(docs: DataFrame, path: str | None = None, text: str = "text") ->
     where = path or default_path()
 
     @F.arrow_udf(StructType([StructField("packed", BinaryType()), StructField("decoded", StringType())]))
-    def both(texts: pa.Array) -> pa.Array:
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = vocabulary(where)
-        packed = list(bpe.coder.codes(t.as_py() for t in texts))
-        decoded = pa.array([bpe.text(np.frombuffer(p, "<u4").tolist()) for p in packed], pa.string())
-        return pa.StructArray.from_arrays([pa.array(packed, pa.binary()), decoded], ["packed", "decoded"])
+        for part in parts(batches):
+            packed = list(bpe.coder.codes(t.as_py() for t in part))
+            yield pa.StructArray.from_arrays([pa.array(packed, pa.binary()), _texts(bpe, packed)], ["packed", "decoded"])
 
     # Spark would otherwise run it anew for each field.
     found = docs.withColumn("_both", both.asNondeterministic()(whole(text)))
@@ -260,14 +278,11 @@ def encode_and_decode(docs: DataFrame, path: str | None = None, text: str = "tex
     where = path or default_path()
 
     @F.arrow_udf(StructType([StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]))
-    def both(texts: pa.Array) -> pa.Array:
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = vocabulary(where)
-        coded = list(bpe.coder.codes(t.as_py() for t in texts))
-        decoded = pa.array([bpe.text(np.frombuffer(c, "<u4").tolist()) for c in coded], pa.string())
-        ends = np.cumsum([0, *(len(c) // 4 for c in coded)])
-        flat = np.frombuffer(b"".join(coded), "<i4")
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-        return pa.StructArray.from_arrays([ids, decoded], ["ids", "decoded"])
+        for part in parts(batches):
+            coded = list(bpe.coder.codes(t.as_py() for t in part))
+            yield pa.StructArray.from_arrays([_id_lists(coded), _texts(bpe, coded)], ["ids", "decoded"])
 
     # Spark would otherwise run it anew for each field.
     found = docs.withColumn("_both", both.asNondeterministic()(whole(text)))

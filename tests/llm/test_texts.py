@@ -145,6 +145,20 @@ def test_chunks_are_cut_together_and_coded_once(library):
     assert words.all_letters(made) == [words.as_letters(p) for p in made] and words.all_letters([]) == []
 
 
+def test_coded_texts_are_handed_on_in_parts(spark, docs, monkeypatch):
+    monkeypatch.setattr(words, "GROUP_CHARS", 10)
+    batch = bpe.pa.array(["12345678", None, "", "9012", "x" * 50, "é", "y"])
+    assert [p.to_pylist() for p in bpe.parts([batch, batch[:0], batch[4:]])] == [
+        ["12345678", None, "", "9012"], ["x" * 50], ["é", "y"], [], ["x" * 50], ["é", "y"]]
+    monkeypatch.undo()
+    # A batch of several parts gives every row its own result.
+    rows = [(i, f"{i} word " * 150_000) for i in range(8)]
+    wide = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    ends = {r["doc_id"]: (r["n"], r["first"]) for r in bpe.encode_and_decode(wide).selectExpr("doc_id", "size(ids) n", "substr(decoded, 1, 1) first").collect()}
+    assert ends == {i: (300_000, str(i)) for i in range(8)}
+    assert {r["doc_id"]: r["n_tokens"] for r in bpe.digests(wide).collect()} == {i: 300_000 for i in range(8)}
+
+
 def test_plain_token_files_are_compressed(spark):
     folder = scratch_path(spark, "plain")
     rows = [(i, " ".join(f"the {k % 7} word" for k in range(4000))) for i in range(4)]
