@@ -5,17 +5,22 @@ Voronoi regions of whole texts as pivots cannot part them: every window would ho
 The first regions therefore have single shingles as pivots. A text lies at 1 - 1/n of each of
 its n shingles and at 1 of all others; among its equally near pivots the first in a common order
 is its own, and the window of pivots a text within the radius may own instead is its first
-n - ceil(t n) + 1 shingles, to which it is replicated. Shingles that are frequent somewhere come
-last in the order. It only decides where texts meet, never whether they link.
+n - ceil(t n) + 1 shingles, to which it is replicated. The order is by falling rarity, as far as
+counts inside chunks of texts tell, and then by hash. It only decides where texts meet, never
+whether they link. Two texts need to meet at the first pivot that both have; what they can share
+from there on bounds their similarity, so the places of the pivot settle most pairs.
 
 Inside the regions distances are taken between images of the sets: counts of their shingles in
 256 classes. The L1 distance of two images is a metric and never above the symmetric difference
 of the sets, which for linked sets of n and m shingles is at most (1 - t) / (1 + t) (n + m).
-Within a region a text is the pivot and all others get their distance to it. Pairs within the
-bound are compared exactly, on the sets. What is not connected with the pivot meets the texts of
-other components inside the triangle window of their two distances to the pivot; large regions
-first choose new pivots, deal their texts out to the nearest one and replicate those within
-twice the bound of the border to the others, and so on recursively until a region is small.
+Pairs within the bound are compared exactly, on the sets. In a small region every pair is
+measured. In a crowded one texts become pivots and all others get their distance to them; only
+texts of different components meet, inside the triangle window of their two distances to the
+pivot, and large regions are first dealt out to the nearest of new pivots, with those within twice
+the bound of the border replicated to the others, and so on recursively until a region is small.
+Crowds are settled in rounds: in each, what lies within the bound counts as linked for the rest of
+the round, so that a crowd hands on about as many pairs as it has texts; those are compared on the
+sets, and the next round goes on with the components that this gave.
 
 Nodes are distinct shingle sets, so exact copies cost nothing.
 """
@@ -28,19 +33,25 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import Memo, held, stored, whole, with_maybe
+from .common import Memo, discard, held, stored, whole, with_maybe
 from .components import components
 
-# A shingle in this share of a batch's texts, and at least in LEAST_HOT of them, comes late in the order.
-HOT_SHARE, LEAST_HOT = 1e-3, 3
-# Shingles that can come late: a bound on what is broadcast (8 bytes each). The rest keep their place.
+# Count in a chunk of texts from which a shingle comes later in the order, and shingles of a chunk.
+LEAST_HOT, CHUNK = 2, 1 << 21
+# Shingles that can come late: a bound on what is broadcast (9 bytes each). The rest keep their place.
 HOT_SHINGLES = 1 << 20
+# Texts of a region up to which all its pairs are measured.
+CROWD = 16
 # Open pairs of a region up to which it is compared outright, pivots of a larger one, levels of regions.
 SMALL_REGION, NEW_PIVOTS, LEVELS = 1 << 16, 8, 4
+# Rounds over the crowds, the last of which hands on every pair that is left.
+ROUNDS = 5
+# Pivots are looked up as pieces of 2 ** PIECE_BITS by their first bits; the next 32 bits tell those of a piece apart.
+PIECE_BITS = 8
 # Characters of text whose words are held at a time.
 GROUP_CHARS = 1 << 20
 # Classes of an image; counts above 255 are kept as 255, which lets distances only shrink.
@@ -129,39 +140,57 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def _hot(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """Hashes that are frequent in some batch, the most frequent HOT_SHINGLES of them, sorted."""
+def _hot(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that come several times in some chunk of texts, the most frequent HOT_SHINGLES of them, sorted, and how late they come.
+
+    A shingle of D texts among c chunks is counted somewhere once D is about the root of 2 c, however large the corpus.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_memo()
+        memo, chunk, size = word_memo(), [], 0
+
+        def counted() -> pa.RecordBatch:
+            values, n = np.unique(np.concatenate(chunk), return_counts=True)
+            hot = n >= LEAST_HOT
+            return pa.RecordBatch.from_pydict({"h": values[hot].view(np.int64), "n": n[hot].astype(np.int64)})
+
         for batch in batches:
-            found = shingle_sets(_texts(batch.column(0)), width, memo)
-            least = max(LEAST_HOT, int(HOT_SHARE * batch.num_rows))
-            if len(found) >= least:
-                values, n = np.unique(np.concatenate(found), return_counts=True)
-                hot = n >= least
-                yield pa.RecordBatch.from_pydict({"h": values[hot].view(np.int64), "n": n[hot].astype(np.int64)})
+            for found in shingle_sets(_texts(batch.column(0)), width, memo):
+                chunk.append(found)
+                size += len(found)
+                if size >= CHUNK:
+                    yield counted()
+                    chunk, size = [], 0
+        if chunk:
+            yield counted()
 
     counted = docs.select(whole(text).alias("_text")).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     counted = stored(counted)
+    hot = counted
     if counted.count() > HOT_SHINGLES:
-        counted = counted.orderBy(F.desc("n"), "h").limit(HOT_SHINGLES)
-    return np.sort(counted.select("h").toArrow().column(0).to_numpy().view(np.uint64))
+        hot = counted.orderBy(F.desc("n"), "h").limit(HOT_SHINGLES)
+    found = hot.toArrow()
+    discard(counted)
+    hashes, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], np.log2(n[order]).astype(np.uint8)
 
 
 def _nodes(docs: DataFrame, text: str, key: str, width: int, percent: int) -> DataFrame:
-    """doc, n, node (hash of the set), image and the pivots of the window of every document."""
+    """doc, n, node (hash of the set), image and the pivots of the window of every document, in the common order."""
     hot = docs.sparkSession.sparkContext.broadcast(_hot(docs, text, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, late = word_memo(), hot.value
+        memo, (late, rank) = word_memo(), hot.value
         for batch in batches:
             sets, windows = shingle_sets(_texts(batch.column(1)), width, memo), []
             for found in sets:
                 k = prefix_size(len(found), percent)
                 if len(late) and k:
-                    is_late = late[np.minimum(np.searchsorted(late, found), len(late) - 1)] == found
-                    found = np.concatenate([found[~is_late], found[is_late]])
+                    at = np.minimum(np.searchsorted(late, found), len(late) - 1)
+                    place = np.where(late[at] == found, rank[at], np.uint8(0))
+                    if place.any():
+                        found = found[np.argsort(place, kind="stable")]
                 windows.append(found[:k])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(f) for f in sets], pa.int64()), pa.array(_node_ids(sets)), pa.array(map(image, sets), pa.binary()), _lists(windows)],
@@ -172,6 +201,173 @@ def _nodes(docs: DataFrame, text: str, key: str, width: int, percent: int) -> Da
     return stored(rows.mapInArrow(run, "doc bigint, n bigint, node bigint, image binary, pivots array<bigint>"))
 
 
+def _again(nodes: DataFrame) -> DataFrame:
+    """First bits (key) of the pivots of more than one place, and few others; four bytes of each place are shuffled."""
+    low = 32
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.sort(batch.column(0).flatten().to_numpy().view(np.uint64) >> np.uint64(64 - low - PIECE_BITS))
+            parts = np.split(found.astype(np.uint32), np.searchsorted(found, np.arange(1, 1 << PIECE_BITS, dtype=np.uint64) << np.uint64(low)))
+            some = [k for k, part in enumerate(parts) if len(part)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["piece", "found"])
+
+    def again(key: tuple, rows: pa.Table) -> pa.Table:
+        found = np.sort(np.concatenate([np.frombuffer(v.as_py(), np.uint32) for v in rows.column("found")]))
+        twice = np.unique(found[1:][found[1:] == found[:-1]])
+        return pa.table({"key": pa.array(twice.astype(np.int64) | key[0].as_py() << low)})
+
+    return nodes.select("pivots").mapInArrow(pieces, "piece int, found binary").groupBy("piece").applyInArrow(again, "key bigint")
+
+
+def _members(nodes: DataFrame) -> DataFrame:
+    """r (pivot), x (node), n, at (place of the pivot in the order of x) and k (texts of the region), of regions of two texts or more."""
+    places = nodes.where(F.col("n") > 0).select("node", "n", F.posexplode("pivots").alias("at", "pivot"))
+    first = F.shiftrightunsigned("pivot", 64 - 32 - PIECE_BITS)
+    likely = with_maybe(places, first, _again(nodes)).where("_maybe")
+    rows = likely.select(F.col("pivot").alias("r"), F.col("node").alias("x"), "n", "at").repartition("r").dropDuplicates(["r", "x"])
+    return stored(rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("r"))).where(F.col("k") > 1))
+
+
+def _can_link(a: tuple, b: tuple, percent: int) -> np.ndarray:
+    """Whether texts of (n, at) can link if no shingle before their places is common to both; sizes of a ratio below t cannot."""
+    return (100 + percent) * np.minimum(a[0] - a[1], b[0] - b[1]) >= percent * (a[0] + b[0])
+
+
+def _sparse_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (p, x) of small regions that can link by sizes and places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _whole_runs(batches):
+            r, x, n, at = (c.to_numpy() for c in columns)
+            ends = np.searchsorted(r, r, "right")
+            after = ends - np.arange(len(r)) - 1
+            one = np.repeat(np.arange(len(r)), after)
+            two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(after) - after, after)
+            can = _can_link((n[one], at[one]), (n[two], at[two]), percent)
+            one, two = x[one[can]], x[two[can]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["p", "x"])
+
+    rows = members.where(F.col("k") <= CROWD).select("r", "x", F.col("n").cast("long"), F.col("at").cast("long"))
+    return rows.repartition("r").sortWithinPartitions("r").mapInArrow(run, "p bigint, x bigint").distinct()
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+    """Columns of rows sorted by the first, cut where it changes: no run of equal values is parted."""
+    rest = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        first = batch.column(0).to_numpy()
+        last = int(np.searchsorted(first, first[-1]))
+        if rest and first[0] != rest[-1].column(0)[0].as_py():
+            yield _joined(rest)
+            rest = []
+        if last:
+            yield _joined([*rest, batch.slice(0, last)])
+            rest = []
+        rest.append(batch.slice(last))
+    if rest:
+        yield _joined(rest)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> list[pa.Array]:
+    return [pa.concat_arrays([b.column(j) for b in batches]) for j in range(batches[0].num_columns)]
+
+
+class _Crowd:
+    """One region in memory: which pairs of its texts are to be compared on the sets."""
+
+    # Images that are measured at a time.
+    STRIDE = 4096
+
+    def __init__(self, node: np.ndarray, component: np.ndarray, n: np.ndarray, at: np.ndarray, images: np.ndarray, percent: int, step: int, every: bool):
+        self.node, self.n, self.at, self.images, self.percent, self.every = node, n, at, images, percent, every
+        self.label = np.unique(component, return_inverse=True)[1]
+        # Another order of pivots in each round.
+        self.turn = np.argsort(_mixed(node.view(np.uint64) + np.uint64(step + 1) * _STEP))
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the two texts of every pair."""
+        where = self.turn
+        if (self.label != self.label[0]).any():
+            self._region(where, self.distances(where[0], where), 0)
+        one, two = (np.concatenate([f[j] for f in self.found]) if self.found else np.empty(0, np.int64) for j in (0, 1))
+        both = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1).astype(np.int64), axis=0)
+        return both[:, 0], both[:, 1]
+
+    def distances(self, pivot: int, where: np.ndarray) -> np.ndarray:
+        out, own = np.empty(len(where), np.int64), self.images[pivot].astype(np.int16)
+        for low in range(0, len(where), self.STRIDE):
+            out[low : low + self.STRIDE] = np.abs(self.images[where[low : low + self.STRIDE]] - own).sum(axis=1, dtype=np.int64)
+        return out
+
+    def _bound(self, d: np.ndarray, y: int, where: np.ndarray) -> np.ndarray:
+        return (100 + self.percent) * d <= (100 - self.percent) * (self.n[where] + self.n[y])
+
+    def _meet(self, y: int, where: np.ndarray, d: np.ndarray) -> None:
+        """Note the pairs of y with texts at distance ``d`` that are within the bound and of other components."""
+        near = where[self._bound(d, y, where) & (self.label[where] != self.label[y])]
+        near = near[_can_link((self.n[near], self.at[near]), (self.n[y], self.at[y]), self.percent)]
+        if not len(near):
+            return
+        if not self.every:
+            others, at = np.unique(self.label[near], return_index=True)
+            near = near[at]
+            self.label[np.isin(self.label, others)] = self.label[y]
+        self.found.append((np.full(len(near), y), near))
+
+    def _open(self, where: np.ndarray) -> np.ndarray:
+        """Texts outside the largest component: of every open pair they hold one at least."""
+        own = self.label[where]
+        return where[own != np.bincount(own).argmax()]
+
+    def _region(self, where: np.ndarray, d: np.ndarray, level: int) -> None:
+        """All open pairs of a region whose texts lie at ``d`` from its pivot."""
+        is_open = self._open(where)
+        if level < LEVELS - 1 and len(is_open) * len(where) > SMALL_REGION:
+            new = is_open[:NEW_PIVOTS]
+            far = np.stack([self.distances(q, where) for q in new])
+            for q, dq in zip(new, far, strict=True):
+                self._meet(q, where, dq)
+            # A linked text has at most n / t shingles, so the bound is at most (1 - t) / t n.
+            border = self.percent * (far - far.min(axis=0)) <= 2 * (100 - self.percent) * self.n[where]
+            if (border.sum(axis=1) ** 2).sum() < len(where) ** 2:
+                for dq, inside in zip(far, border, strict=True):
+                    self._region(where[inside], dq[inside], level + 1)
+                return
+            is_open = self._open(where)
+        at = dict(zip(where.tolist(), d.tolist(), strict=True))
+        for y in is_open.tolist():
+            other = np.flatnonzero((self.label[where] != self.label[y]) & self._bound(np.abs(d - at[y]), y, where))
+            other = where[other]
+            self._meet(y, other, self.distances(y, other))
+
+
+def _crowded_pairs(crowds: DataFrame, known: DataFrame, labels: DataFrame, percent: int, step: int) -> DataFrame:
+    """(r, p, x) within the bound of crowded regions, of texts that ``labels`` does not hold together."""
+    every = step == ROUNDS - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _whole_runs(batches):
+            r, x, component, n, at = (c.to_numpy() for c in columns[:-1])
+            images = np.frombuffer(b"".join(columns[-1].to_pylist()), np.uint8).reshape(-1, CLASSES)
+            starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+            for low, high in zip(starts, np.r_[starts[1:], len(r)], strict=True):
+                one, two = _Crowd(x[low:high], component[low:high], n[low:high], at[low:high], images[low:high], percent, step, every).pairs()
+                one, two = x[low:high][one], x[low:high][two]
+                if len(one):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(one), r[low])), pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["r", "p", "x"])
+
+    told = crowds.join(labels.select(F.col("id").alias("x"), "component"), "x", "left")
+    told = told.select("r", "x", F.coalesce("component", "x").alias("component"), "at")
+    several = told.groupBy("r").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).where(F.col("_least") != F.col("_most"))
+    told = told.join(several.select("r"), "r", "left_semi").join(known.select(F.col("node").alias("x"), "n", "image"), "x")
+    rows = told.select("r", "x", "component", F.col("n").cast("long"), F.col("at").cast("long"), "image")
+    return stored(rows.repartition("r").sortWithinPartitions("r").mapInArrow(run, "r bigint, p bigint, x bigint"))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, width: int) -> DataFrame:
     """node and its shingles, of the wanted (node, doc) only."""
 
@@ -214,79 +410,38 @@ def _exact(docs: DataFrame, near: DataFrame, known: DataFrame, percent: int, tex
     joined = joined.join(sets.select(F.col("node").alias("x"), F.col("shingles").alias("_sx")), "x")
     both = F.size(F.array_intersect("_sp", "_sx")).cast("long")
     measured = joined.select("p", "x", both.alias("_both"), (F.size("_sp") + F.size("_sx")).cast("long").alias("_sum"))
-    return stored(
+    linked = stored(
         measured.where(100 * F.col("_both") >= percent * (F.col("_sum") - F.col("_both"))).select(F.col("p").alias("a"), F.col("x").alias("b"))
     )
-
-
-def _with_components(regions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Region rows with the components of their pivot (cp) and text (cx)."""
-    out = regions
-    for node, name in (("p", "cp"), ("x", "cx")):
-        out = out.join(labels.select(F.col("id").alias(node), F.col("component").alias(name)), node, "left")
-        out = out.withColumn(name, F.coalesce(name, node))
-    return out
+    for table in (near, sets):
+        discard(table)
+    return linked
 
 
 def links(docs: DataFrame, percent: int, width: int, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(nodes, components): nodes holds doc, n and node of every row, components (id, component) of linked nodes."""
     nodes = _nodes(docs, text, key, width, percent)
-    places = nodes.where(F.col("n") > 0).select("node", F.explode("pivots").alias("pivot"))
-    owned = places.groupBy("pivot").agg(F.min("node").alias("p"), F.max("node").alias("_last"), F.count(F.lit(1)).alias("_rows"))
-    owned = owned.where(F.col("p") != F.col("_last")).select("pivot", "p", (F.col("_rows") > 2).alias("_more"))
-    members = stored(
-        places.join(owned, "pivot").where(F.col("node") != F.col("p")).select(F.col("pivot").alias("r"), "p", F.col("node").alias("x"), "_more")
-    )
-    stars = stored(members.select("p", "x").distinct())
-    met = stars.select(F.explode(F.array("p", "x")).alias("node")).distinct()
+    members = _members(nodes)
+    sparse = stored(_sparse_pairs(members, percent))
+    crowds = members.where(F.col("k") > CROWD).select("r", "x", "at")
+    met = sparse.select(F.explode(F.array("p", "x")).alias("node")).union(crowds.select("x")).distinct()
     known = nodes.groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n"), F.first("image").alias("image"))
     known = stored(known.join(met, "node"))
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        near = pairs.where(_within(F.col("d"), F.col("m"), F.col("n"), percent))
-        return _exact(docs, near, known, percent, text, key, width)
-
-    measured = _measured(stars, known)
-    found = compared(measured)
+    measured = _measured(sparse, known)
+    found = _exact(docs, measured.where(_within(F.col("d"), F.col("m"), F.col("n"), percent)), known, percent, text, key, width)
     labels = components(found)
-    # A region (r) of two texts is settled by now.
-    measured = members.where("_more").select("r", "p", "x").distinct().join(measured, ["p", "x"])
-    for level in range(LEVELS):
-        regions = _with_components(measured, labels).withColumn("open", F.col("cx") != F.col("cp"))
-        loads = regions.groupBy("r").agg(F.sum(F.col("open").cast("long")).alias("n_open"), F.count(F.lit(1)).alias("n_all"))
-        regions = stored(regions.join(loads.where(F.col("n_open") * (F.col("n_all") - 1) > 0), "r"))
-        if regions.isEmpty():
+    for step in range(ROUNDS):
+        near = _crowded_pairs(crowds, known, labels, percent, step)
+        if near.isEmpty():
             break
-        outright = F.lit(level == LEVELS - 1) | (F.col("n_open") * F.col("n_all") <= SMALL_REGION)
-        every = regions.where(outright)
-        left = every.where("open").select("r", F.col("x").alias("y"), F.col("d").alias("dy"), F.col("cx").alias("cy"), F.col("n").alias("ny"))
-        window = _within(F.abs(F.col("d") - F.col("dy")), F.col("n"), F.col("ny"), percent)
-        met = (
-            left.join(every.select("r", "x", "d", "cx", "n", "open"), "r")
-            .where((F.col("cx") != F.col("cy")) & (~F.col("open") | (F.col("y") < F.col("x"))) & window)
-            .select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("x")).distinct()
-        )
-        closed = compared(_measured(met, known))
-        # Larger regions: new pivots among the open texts; each text goes to the nearest, and to others near the border.
-        large = regions.where(~outright)
-        chosen = large.where("open").groupBy("r").agg(*(F.min_by("x", F.xxhash64("x", F.lit(k))).alias(f"_q{k}") for k in range(NEW_PIVOTS)))
-        chosen = chosen.select("r", F.array_sort(F.array_distinct(F.array(*(f"_q{k}" for k in range(NEW_PIVOTS))))).alias("qs"))
-        # Regions with the same pivots are dealt out as one (g).
-        chosen = chosen.join(chosen.groupBy("qs").agg(F.min("r").alias("g")), "qs")
-        dealt = large.join(chosen, "r").select("g", "qs", "x").distinct().select("g", F.explode("qs").alias("p"), "x").where(F.col("x") != F.col("p"))
-        dealt = stored(dealt)
-        cells = _measured(dealt.select("p", "x").distinct(), known)
-        # The nearest pivot counts per region: the other text of a link need not be in the other regions of this one.
-        placed = dealt.join(cells.select("p", "x", "d", "n"), ["p", "x"])
-        own = placed.groupBy("g", "x").agg(F.min("d").alias("own"))
-        # A linked text has at most n / t shingles, so the bound is at most (1 - t) / t n.
-        border = percent * (F.col("d") - F.col("own")) <= 2 * (100 - percent) * F.col("n")
-        inside = placed.join(own, ["g", "x"]).where(border).select("p", "x").distinct()
-        measured = stored(cells.join(inside, ["p", "x"]).withColumn("r", F.col("p")))
-        more = closed.unionByName(compared(cells))
+        # A region without pairs has no open ones left.
+        crowds = crowds.join(near.select("r").distinct(), "r", "left_semi")
+        more = _exact(docs, near, known, percent, text, key, width)
         if not more.isEmpty():
             found = stored(found.unionByName(more))
             labels = components(found)
+    for table in (members, sparse, measured, known):
+        discard(table)
     return nodes.select("doc", "n", "node"), labels
 
 

@@ -86,6 +86,43 @@ def test_jaccard_link_across_regions(spark, monkeypatch):
     assert {tuple(r) for r in jaccard_join.classes(docs, 80, 1).collect()} == brute_classes(rows, 80, 1)
 
 
+def test_jaccard_few_pairs_of_common_passages(spark, monkeypatch):
+    """Shingles that are rare in every batch but common over all come late: texts that only share these hardly ever meet."""
+    seen, measured = [], jaccard_join._measured
+    monkeypatch.setattr(jaccard_join, "_measured", lambda pairs, known: [seen.append(pairs.distinct().count()), measured(pairs, known)][1])
+    rnd = random.Random(3)
+    common = [" ".join(f"c{k}x{j}" for j in range(3)) for k in range(300)]
+    rows = [(i, " ".join(" ".join([f"own{i}x{k}", rnd.choice(common)]) for k in range(40))) for i in range(400)]
+    rows += [(400 + i, f"{rows[i][1]} more") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        found = {r["doc_id"]: r["component_id"] for r in jaccard_join.classes(docs, 90, 3).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {i: i - 400 if i >= 400 else i for i, _ in rows}
+    assert sum(seen) < 400
+
+
+@pytest.mark.parametrize("rounds", [1, 4])
+def test_jaccard_crowds(spark, monkeypatch, rounds):
+    """Groups around one text, of which some pairs link; large regions are dealt out, and rounds end with all that is left."""
+    monkeypatch.setattr(jaccard_join, "CROWD", 3)
+    monkeypatch.setattr(jaccard_join, "SMALL_REGION", 30)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    rnd = random.Random(7)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{k}" for k in range(60)]
+        for _ in range(40):
+            w = list(base)
+            for _ in range(rnd.randint(2, 12)):
+                w[rnd.randrange(60)] = f"e{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {tuple(r) for r in jaccard_join.classes(docs, 80, 1).collect()} == brute_classes(rows, 80, 1)
+
+
 def test_jaccard_edges(spark):
     docs = spark.createDataFrame([(7, "a b c d"), (7, "a b c d"), (None, "a b c d"), (9, "x y z w"), (9, "a b c d"), (3, "q")], "doc_id long, text string")
     found = sorted(map(tuple, jaccard_join.classes(docs, 90, 3).collect()), key=repr)
