@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,6 +25,9 @@ def components(links: DataFrame) -> DataFrame:
         lower = stored(lower)
         jumped = lower.join(lower.select(F.col("id").alias("component"), F.col("component").alias("_next")), "component")
         after = stored(jumped.select("id", "_was", F.col("_next").alias("component")))
+        for table in (labels, lower):
+            discard(table)
         labels = after.select("id", "component")
         if after.where(F.col("_was") != F.col("component")).isEmpty():
+            discard(edges)
             return labels
